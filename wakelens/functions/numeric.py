@@ -49,6 +49,11 @@ def cosine(a: Column, b: Column, *, zero: str = "null") -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(other)
 
 
+def lex(*parts: Column) -> Column:
+    """Sort key compared part by part; same field names in every branch."""
+    return F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])
+
+
 def rounded(df, digits: int = 6):
     """Round every double column, for reports and comparisons."""
     kinds = dict(df.dtypes)

@@ -79,7 +79,6 @@ def score_step(score: Column, steps: int = 256) -> Column:
 
 def cumulative_counts(histogram: DataFrame, keys: Sequence[str], bucket: Column | None = None) -> DataFrame:
     """tp/fp at ``score >= threshold`` for every histogram row, plus tn/fn."""
-    totals = histogram.groupBy(*keys).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     walked = running(
         histogram,
         keys,
@@ -87,9 +86,10 @@ def cumulative_counts(histogram: DataFrame, keys: Sequence[str], bucket: Column
         score_step(F.col("score")) if bucket is None else bucket,
         {"tp": ("sum", F.col("pos")), "fp": ("sum", F.col("neg"))},
         descending=True,
+        totals_as="all_",
     )
-    joined = walked.join(totals, list(keys)) if keys else walked.crossJoin(F.broadcast(totals))
-    return joined.withColumns({"fn": F.col("all_pos") - F.col("tp"), "tn": F.col("all_neg") - F.col("fp")})
+    named = walked.withColumnsRenamed({"all_tp": "all_pos", "all_fp": "all_neg"})
+    return named.withColumns({"fn": F.col("all_pos") - F.col("tp"), "tn": F.col("all_neg") - F.col("fp")})
 
 
 def ranking_metrics(df: DataFrame, keys: Sequence[str], label: str, score: str) -> DataFrame:
@@ -179,10 +179,9 @@ def ordered_statistics(
         [F.col("_v").asc()],
         score_step(F.col("_v"), 16) if bucket is None else bucket,
         {"_upto": ("sum", F.col("_c"))},
+        totals_as="_all",
     )
-    totals = histogram.groupBy(*keys).agg(F.sum("_c").alias("n"))
-    joined = walked.join(totals, keys) if keys else walked.crossJoin(F.broadcast(totals))
-    return joined.groupBy(*keys).agg(
+    return walked.withColumnRenamed("_all_upto", "n").groupBy(*keys).agg(
         F.max("n").alias("n"),
         *[F.min(F.when(F.col("_upto") > pos, F.col("_v"))).alias(name) for name, pos in positions.items()],
     )

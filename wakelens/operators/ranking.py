@@ -32,11 +32,13 @@ def running(
     *,
     descending: bool = False,
     inclusive: bool = True,
+    totals_as: str | None = None,
 ) -> DataFrame:
     """Add running aggregates over ``order`` within ``keys``.
 
     ``bucket`` must be monotone in ``order``; ``descending`` says its larger
     values come first.  ``aggs`` maps a new column to (sum|max|min, value).
+    ``totals_as='all_'`` also adds each aggregate over the whole key.
     Keys and bucket must not be null.
     """
     keys = list(keys)
@@ -48,11 +50,11 @@ def running(
     )
     step = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
     earlier = Window.partitionBy(*keys).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
-        *keys,
-        "_bucket",
-        *[_AGG[kind](f"_tot_{name}").over(earlier).alias(f"_pre_{name}") for name, (kind, _) in aggs.items()],
-    )
+    whole = Window.partitionBy(*keys)
+    carry = [_AGG[kind](f"_tot_{name}").over(earlier).alias(f"_pre_{name}") for name, (kind, _) in aggs.items()]
+    if totals_as is not None:
+        carry += [_AGG[kind](f"_tot_{name}").over(whole).alias(totals_as + name) for name, (kind, _) in aggs.items()]
+    carried = totals.select(*keys, "_bucket", *carry)
     last = Window.currentRow if inclusive else -1
     local = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
     joined = base.join(carried, [*keys, "_bucket"])
@@ -60,7 +62,8 @@ def running(
         name: _merge(kind, F.col(f"_pre_{name}"), _AGG[kind](f"_in_{name}").over(local))
         for name, (kind, _) in aggs.items()
     }
-    return joined.select(*df.columns, *[c.alias(name) for name, c in added.items()])
+    extra = [] if totals_as is None else [totals_as + name for name in aggs]
+    return joined.select(*df.columns, *[c.alias(name) for name, c in added.items()], *extra)
 
 
 def numbered(

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import lex
+
 
 def _worth(name: str, missing: float) -> Column:
     """Null counts as the worst value; a perfect 0.0 rate stays 0.0."""
@@ -29,7 +31,7 @@ def choose_variant(
     meets = recall >= recall_target
     slow = _worth(latency, 0.0) if latency else F.lit(0.0)
     tail = [-_worth(fpr, 1.0), _worth("precision", -1.0), _worth("f1", -1.0), -slow]
-    rank = F.when(meets, F.struct(F.lit(1), F.lit(0.0), *tail)).otherwise(F.struct(F.lit(0), recall, *tail))
+    rank = F.when(meets, lex(F.lit(1), F.lit(0.0), *tail)).otherwise(lex(F.lit(0), recall, *tail))
     rest = [c for c in metrics.columns if c not in keys]
     marked = metrics.withColumn("meets_recall", meets)
     out = marked.groupBy(*keys).agg(F.max_by(F.struct(*rest, "meets_recall"), rank).alias("_best"))
@@ -38,7 +40,7 @@ def choose_variant(
 
 def choose_safe_recipe(candidates: DataFrame, recipe: str, passed: str, recall: str, f1: str, latency: str, fallback: str) -> DataFrame:
     """Best passing recipe, else the named fallback; always one row."""
-    rank = F.struct(_worth(recall, 0.0), _worth(f1, 0.0), -_worth(latency, 0.0), F.col(recipe))
+    rank = lex(_worth(recall, 0.0), _worth(f1, 0.0), -_worth(latency, 0.0), F.col(recipe))
     best = F.max_by(F.when(F.col(passed), F.col(recipe)), F.when(F.col(passed), rank))
     return candidates.agg(
         F.coalesce(best, F.lit(fallback)).alias("selected_recipe"),

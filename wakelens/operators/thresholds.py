@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import lex
+from ..session import cut
 from .metrics import COUNTS, cumulative_counts, score_histogram, with_rates
 
 
@@ -24,12 +26,13 @@ def sweep(
     """Counts and rates at every distinct score and every grid point, per key.
 
     Grid points enter as zero-count rows of the score histogram, so one
-    cumulative pass covers both.  ``span='unit'`` spreads the grid over [0, 1],
+    cumulative pass covers both.  The histogram is read several times, so it is
+    written once to the shared folder.  ``span='unit'`` spreads the grid over [0, 1],
     ``'data'`` over the key's own score range.  Scores at or below ``floor``
     stay in the counts but offer no threshold.
     """
     keys = list(keys)
-    histogram = score_histogram(df, keys, label, score)
+    histogram = cut(score_histogram(df, keys, label, score))
     offers = histogram if floor is None else histogram.where(F.col("score") > floor)
     limits = offers.groupBy(*keys).agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
     position = F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))
@@ -71,8 +74,8 @@ def recall_first(curve: DataFrame, keys: Sequence[str], target: Column | float,
     tie1 = F.coalesce("precision", F.lit(0.0)) if precise else F.lit(0.0)
     tie2 = F.coalesce("f1", F.lit(0.0)) if precise else F.lit(0.0)
     last = F.col("threshold") if precise else -F.col("threshold")
-    rank = F.when(met, F.struct(F.lit(1), -fpr, tie1, tie2, F.col("threshold"))).otherwise(
-        F.struct(F.lit(0), recall, -fpr, f1, last)
+    rank = F.when(met, lex(F.lit(1), -fpr, tie1, tie2, F.col("threshold"))).otherwise(
+        lex(F.lit(0), recall, -fpr, f1, last)
     )
     picked = _picked(curve.withColumn("_met", met), keys, rank, ["_met"])
     none = F.col("_pos") == 0
@@ -96,8 +99,8 @@ def safe_f1(curve: DataFrame, keys: Sequence[str], preferred: float = 0.01, allo
     rated = F.col("false_positive_rate").isNotNull()
     band = F.when(rated & (fpr <= preferred), 2).when(rated & (fpr <= allowed), 1).otherwise(0)
     worth = [F.coalesce(c, F.lit(-1.0)) for c in ("f1", "recall", "precision")]
-    rank = F.when(band > 0, F.struct(band, *worth, -fpr, F.col("threshold"))).otherwise(
-        F.struct(band, -fpr, worth[0], worth[1], F.lit(0.0), -F.col("threshold"))
+    rank = F.when(band > 0, lex(band, *worth, -fpr, F.col("threshold"))).otherwise(
+        lex(band, -fpr, worth[0], worth[1], F.lit(0.0), -F.col("threshold"))
     )
     picked = _picked(curve.withColumn("_band", band), keys, rank, ["_band"])
     name = F.element_at(F.array(F.lit("unsafe"), F.lit("allowed_fpr"), F.lit("preferred_fpr")), F.col("_p._band") + 1)
