@@ -7,6 +7,7 @@ import importlib
 FAMILIES = (
     "scoring",
     "tuning",
+    "labelling",
 )
 
 
