@@ -104,3 +104,51 @@ def word_alignment(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
     if todo:
         counts[todo] = align_many([ref[i] for i in todo], [hyp[i] for i in todo])
     return pd.DataFrame(counts, columns=["substitutions", "deletions", "insertions"])
+
+TRANSCRIPT = T.StructType(
+    [T.StructField("text", T.StringType()), T.StructField("path", T.StringType()), T.StructField("error", T.StringType())]
+)
+
+
+def nested_transcript(fields: tuple, repr_patterns: tuple, max_depth: int):
+    """Arrow function for results nested deeper than the column form reaches."""
+    import json
+    import re
+
+    bad = [re.compile(p) for p in repr_patterns]
+
+    def visit(value, path, depth):
+        if depth > max_depth:
+            return None, path, "max_depth"
+        if isinstance(value, str):
+            text = value.strip()
+            if not text:
+                return None, path, "empty"
+            return (None, path, "object_repr") if any(p.search(text) for p in bad) else (text, path, None)
+        if isinstance(value, dict):
+            children = [(f"['{f}']", value[f]) for f in fields if f in value]
+        elif isinstance(value, list):
+            children = [(f"[{i}]", item) for i, item in enumerate(value)]
+        else:
+            children = []
+        last = (None, path, "unsupported")
+        for suffix, child in children:
+            last = visit(child, path + suffix, depth + 1)
+            if last[2] is None:
+                break
+        return last
+
+    @F.pandas_udf(TRANSCRIPT)
+    def extract(result: pd.Series) -> pd.DataFrame:
+        rows = []
+        for raw in result:
+            if raw is None:
+                rows.append((None, None, None))
+                continue
+            try:
+                rows.append(visit(json.loads(raw), "$", 0))
+            except ValueError:
+                rows.append((None, "$", "invalid_json"))
+        return pd.DataFrame(rows, columns=["text", "path", "error"])
+
+    return extract

@@ -8,6 +8,7 @@ FAMILIES = (
     "scoring",
     "tuning",
     "labelling",
+    "recognition",
 )
 
 
