@@ -9,6 +9,7 @@ FAMILIES = (
     "tuning",
     "labelling",
     "recognition",
+    "validation",
 )
 
 
