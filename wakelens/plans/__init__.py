@@ -10,6 +10,7 @@ FAMILIES = (
     "labelling",
     "recognition",
     "validation",
+    "adaptation",
 )
 
 
