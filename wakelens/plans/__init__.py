@@ -11,6 +11,8 @@ FAMILIES = (
     "recognition",
     "validation",
     "adaptation",
+    "reviews",
+    "exchange",
 )
 
 
