@@ -13,6 +13,7 @@ FAMILIES = (
     "adaptation",
     "reviews",
     "exchange",
+    "streams",
 )
 
 
