@@ -31,7 +31,7 @@ _FIELD = (1 << 21) - 1
 _CELLS = 4_000_000
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc_udf(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 

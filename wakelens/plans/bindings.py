@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators.ranking import numbered
+from ..session import spread
 
 KEYWORD = "the"
 GROUPS = {"P1": "P1", "P2": "P2", "P3": "P3", "P4": "P4_negative"}
@@ -20,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Documents for per-row text work, on all cores."""
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 # --- window table -----------------------------------------------------------
 
 
@@ -226,7 +232,7 @@ clips AS (
 
 
 def labelled_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "doc_id", "text", "lang", "source", "n_chars")
     labels = table(spark, sf_dir, "labels")
     number = F.substring("source", 4, 10).cast("int") % 5
     group = F.element_at(F.array(*[F.lit(g) for g in ("P1", "P2", "P3", "P4_negative", "")]), number + 1)
@@ -281,17 +287,21 @@ UTTERANCE_WORDS = 20
 
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut into consecutive utterances of twenty words."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "doc_id", "source", "text")
     size = UTTERANCE_WORDS
-    tokens = docs.select("doc_id", "source", tx.words(tx.scoring_form(F.col("text"))).alias("tokens"))
-    starts = F.sequence(F.lit(0), F.size("tokens") - 1, F.lit(size))
-    cut = tokens.where(F.size("tokens") > 0).select(
-        "doc_id", "source", "tokens", F.posexplode(starts).alias("chunk", "start")
-    )
+    tokens = F.array(tx.words(tx.scoring_form(F.col("text"))))
+
+    def pieces(t):
+        starts = F.when(F.size(t) > 0, F.sequence(F.lit(0), F.size(t) - 1, F.lit(size)))
+        return F.transform(starts, lambda at: F.slice(t, at + 1, size))
+
+    # The one-element array binds the words once; the outer explode keeps the
+    # optimizer from adding a filter that would normalise every text again.
+    parts = F.posexplode_outer(F.transform(tokens, pieces)[0]).alias("chunk", "tokens")
+    cut = docs.select("doc_id", "source", parts).where(F.col("chunk").isNotNull())
     utt_id = F.concat_ws("-", "source", F.col("doc_id").cast("string"), F.lpad(F.col("chunk").cast("string"), 4, "0"))
-    part = F.slice("tokens", F.col("start") + 1, size)
     rows = cut.select(
-        utt_id.alias("id"), F.col("source").alias("speaker"), F.col("doc_id").alias("chapter"), part.alias("tokens")
+        utt_id.alias("id"), F.col("source").alias("speaker"), F.col("doc_id").alias("chapter"), "tokens"
     )
     reference = F.array_join("tokens", " ")
     return rows.withColumns(

@@ -22,6 +22,7 @@ from .bindings import (
     match_form_sql,
     scoring_form_sql,
     table,
+    texts,
     with_ctes,
 )
 from .registry import counts_sql, metric_sql, plan
@@ -267,7 +268,7 @@ def _prj9(spark, sf_dir):
 )
 def _prj10(spark, sf_dir):
     """PRJ10: word-error, raw and parity normalisers over whole documents."""
-    docs, c = table(spark, sf_dir, "documents"), F.col("text")
+    docs, c = texts(spark, sf_dir, "doc_id", "text"), F.col("text")
     return docs.select(
         "doc_id",
         digest(tx.scoring_form(c)).alias("scoring"),
@@ -305,7 +306,7 @@ SELECT doc_id, kind, CAST(hits AS INT) AS hits FROM h WHERE hits > 0""",
 def _prj14(spark, sf_dir):
     """PRJ14: private-looking values per document and kind."""
     tag = F.concat(F.lit(" "), hs.speaker_pseudonym(F.col("source")))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", tag).alias("text"))
+    docs = texts(spark, sf_dir, "doc_id", "source", "text").select("doc_id", F.concat("text", tag).alias("text"))
     return pv.require_public(pv.scan(docs, "doc_id", "text"))
 
 
@@ -315,7 +316,7 @@ def _prj14(spark, sf_dir):
 )
 def _prj14_values(spark, sf_dir):
     """PRJ14: the matched e-mail-like values."""
-    return pv.hits(table(spark, sf_dir, "documents"), "doc_id", "text", "email")
+    return pv.hits(texts(spark, sf_dir, "doc_id", "text"), "doc_id", "text", "email")
 
 
 @plan(
