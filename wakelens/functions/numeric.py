@@ -31,16 +31,20 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
-def scale(v: Column, factor: Column) -> Column:
-    return F.transform(v, lambda x: x.cast("double") * factor)
+def bind(value: Column, body) -> Column:
+    """``body`` of a value evaluated once, also inside higher-order functions."""
+    return F.transform(F.array(value), body)[0]
 
 
 def unit(v: Column, *, zero: str = "null") -> Column:
     """L2-normalised vector; a zero or non-finite one gives null or zeros."""
-    length = norm(v)
-    good = (length > 0) & ~F.isnan(length) & (length < F.lit(float("inf")))
     bad = F.transform(v, lambda x: F.lit(0.0)) if zero == "zeros" else F.lit(None)
-    return F.when(good, scale(v, F.lit(1.0) / length)).otherwise(bad)
+
+    def divided(length):
+        good = (length > 0) & ~F.isnan(length) & (length < F.lit(float("inf")))
+        return F.when(good, F.transform(v, lambda x: x.cast("double") / length)).otherwise(bad)
+
+    return bind(norm(v), divided)
 
 
 def cosine(a: Column, b: Column, *, zero: str = "null") -> Column:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cascade import NO_CANDIDATE, fused_score, top_candidates
+from ..functions.numeric import logit
+from ..session import cut
+from .cascade import NO_CANDIDATE, top_candidates
 from .metrics import COUNTS, score_histogram, with_rates
-from .thresholds import safe_f1, sweep
+from .thresholds import safe_f1, sweep_histogram
 
 # The searched depths and fusion weights.
 PLAIN_DEPTHS = (1, 3, 5, 8)
@@ -37,7 +40,7 @@ def config_array(grid: list[tuple[int, float, float, bool]]) -> Column:
 def clip_candidates(joined: DataFrame, theta1: Column | float, depth: int, keys: list[str], keep: list[str]) -> DataFrame:
     """Per clip the best ``depth`` candidate windows as a bounded array."""
     clips = joined.groupBy(*keys).agg(F.min_by(F.struct(*keep), F.col("window_index")).alias("_m"))
-    item = F.struct("rank", "stage1_score", "stage2_score")
+    item = F.struct("rank", "stage2_score", logit(F.col("stage1_score")).alias("l1"), logit(F.col("stage2_score")).alias("l2"))
     tried = top_candidates(joined, theta1, depth, keys).groupBy(*keys).agg(F.collect_list(item).alias("tried"))
     return clips.join(tried, keys, "left").select(*keys, "_m.*", "tried")
 
@@ -48,7 +51,8 @@ def configured_scores(candidates: DataFrame, grid: list[tuple[int, float, float,
     usable = F.filter("tried", lambda t: t["rank"] <= F.col("top_k"))
 
     def one(t):
-        return fused_score(t["stage1_score"], t["stage2_score"], F.col("fusion_a"), F.col("fusion_b"), F.col("use_logit"))
+        fused = F.col("fusion_a") * t["l2"] + F.col("fusion_b") * t["l1"]
+        return F.when(F.col("use_logit"), fused).otherwise(t["stage2_score"])
 
     best = F.array_max(F.transform(usable, one))
     return each.withColumn("score", F.coalesce(best, F.lit(NO_CANDIDATE))).drop("tried")
@@ -57,18 +61,18 @@ def configured_scores(candidates: DataFrame, grid: list[tuple[int, float, float,
 CONFIG = ["variant", "top_k", "fusion_a", "fusion_b", "use_logit"]
 
 
-def search(scored: DataFrame, preferred: float = 0.01, allowed: float = 0.02) -> DataFrame:
+def search(scored: DataFrame, roles: Callable[[DataFrame], DataFrame], preferred: float = 0.01, allowed: float = 0.02) -> DataFrame:
     """Threshold per (configuration, fold) on dev, pooled dev and test metrics.
 
-    ``scored`` has the configuration columns, fold, role (dev|test), label and
-    score.  Works on score histograms, so the thresholds are applied to
-    distinct scores rather than to clips.
+    ``scored`` has the configuration columns, fold, label and score; ``roles``
+    maps rows with a fold to rows with (fold, role).  Everything after the
+    first aggregate works on the score histogram, not on clips.
     """
     keys = [*CONFIG, "fold"]
-    dev = scored.where(F.col("role") == "dev")
-    curve = sweep(dev, keys, "label", "score", grid=401, span="data", bucket=F.floor("score"), floor=-1.0e8)
+    histogram = cut(roles(score_histogram(scored, keys, "label", "score")))
+    dev = histogram.where(F.col("role") == "dev").drop("role")
+    curve = sweep_histogram(dev, keys, grid=401, span="data", bucket=F.floor("score"), floor=-1.0e8)
     chosen = safe_f1(curve, keys, preferred, allowed).select(*keys, "threshold")
-    histogram = score_histogram(scored, [*keys, "role"], "label", "score")
     hit = F.col("score") >= F.coalesce(F.col("threshold"), F.lit(0.5))
     cells = {
         "tp": F.when(hit, F.col("pos")),

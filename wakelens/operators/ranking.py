@@ -9,11 +9,18 @@ row per key and bucket.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Ship the task functions inside the closure, so executors need no install.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -98,3 +105,46 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column])
     """
     stats = df.groupBy(*keys).agg(*aggs)
     return df.join(stats, list(keys), "left")
+
+
+def _sorted_groups(keys: list[str], task: Callable):
+    """Batches of sorted rows in, one task call per complete group."""
+
+    def finish(frame: pd.DataFrame, starts: np.ndarray):
+        columns = {c: frame[c].to_numpy() for c in frame.columns}
+        ends = np.append(starts[1:], len(frame))
+        parts = [task({c: v[lo:hi] for c, v in columns.items()}) for lo, hi in zip(starts, ends)]
+        return pd.DataFrame({c: np.concatenate([p[c] for p in parts]) for c in parts[0]})
+
+    def run(batches):
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if batch.empty:
+                continue
+            changed = (batch[keys] != batch[keys].shift()).any(axis=1).to_numpy()
+            if held and (held[-1][keys].iloc[-1].to_numpy() == batch[keys].iloc[0].to_numpy()).all():
+                changed[0] = False
+            starts = np.flatnonzero(changed)
+            if len(starts) == 0:
+                held.append(batch)
+                continue
+            ready = pd.concat([*held, batch.iloc[: starts[-1]]], ignore_index=True) if held else batch.iloc[: starts[-1]]
+            held_rows = sum(len(h) for h in held)
+            if len(ready):
+                inner = starts[:-1] + held_rows
+                yield finish(ready, np.append(0, inner) if held_rows else inner)
+            held = [batch.iloc[starts[-1] :]]
+        if held:
+            yield finish(pd.concat(held, ignore_index=True), np.array([0]))
+
+    return run
+
+
+def map_sorted_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], task: Callable, schema: str) -> DataFrame:
+    """Run ``task`` on each group's column arrays, many groups per batch.
+
+    Groups arrive sorted and one after another, so tiny groups cost no
+    per-group transfer and memory holds one group at a time.
+    """
+    placed = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return placed.mapInPandas(_sorted_groups(list(keys), task), schema=schema)

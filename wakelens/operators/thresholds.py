@@ -31,8 +31,21 @@ def sweep(
     ``'data'`` over the key's own score range.  Scores at or below ``floor``
     stay in the counts but offer no threshold.
     """
-    keys = list(keys)
     histogram = cut(score_histogram(df, keys, label, score))
+    return sweep_histogram(histogram, keys, grid=grid, span=span, bucket=bucket, floor=floor)
+
+
+def sweep_histogram(
+    histogram: DataFrame,
+    keys: Sequence[str],
+    *,
+    grid: int = 101,
+    span: str = "unit",
+    bucket: Column | None = None,
+    floor: float | None = None,
+) -> DataFrame:
+    """``sweep`` from a materialised (keys, score, pos, neg) table."""
+    keys = list(keys)
     offers = histogram if floor is None else histogram.where(F.col("score") > floor)
     limits = offers.groupBy(*keys).agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
     position = F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..operators.ranking import running
+from ..operators.ranking import map_sorted_groups, running
 from ..session import cut
 
 # Ship the task functions inside the closure, so executors need no install.
@@ -46,16 +46,18 @@ def _chunk_map(cooldown: int):
     entries within one cool-down of the chunk start can occur.
     """
 
-    def task(rows: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(rows["t"].to_numpy())
+    def task(cols: dict) -> dict:
+        times = cols["t"]
         last = times[_orbit(times, cooldown)]
-        start = int(rows["chunk_start"].iloc[0])
-        entries = min(len(times), int(np.searchsorted(times, start + cooldown, side="left")) + 1)
+        entries = min(len(times), int(np.searchsorted(times, cols["chunk_start"][0] + cooldown, side="left")) + 1)
         keep = np.append(last[: entries - 1] != last[1:entries], True)
-        key = rows.iloc[0]
-        return pd.DataFrame(
-            {"session": key["session"], "chunk": key["chunk"], "until": times[:entries][keep], "last": last[:entries][keep]}
-        )
+        n = int(keep.sum())
+        return {
+            "session": cols["session"][:n],
+            "chunk": cols["chunk"][:n],
+            "until": times[:entries][keep],
+            "last": last[:entries][keep],
+        }
 
     return task
 
@@ -63,15 +65,16 @@ def _chunk_map(cooldown: int):
 def _walk(cooldown: int):
     """Task function: carry the earliest next accept through the chunk maps."""
 
-    def task(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["chunk", "until"])
-        ready, out = np.iinfo(np.int64).min, []
-        for chunk, part in rows.groupby("chunk", sort=True):
-            out.append((rows["session"].iloc[0], chunk, ready))
-            at = int(np.searchsorted(part["until"].to_numpy(), ready, side="left"))
-            if at < len(part):
-                ready = int(part["last"].iloc[at]) + cooldown
-        return pd.DataFrame(out, columns=["session", "chunk", "ready"])
+    def task(cols: dict) -> dict:
+        chunks, firsts = np.unique(cols["chunk"], return_index=True)
+        ends = np.append(firsts[1:], len(cols["chunk"]))
+        ready, entry = np.iinfo(np.int64).min, np.empty(len(chunks), dtype=np.int64)
+        for i, (lo, hi) in enumerate(zip(firsts, ends)):
+            entry[i] = ready
+            at = lo + int(np.searchsorted(cols["until"][lo:hi], ready, side="left"))
+            if at < hi:
+                ready = int(cols["last"][at]) + cooldown
+        return {"session": cols["session"][: len(chunks)], "chunk": chunks, "ready": entry}
 
     return task
 
@@ -79,14 +82,13 @@ def _walk(cooldown: int):
 def _accept(cooldown: int):
     """Task function: accepted triggers of one chunk for its entry time."""
 
-    def task(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "tie"]).reset_index(drop=True)
-        times, picked = rows["t"].to_numpy(), []
-        i = int(np.searchsorted(times, rows["ready"].iloc[0], side="left"))
+    def task(cols: dict) -> dict:
+        times, picked = cols["t"], []
+        i = int(np.searchsorted(times, cols["ready"][0], side="left"))
         while i < len(times):
             picked.append(i)
             i = int(np.searchsorted(times, times[i] + cooldown, side="left"))
-        return rows.loc[picked, ["session", "t", "tie"]]
+        return {c: cols[c][picked] for c in ("session", "t", "tie")}
 
     return task
 
@@ -107,14 +109,13 @@ def accepted_triggers(events: DataFrame, *, session: str, t: str, tie: str, trig
     )
     kind = dict(fired.dtypes)
     based = fired.withColumn("chunk_start", F.col("chunk") * chunk)
-    maps = based.select("session", "chunk", "chunk_start", "t").groupBy("session", "chunk").applyInPandas(
-        _chunk_map(cooldown), schema=f"session {kind['session']}, chunk long, until long, last long"
-    )
-    entries = maps.groupBy("session").applyInPandas(_walk(cooldown), schema=f"session {kind['session']}, chunk long, ready long")
-    placed = fired.join(entries, ["session", "chunk"])
-    out = placed.groupBy("session", "chunk").applyInPandas(
-        _accept(cooldown), schema=f"session {kind['session']}, t long, tie {kind['tie']}"
+    span = ["session", "chunk"]
+    maps = map_sorted_groups(
+        based.select(*span, "chunk_start", "t"), span, ["t"], _chunk_map(cooldown), f"session {kind['session']}, chunk long, until long, last long"
     )
+    entries = map_sorted_groups(maps, ["session"], ["chunk", "until"], _walk(cooldown), f"session {kind['session']}, chunk long, ready long")
+    placed = fired.join(entries, span)
+    out = map_sorted_groups(placed, span, ["t", "tie"], _accept(cooldown), f"session {kind['session']}, t long, tie {kind['tie']}")
     return out.select(F.col("session").alias(session), F.col("t").alias(t), F.col("tie").alias(tie))
 
 
