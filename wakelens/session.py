@@ -15,6 +15,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Text and recipe work is heavy per byte: do not fold small partitions away.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    # Top-n per group is cut before the shuffle up to this n.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
