@@ -348,3 +348,71 @@ def test_hot_keys_are_limited_before_the_shuffle(spark):
     df = spark.range(100000).select((F.col("id") % 3).alias("k"), F.col("id"))
     plan = ranking.first_rows(df, ["k"], [F.col("id")], 3)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_fitted_recipes_against_plain_loops(spark):
+    rng = np.random.default_rng(4)
+    rows = [("t", 3, 1, i % 2, float(rng.normal()), float(rng.random()), 0.2, [float(x) for x in rng.normal(size=3)]) for i in range(3)]
+    cols = "target string, shot int, seed int, label int, base_logit double, stage1_clip_score double, theta1 double, embedding array<double>"
+    extra = [("t", 1, i % 2, float(rng.normal()), float(rng.random()), 0.2, [float(x) for x in rng.normal(size=3)], "positive" if i % 2 else "hard") for i in range(8)]
+    replay = spark.createDataFrame(extra, "target string, seed int, label int, base_logit double, stage1_clip_score double, theta1 double, embedding array<double>, pool string")
+    got = {r.recipe: r for r in fewshot.fit_recipes(spark.createDataFrame(rows, cols), replay).collect()}
+    assert len(got) == len(fewshot.finetune_grid())
+    data = [(r[3], r[4], r[7]) for r in rows] + [(e[2], e[3], e[6]) for e in extra]
+    bias = 0.0
+    for _ in range(50):
+        grad = sum(1 / (1 + np.exp(-(x + bias))) - y for y, x, _ in data) / len(data)
+        bias -= 1e-3 * (grad + bias)
+    assert got["stage2_finetune_bias_only:50:0.001"].bias == pytest.approx(bias, abs=1e-12)
+    w, b = [0.0] * 3, 0.0
+    for _ in range(25):
+        errs = [1 / (1 + np.exp(-(x + sum(p * q for p, q in zip(v, w)) + b))) - y for y, x, v in data]
+        slopes = [sum(e * v[k] for e, (_, _, v) in zip(errs, data)) / len(data) for k in range(3)]
+        w, b = [w[k] - 1e-3 * (slopes[k] + 10.0 * w[k]) for k in range(3)], b - 1e-3 * (sum(errs) / len(errs) + 10.0 * b)
+    head = got["stage2_finetune_head:25:0.001"]
+    assert head.bias == pytest.approx(b, abs=1e-12) and head.weights == pytest.approx(w, abs=1e-12)
+
+
+def test_fingerprint_ignores_order_and_sees_changes(spark):
+    rows = [(i, f"v{i % 3}") for i in range(50)]
+    make = lambda data: one(manifest.fingerprint(spark.createDataFrame(data, "a int, b string"), "{}"))["fingerprint"]
+    assert make(rows) == make(rows[::-1])
+    assert make(rows) != make(rows[:-1] + [(49, "other")]) and make(rows) != make(rows + rows[:2])
+
+
+def test_session_stream_control_events(spark, tmp_path):
+    from wakelens.streaming import intake
+
+    schema = "session string, event_id long, t long, kind string, text string, candidate boolean, trigger boolean"
+    rows = [
+        ("s", 0, 0, "start", None, False, False),
+        ("s", 1, 10, "chunk", "one", True, True),
+        ("s", 2, 12, "chunk", "two", True, True),
+        ("s", 3, 13, "reset", None, False, False),
+        ("s", 4, 14, "chunk", "three", True, True),
+        ("s", 5, 15, "stop", None, False, False),
+    ]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    stream = intake.file_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
+    out = intake.drain(triggers.assistant_stream(stream, cooldown=5, keyword="word")).orderBy("event_id").collect()
+    assert [r.trigger_accepted for r in out] == [False, True, False, False, True, False]
+    assert [r.assistant_state for r in out] == ["LISTENING", "ASSISTANT_STATE", "LISTENING", "IDLE", "ASSISTANT_STATE", "IDLE"]
+    assert out[2].rolling_transcript == "one two" and out[4].rolling_transcript == "three"
+    assert out[-1].chunks == 3 and not out[-1].active
+
+
+def test_session_windows_equal_on_table_and_stream(spark, tmp_path):
+    from wakelens.streaming import intake
+    from wakelens.streaming import windows as sw
+
+    rng = random.Random(8)
+    rows = [("hot" if rng.random() < 0.8 else "k", 1_700_000_000 + rng.randrange(40_000), rng.random()) for _ in range(300)]
+    df = spark.createDataFrame(rows, "session string, s long, score double").select("session", F.timestamp_seconds("s").alias("ts"), "score")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = intake.file_stream(spark, str(tmp_path / "in"), df.schema)
+    table = sw.sessions(df, ts="ts", gap_seconds=60, theta=0.5).select("session", "window_start", "window_end", "chunks", "candidates")
+    live = intake.drain(sw.sessions(stream, ts="ts", gap_seconds=60, theta=0.5, delay="0 seconds")).select(*table.columns)
+    last = max(r.window_end for r in table.collect())
+    closed = {tuple(r) for r in live.collect()}
+    assert closed <= {tuple(r) for r in table.collect()} and len(closed) > 5
+    assert {tuple(r) for r in table.collect() if r.window_end < last} >= closed

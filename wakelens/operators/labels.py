@@ -180,12 +180,22 @@ def hard_negative(label: Column, transcript: Column, group: Column, words: Seque
     return (label == 0) & (confusable | F.coalesce(group.startswith("P4"), F.lit(False)))
 
 
-def preset(df: DataFrame, name: str, *, group: str = "prompt_group", label: str = "label", status: str = "auto_qc_status") -> DataFrame:
-    """Clip list presets: positive, negative, P1 to P4 and flagged."""
-    rules = {
+def preset_rules(*, group: str = "prompt_group", label: str = "label", status: str = "auto_qc_status") -> dict[str, Column]:
+    """Clip list presets: positive, negative, flagged and P1 to P4."""
+    return {
         "positive": F.col(label) == 1,
         "negative": F.col(label) == 0,
         "flagged": F.col(status) != "auto_accepted",
         **{p: F.col(group).startswith(p) for p in ("P1", "P2", "P3", "P4")},
     }
-    return df.where(rules[name])
+
+
+def preset(df: DataFrame, name: str, **columns: str) -> DataFrame:
+    return df.where(preset_rules(**columns)[name])
+
+
+def preset_counts(df: DataFrame, clip: str = "clip_id", **columns: str) -> DataFrame:
+    """Rows and ids per preset; each row names its presets, so one scan serves all."""
+    named = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in preset_rules(**columns).items()]))
+    per_id = df.select(clip, F.explode(named).alias("preset")).groupBy("preset", clip).agg(F.count(F.lit(1)).alias("_n"))
+    return per_id.groupBy("preset").agg(F.sum("_n").alias("clips"), F.count(F.lit(1)).alias("ids"))

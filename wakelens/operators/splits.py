@@ -72,15 +72,17 @@ def _priority(split: Column) -> Column:
 def reconcile_duplicates(rows: DataFrame, content: str, split: str = "split") -> DataFrame:
     """Move all rows of one content to the strictest split among them.
 
-    Null contents are set aside; the strictest split is pre-aggregated and
-    joined back, so a popular content never gathers in one task.
+    The strictest split is pre-aggregated and joined back, so a popular content
+    never gathers in one task.  Rows without a content get scattered keys that
+    match nothing, so they do not meet in one partition either.
     """
     known = rows.where(F.col(content).isNotNull())
-    target = known.groupBy(content).agg(F.max(_priority(F.col(split))).alias("_p"))
-    moved = known.join(target, content)
+    target = known.groupBy(F.col(content).cast("string").alias("_k")).agg(F.max(_priority(F.col(split))).alias("_p"))
+    scattered = F.concat(F.lit("no content "), (F.xxhash64(*rows.columns) % 4096).cast("string"))
+    keyed = rows.withColumn("_k", F.coalesce(F.col(content).cast("string"), scattered))
     names = F.array(*[F.lit(s) for s in PRIORITY])
     settled = F.when(F.col("_p") > 0, F.element_at(names, F.col("_p").cast("int"))).otherwise(F.col(split))
-    return moved.withColumn(split, settled).drop("_p").unionByName(rows.where(F.col(content).isNull()))
+    return keyed.join(target, "_k", "left").withColumn(split, settled).drop("_k", "_p")
 
 
 def drop_conflicting(rows: DataFrame, speaker: str, split: str = "split") -> DataFrame:

@@ -345,13 +345,7 @@ PRESETS = {
 )
 def _prj16(spark, sf_dir):
     """PRJ16: clip list presets, all counted in one scan."""
-    rows = clips(spark, sf_dir)
-    tagged = None
-    for name in PRESETS:
-        part = lb.preset(rows, name).groupBy("clip_id").agg(F.count(F.lit(1)).alias("n"))
-        part = part.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("clips"), F.count(F.lit(1)).alias("ids")).withColumn("preset", F.lit(name))
-        tagged = part if tagged is None else tagged.unionByName(part)
-    return tagged.select("preset", "clips", "ids")
+    return lb.preset_counts(clips(spark, sf_dir))
 
 
 DECIDED_SQL = f"d AS (SELECT doc_id, mapped_group, label, {has_keyword_sql('said')} AS decision FROM m)"

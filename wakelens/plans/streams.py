@@ -212,7 +212,7 @@ SELECT session, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*)
 )
 def _str5_sessions(spark, sf_dir):
     """STR5: session-window sibling with a twelve-hour gap."""
-    return shown(sw.sessions(scored_events(table(spark, sf_dir, "events")), ts="ts", gap="12 hours", theta=0.1))
+    return shown(sw.sessions(scored_events(table(spark, sf_dir, "events")), ts="ts", gap_seconds=12 * 3600, theta=0.1))
 
 
 @plan(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.frames import islands
+
 
 def _measures(theta: float):
     hit = F.col("score") >= theta
@@ -30,11 +32,24 @@ def tumbling(stream: DataFrame, *, ts: str, size: str, theta: float, delay: str
     return sliding(stream, ts=ts, size=size, slide=size, theta=theta, delay=delay, keys=keys)
 
 
-def sessions(stream: DataFrame, *, ts: str, gap: str, theta: float, delay: str | None = None, keys: tuple = ("session",)) -> DataFrame:
-    """Runs of chunks closer than ``gap``."""
-    rows = stream.withWatermark(ts, delay) if delay else stream
-    grouped = rows.groupBy(F.session_window(ts, gap).alias("window"), *keys)
-    return _spread(grouped.agg(*_measures(theta)))
+def sessions(rows: DataFrame, *, ts: str, gap_seconds: int, theta: float, delay: str | None = None, keys: tuple = ("session",)) -> DataFrame:
+    """Runs of chunks closer than the gap.
+
+    A stream keeps Spark's session windows as state.  A table goes through
+    bucketed islands instead, so one long session key spreads over tasks.
+    """
+    gap = F.make_dt_interval(secs=F.lit(float(gap_seconds)))
+    if rows.isStreaming:
+        marked = rows.withWatermark(ts, delay) if delay else rows
+        grouped = marked.groupBy(F.session_window(ts, f"{gap_seconds} seconds").alias("window"), *keys)
+        return _spread(grouped.agg(*_measures(theta)))
+    placed = rows.withColumn("_us", F.unix_micros(F.col(ts)))
+    step = max(gap_seconds, 86_400) * 1_000_000
+    runs = islands(placed, list(keys), "_us", gap_seconds * 1_000_000 - 1, F.floor(F.col("_us") / step))
+    merged = runs.groupBy(*keys, "island").agg(
+        *_measures(theta), F.min(ts).alias("window_start"), (F.max(ts) + gap).alias("window_end")
+    )
+    return merged.drop("island")
 
 
 def late_rows(rows: DataFrame, ts: str, watermark: str) -> DataFrame:
