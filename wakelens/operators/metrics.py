@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
+from ..session import cut
 from .ranking import running
 
 COUNTS = ("tp", "tn", "fp", "fn")
@@ -197,14 +198,17 @@ def nearest_rank(q: float) -> Column:
 
 
 def paired_delta(df: DataFrame, keys: Sequence[str], unit: str, label: str, base: Column, adapted: Column, eps: float = 1e-12) -> DataFrame:
-    """Per-unit F1 change between two decisions, summarised over units."""
+    """Per-unit F1 change between two decisions, summarised over units.
+
+    The per-unit table is read by the moments and by the median, so it is
+    written once.
+    """
     keys = list(keys)
     counts = df.groupBy(*keys, unit).agg(
         *count_aggs(F.col(label), base, "a_"), *count_aggs(F.col(label), adapted, "b_")
     )
-    deltas = counts.select(
-        *keys, unit, (rate_exprs("b_")["f1"] - rate_exprs("a_")["f1"]).alias("delta")
-    ).where(F.col("delta").isNotNull())
+    change = rate_exprs("b_")["f1"] - rate_exprs("a_")["f1"]
+    deltas = cut(counts.select(*keys, unit, change.alias("delta")).where(F.col("delta").isNotNull()))
     summary = deltas.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_pairs"),
         F.avg("delta").alias("mean_delta_f1"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators.ranking import numbered
-from ..session import spread
+from ..session import cut, spread
 
 KEYWORD = "the"
 GROUPS = {"P1": "P1", "P2": "P2", "P3": "P3", "P4": "P4_negative"}
@@ -81,6 +81,11 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def window_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The window table written once, for plans that read it several times."""
+    return cut(windows(spark, sf_dir))
+
+
 def stage1(w: DataFrame) -> DataFrame:
     return w.drop("stage2_score", "stage2_score_b")
 

@@ -10,14 +10,20 @@ from ..operators import asr
 from ..operators import manifest as mf
 from ..operators import metrics as mt
 from ..operators import sampling as sm
+from ..session import cut, spread
 from .bindings import GROUPS, RUN_A, RUN_B, UTTERANCES_SQL, WINDOWS_SQL, recognised, table, utterances, windows, with_ctes
 from .registry import plan
 
 U = with_ctes(UTTERANCES_SQL)
 
 
+def one_run(spark, sf_dir):
+    return recognised(utterances(spark, sf_dir), RUN_A)
+
+
 def runs(spark, sf_dir):
-    utts = utterances(spark, sf_dir)
+    """Two runs over one set of utterances, normalised and written once."""
+    utts = spread(cut(utterances(spark, sf_dir)))
     return recognised(utts, RUN_A), recognised(utts, RUN_B)
 
 
@@ -49,7 +55,7 @@ SELECT id, CASE WHEN kind = 'bad' THEN NULL ELSE hypothesis END AS text, CASE ki
 )
 def _prj11(spark, sf_dir):
     """PRJ11: transcript and extraction path from nested results."""
-    out = extract_transcript(results(runs(spark, sf_dir)[0]), "result")
+    out = extract_transcript(results(one_run(spark, sf_dir)), "result")
     return out.select("id", "text", "extraction_path", "extraction_error")
 
 
@@ -61,7 +67,7 @@ SELECT kind IN ('repr', 'deep') AS malformed, count(*) AS n, count(DISTINCT spea
 )
 def _prj12(spark, sf_dir):
     """PRJ12: hypotheses that hold a stringified object."""
-    run = runs(spark, sf_dir)[0]
+    run = one_run(spark, sf_dir)
     chapter = F.col("chapter") % 5
     shown = (
         F.when((chapter == 3) & (F.col("status") != "failed"), F.concat(F.lit("<Result object at 0x7f3a> "), "hypothesis"))
@@ -77,7 +83,7 @@ def _prj12(spark, sf_dir):
 @plan("agg18_word_errors")
 def _agg18(spark, sf_dir):
     """AGG18 and UDF1: corpus word errors pooled, per split and speaker."""
-    run = asr.successes(runs(spark, sf_dir)[0])
+    run = asr.successes(one_run(spark, sf_dir))
     return asr.corpus_word_errors(asr.aligned(run), ["split", "speaker"])
 
 
@@ -90,7 +96,7 @@ SELECT *, round((total_sentences - sentence_errors) / total_sentences::DOUBLE, 6
 )
 def _agg18_rates(spark, sf_dir):
     """AGG18: sentence rates and reference words."""
-    return asr.exact_rates(asr.successes(runs(spark, sf_dir)[0]), ["split", "speaker"])
+    return asr.exact_rates(asr.successes(one_run(spark, sf_dir)), ["split", "speaker"])
 
 
 @plan(
@@ -102,7 +108,7 @@ SELECT *, round(character_edits / reference_characters::DOUBLE, 6) AS cer FROM x
 )
 def _agg19(spark, sf_dir):
     """AGG19: corpus character errors."""
-    return asr.character_errors(asr.successes(runs(spark, sf_dir)[0]), ["split"])
+    return asr.character_errors(asr.successes(one_run(spark, sf_dir)), ["split"])
 
 
 @plan(
@@ -173,7 +179,7 @@ SELECT split, max(n) AS n, round(avg(v), 6) AS mean, round(median(v), 6) AS medi
 )
 def _agg8(spark, sf_dir):
     """AGG8: exact latency statistics."""
-    return mt.latency_summary(runs(spark, sf_dir)[0], ["split"], "latency_sec")
+    return mt.latency_summary(one_run(spark, sf_dir), ["split"], "latency_sec")
 
 
 @plan(
@@ -186,7 +192,7 @@ def _agg8_rtf(spark, sf_dir):
     """AGG8: real-time factors."""
     rtf = F.col("latency_sec") / F.col("duration_sec")
     return (
-        runs(spark, sf_dir)[0]
+        one_run(spark, sf_dir)
         .groupBy("split")
         .agg(
             F.avg(rtf).alias("mean_rtf"),
@@ -283,14 +289,14 @@ def _set2(spark, sf_dir):
 )
 def _srt3(spark, sf_dir):
     """SRT3: the hundred worst utterances."""
-    run = asr.successes(runs(spark, sf_dir)[0]).withColumn("edits", F.levenshtein("reference", "hypothesis"))
+    run = asr.successes(one_run(spark, sf_dir)).withColumn("edits", F.levenshtein("reference", "hypothesis"))
     return asr.worst(run.select("id", "speaker", "edits"), "edits", "id", 100)
 
 
 @plan("srt3_worst_by_word_error")
 def _srt3_words(spark, sf_dir):
     """SRT3: worst utterances by word error rate."""
-    scored = asr.aligned(asr.successes(runs(spark, sf_dir)[0]))
+    scored = asr.aligned(asr.successes(one_run(spark, sf_dir)))
     edits = F.col("substitutions") + F.col("deletions") + F.col("insertions")
     rated = scored.select("id", "speaker", (edits / F.col("reference_words")).alias("wer"))
     return asr.worst(rated, "wer", "id", 100)

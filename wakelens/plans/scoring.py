@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cascade as cs
 from ..operators import metrics as mt
-from .bindings import CASCADE_SQL, GROUPS, WINDOWS_SQL, stage1, stage2, windows, with_ctes
+from .bindings import CASCADE_SQL, GROUPS, WINDOWS_SQL, stage1, stage2, window_table, windows, with_ctes
 from .registry import counts_sql, metric_sql, plan
 
 T1, T2, K = 0.4, 0.25, 3
@@ -17,7 +17,7 @@ KEEP = ("label", "prompt_group", "speaker", "phrase_id", "fold", "split")
 
 
 def cascaded(spark, sf_dir):
-    w = windows(spark, sf_dir)
+    w = window_table(spark, sf_dir)
     return cs.clip_cascade(stage1(w), stage2(w), T1, T2, top_k=K, keep=KEEP)
 
 

@@ -9,7 +9,7 @@ from ..operators import config_search as cf
 from ..operators import metrics as mt
 from ..operators import selection as sl
 from ..operators import thresholds as th
-from .bindings import CASCADE_SQL, GROUPS, WINDOWS_SQL, stage1, stage2, windows, with_ctes
+from .bindings import CASCADE_SQL, GROUPS, WINDOWS_SQL, stage1, stage2, window_table, windows, with_ctes
 from .registry import counts_sql, metric_sql, plan
 from .scoring import C, W, cascaded
 
@@ -152,7 +152,7 @@ TARGETS = (0.85, 0.9, 0.95)
 
 def both_variants(spark, sf_dir):
     """Window scores of both stage-2 variants in long form."""
-    w = windows(spark, sf_dir).where(F.col("event_type") != "error")
+    w = window_table(spark, sf_dir).where(F.col("event_type") != "error")
     options = F.array(
         F.struct(F.lit("a").alias("variant"), F.col("stage2_score").alias("s2")),
         F.struct(F.lit("b").alias("variant"), F.col("stage2_score_b").alias("s2")),
@@ -329,7 +329,7 @@ om AS (SELECT fold, count(*) AS n, {counts_sql('label', 'trig')} FROM oz GROUP B
 
 def outer_test(spark, sf_dir):
     """Thresholds from out-of-fold rows, applied to each outer test fold."""
-    w = windows(spark, sf_dir)
+    w = window_table(spark, sf_dir)
     pooled = out_of_fold(stage1(w).join(stage2(w), ["clip_id", "window_index"]).select("label", "fold", "stage1_score", "stage2_score"))
     one = th.recall_first(th.sweep(pooled, ["outer"], "label", "stage1_score"), ["outer"], 0.95)
     two = th.recall_first(th.sweep(pooled, ["outer"], "label", "stage2_score"), ["outer"], 0.9)

@@ -10,7 +10,8 @@ from ..operators import manifest as mf
 from ..operators import metrics as mt
 from ..operators import sampling as sm
 from ..operators import splits as sp
-from .bindings import CASCADE_SQL, GROUPS, STAR_SQL, WINDOWS_SQL, clips, participants, table, windows, with_ctes
+from ..session import cut
+from .bindings import CASCADE_SQL, GROUPS, STAR_SQL, WINDOWS_SQL, clips, participants, table, window_table, windows, with_ctes
 from .registry import counts_sql, metric_sql, plan
 from .scoring import W, cascaded
 
@@ -42,12 +43,12 @@ oo AS (SELECT oc.*, o_custkey AS alias FROM oc JOIN orders ON o_orderkey = sessi
 
 
 def owned_clips(spark, sf_dir):
-    """First row of each clip id with its participant."""
+    """First row of each clip id with its participant, written once."""
     rows = clips(spark, sf_dir)
     rest = [c for c in rows.columns if c not in ("clip_id", "ingest")]
     firsts = rows.groupBy("clip_id").agg(F.min_by(F.struct(*rest), "ingest").alias("_c")).select("clip_id", "_c.*")
     owners = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_custkey").alias("alias"))
-    return firsts.join(owners, "session_id")
+    return cut(firsts.join(owners, "session_id"))
 
 
 @plan(
@@ -200,7 +201,7 @@ ws AS (SELECT w.* EXCLUDE (split), role AS split FROM w JOIN sp USING (speaker))
 
 
 def with_splits(spark, sf_dir):
-    return sp.assign_splits(windows(spark, sf_dir).drop("split"))
+    return sp.assign_splits(window_table(spark, sf_dir).drop("split"))
 
 
 @plan(
