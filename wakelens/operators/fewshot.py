@@ -293,6 +293,11 @@ def _recipes() -> Column:
     return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in recipe_grid()])
 
 
+def with_recipes(rows: DataFrame) -> DataFrame:
+    """Rows times the recipe grid, exploded inside each row: no join, no shuffle."""
+    return rows.withColumn("_r", F.explode(_recipes())).select("*", "_r.*").drop("_r")
+
+
 def with_support_facts(query: DataFrame, support: DataFrame) -> DataFrame:
     """Query rows with their record's quantiles and prototype similarity."""
     stats = support_statistics(support, RECORD).select(*RECORD, "q_min", "q_q20", "q_median")
@@ -307,7 +312,7 @@ def adapted(facts: DataFrame) -> DataFrame:
 
     Logits are compared at nine digits, so ties do not hinge on float noise.
     """
-    each = facts.withColumn("_r", F.explode(_recipes())).select("*", "_r.*").drop("_r")
+    each = with_recipes(facts)
     theta, base = F.col("theta2_logit"), F.col("base_logit")
     fused = base + F.col("alpha") * (F.col("similarity") - F.col("beta"))
     quantile = F.when(F.col("quantile") == "min", F.col("q_min")).when(F.col("quantile") == "q20", F.col("q_q20")).otherwise(F.col("q_median"))

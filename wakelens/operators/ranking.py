@@ -97,16 +97,6 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], coun
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= count)
 
 
-def with_group_stats(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
-    """Attach group aggregates by a join on a pre-aggregated table.
-
-    Unlike a window this keeps the map-side combine, and AQE can split the
-    row side of a hot key because the other side has one row per key.
-    """
-    stats = df.groupBy(*keys).agg(*aggs)
-    return df.join(stats, list(keys), "left")
-
-
 def _sorted_groups(keys: list[str], task: Callable):
     """Batches of sorted rows in, one task call per complete group."""
 

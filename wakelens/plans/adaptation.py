@@ -334,6 +334,21 @@ def _fs10(spark, sf_dir):
     return rows.select("shot", "q", F.inline(sizes)).select("grid", "shot", "recipes", (F.col("recipes") * F.col("q")).alias("evaluations"))
 
 
+@plan(
+    "jn15_recipe_grid",
+    FS.rstrip()
+    + f""", rc(recipe_index, recipe, method, alpha, beta, max_bias, margin, quantile) AS (VALUES {GRID_ROWS})
+SELECT shot, method, recipe, count(*) AS evaluations, count(DISTINCT target) AS targets FROM qry, rc GROUP BY ALL""",
+)
+def _jn15(spark, sf_dir):
+    """JN15: recipe grid times query records."""
+    query = sets(spark, sf_dir)[2].select("target", "shot")
+    per_target = fs.with_recipes(query).groupBy("target", "shot", "method", "recipe").agg(F.count(F.lit(1)).alias("_n"))
+    return per_target.groupBy("shot", "method", "recipe").agg(
+        F.sum("_n").alias("evaluations"), F.count(F.lit(1)).alias("targets")
+    )
+
+
 @plan(
     "fs11_adapted_metrics",
     FS.rstrip() + f", {ADAPTED_SQL} SELECT target, shot, seed, recipe, {CELLS_SQL} FROM ad GROUP BY ALL",
