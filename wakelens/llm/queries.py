@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
-from . import byte_bpe, language_id, main_text, quality_rules, sharding, token_counts
+from . import byte_bpe, decontamination, language_id, main_text, privacy, quality_rules, sharding, token_counts
 from .packed import prepare
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,23 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document, shards near equal in bytes."""
     placed = sharding.assign(documents(spark, sf_dir), shards=40)
     return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op3_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans of every document and the terms that disclose them."""
+    docs = documents(spark, sf_dir)
+    found = privacy.find(docs, cut(privacy.disclosing_terms(docs)))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    line = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
+    base = F.array_join(F.transform("base", line), ",")
+    added = F.transform("added", lambda s: F.concat_ws(":", F.concat(F.lit("term_"), s["kind"]), s["start"], s["end"]))
+    spans = F.array_join(F.concat(F.transform("base", line), added), ",")
+    return found.select(F.col("id").alias("doc_id"), *[count(k) for k in privacy.KINDS], F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in every document, with scores and overlaps."""
+    found = decontamination.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), F.round("score", 6).alias("score"), F.round("question", 6).alias("question_share"), F.round("answer", 6).alias("answer_share"), "start", "end")
