@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
-from . import byte_bpe, decontamination, language_id, main_text, privacy, quality_rules, sharding, token_counts
+from . import byte_bpe, decontamination, language_id, main_text, privacy, quality_rules, repeated_passages, sharding, token_counts
 from .packed import prepare
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item found in every document, with scores and overlaps."""
     found = decontamination.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), F.round("score", 6).alias("score"), F.round("question", 6).alias("question_share"), F.round("answer", 6).alias("answer_share"), "start", "end")
+
+
+@query
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of its repeated passages, as a digest."""
+    left = repeated_passages.remove_repeats(documents(spark, sf_dir))
+    return left.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
