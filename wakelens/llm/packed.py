@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Ship the task functions inside the closure, so executors need no install.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -173,3 +174,55 @@ def within_texts(n_windows: int, width: int, bounds: np.ndarray) -> np.ndarray:
     """Which windows lie in one text, for windows over the words of several."""
     owner_end = np.repeat(bounds[1:], np.diff(bounds))[:n_windows]
     return np.arange(n_windows) + width <= owner_end
+
+
+def slices(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+    """Bucket (the leading bits) and range of every bucket of sorted hashes."""
+    bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)])) if len(bucket) else np.zeros(1, np.int64)
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield int(bucket[a]), slice(int(a), int(b))
+
+
+def rows_batch(rows: Iterator[tuple], fields: tuple) -> pa.RecordBatch:
+    """A record batch of row tuples; ``fields`` are (name, type)."""
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
+
+
+def low_bits(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The 32 bits that follow the bucket."""
+    return ((hashes << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+
+
+def slot(low: np.ndarray, k: int, own: int) -> np.ndarray:
+    """Place ``k`` of an entry in its bucket's part (of ``own`` entries) of a filter."""
+    return (mix(low.astype(np.uint64) * np.uint64(2) + np.uint64(k)) & np.uint64(own - 1)).astype(np.int64)
+
+
+def bloom(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A filter of fixed size over the hashes in ``column``; the driver gets its words of 64 bits only."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = batch.column(0).to_numpy().view(np.uint64)
+            at = np.concatenate([bloom_places(hashes, k, bits) for k in range(3)])
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["word", "bit"])
+
+    marks = arrow_map(df.select(column), task, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
+    out = np.zeros(bits // 64, np.int64)
+    out[marks["word"].to_numpy(np.int64)] = marks["bit"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def bloom_places(hashes: np.ndarray, k: int, bits: int) -> np.ndarray:
+    return mix(hashes + np.uint64(k * 0x9E3779B9 + 1)) & np.uint64(bits - 1)
+
+
+def maybe_in(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be in the filter; none that is in it is missed."""
+    ok = np.ones(len(hashes), bool)
+    for k in range(3):
+        at = bloom_places(hashes, k, 64 * len(held))
+        ok &= (held[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return ok

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .packed import Shared, arrow_map, hash_words, mix, text_buffers, text_groups, word_bounds
+from .packed import Shared, arrow_map, bloom, hash_words, maybe_in, mix, text_buffers, text_groups, word_bounds
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -157,34 +157,6 @@ def entity_terms(df: DataFrame, text_col: str = "text") -> DataFrame:
     return arrow_map(_both(df, text_col), task, "entity long, kind string, term long, name string, place long")
 
 
-def bloom(df: DataFrame, term: str, bits: int = BLOOM_BITS) -> np.ndarray:
-    """A filter of fixed size over the hashes in ``term``; the driver gets its words of 64 bits only."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = batch.column(0).to_numpy().view(np.uint64)
-            at = np.concatenate([_slots(hashes, k, bits) for k in range(3)])
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["word", "bit"])
-
-    rows = arrow_map(df.select(term), task, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).collect()
-    out = np.zeros(bits // 64, np.int64)
-    for r in rows:
-        out[r.word] = r.bit
-    return out.view(np.uint64)
-
-
-def _slots(hashes: np.ndarray, k: int, bits: int) -> np.ndarray:
-    return mix(hashes + np.uint64(k * 0x9E3779B9 + 1)) & np.uint64(bits - 1)
-
-
-def _maybe(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    ok = np.ones(len(hashes), bool)
-    for k in range(3):
-        at = _slots(hashes, k, 64 * len(held))
-        ok &= (held[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-    return ok
-
-
 def _trim(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word bounds without the punctuation at the edges."""
     edge = np.zeros(256, bool)
@@ -207,7 +179,7 @@ def _term_hits(column: pa.Array, held: np.ndarray) -> Iterator[tuple]:
         starts, ends = word_bounds(raw, offsets)
         if len(starts):
             terms = hash_words(raw, *_trim(raw, starts, ends))
-            near = np.flatnonzero(_maybe(held, terms))
+            near = np.flatnonzero(maybe_in(held, terms))
             if len(near):
                 yield first, hash_words(raw, starts, ends), np.searchsorted(starts, offsets), near, terms[near].view(np.int64)
 
@@ -254,7 +226,7 @@ def disclosing_terms(df: DataFrame, text_col: str = "text", support: int = SUPPO
     pairs = cut(counted.where(F.col("n_both") >= support).join(entities, "entity").withColumn("information", information))
     most = F.ceil(F.max(F.col("n_both") * F.exp((1 - generalise) * F.col("information"))))
     enough = pairs.agg(most.alias("n")).first()["n"] or 0
-    held = Shared(df.sparkSession, bloom(pairs, "term"))
+    held = Shared(df.sparkSession, bloom(pairs, "term", BLOOM_BITS))
     seen = occurrences(df, held, int(enough), text_col).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     given = F.col("n_both") / F.greatest("n_term", "n_both")
     scored = pairs.join(seen, "term").withColumn("disclosure", 1 + F.log(given) / F.col("information"))
@@ -268,7 +240,7 @@ def find(df: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str
 
     ``key`` hashes the text, so rows of one identifier with other texts stay apart.
     """
-    held = Shared(df.sparkSession, bloom(terms, "term"))
+    held = Shared(df.sparkSession, bloom(terms, "term", BLOOM_BITS))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = held.get()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
-from . import byte_bpe, decontamination, language_id, main_text, privacy, quality_rules, repeated_passages, sharding, token_counts
+from . import byte_bpe, decontamination, language_id, main_text, privacy, quality_rules, repeated_passages, sharding, similar_texts, token_counts
 from .packed import prepare
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,10 @@ def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of its repeated passages, as a digest."""
     left = repeated_passages.remove_repeats(documents(spark, sf_dir))
     return left.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op8_similar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document."""
+    found = similar_texts.similar(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .packed import Shared, arrow_map, group_words, mix, text_groups, window_hashes, within_texts
+from .packed import Shared, arrow_map, group_words, low_bits, mix, rows_batch, slices, slot, text_groups, window_hashes, within_texts
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -51,14 +51,6 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string"), text).alias("key"), text.alias("text"))
 
 
-def slices(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
-    """Bucket (the leading bits) and range of every bucket of sorted hashes."""
-    bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
-    cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)])) if len(bucket) else np.zeros(1, np.int64)
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        yield int(bucket[a]), slice(int(a), int(b))
-
-
 def bucket_bits(df: DataFrame, text_col: str) -> tuple[int, int]:
     """Leading bits that make buckets of bounded size, and the filter bits, from the size of all texts."""
     words = (df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) / 6
@@ -79,7 +71,7 @@ def _probes(block: int, bits: int):
         twice = np.diff(np.append(at, len(hashes))) > 1
         is_block = np.add.reduceat(blocks.astype(np.int32), at) > 0
         hashes = hashes[at]
-        low = ((hashes << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+        low = low_bits(hashes, bits)
         flags = is_block.astype(np.uint8) | (twice.astype(np.uint8) << 1)
         for bucket, part in slices(hashes, bits):
             yield bucket, low[part].tobytes(), np.packbits(np.stack([flags[part] & 1, flags[part] >> 1])).tobytes()
@@ -97,10 +89,10 @@ def _probes(block: int, bits: int):
                 marks.append(is_block[ok])
                 held += len(parts[-1])
                 if held >= FLUSH:
-                    yield _rows(flush(parts, marks), _PROBE)
+                    yield rows_batch(flush(parts, marks), _PROBE)
                     parts, marks, held = [], [], 0
         if held:
-            yield _rows(flush(parts, marks), _PROBE)
+            yield rows_batch(flush(parts, marks), _PROBE)
 
     return task
 
@@ -108,11 +100,6 @@ def _probes(block: int, bits: int):
 _PROBE = (("bucket", pa.int64()), ("low", pa.binary()), ("flags", pa.binary()))
 
 
-def _rows(rows: Iterator[tuple], fields: tuple) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [()] * len(fields)
-    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
-
-
 def _anchors(bits: int, filter_bits: int):
     """Per bucket: the part of the filter that holds its anchors."""
     own = filter_bits >> bits
@@ -132,23 +119,19 @@ def _anchors(bits: int, filter_bits: int):
         found = hashes[at][(count > 1) & (np.add.reduceat(block.astype(np.int64), at) > 0)]
         part = np.zeros(own, bool)
         for k in range(2):
-            part[_slot(found, k, own)] = True
+            part[slot(found, k, own)] = True
         return pa.table({"bucket": table.column("bucket").slice(0, 1), "part": pa.array([np.packbits(part, bitorder="little").tobytes()], pa.binary())})
 
     return reduce
 
 
-def _slot(low: np.ndarray, k: int, own: int) -> np.ndarray:
-    return (mix(low.astype(np.uint64) * np.uint64(2) + np.uint64(k)) & np.uint64(own - 1)).astype(np.int64)
-
-
 def _anchored(held: np.ndarray, hashes: np.ndarray, bits: int, filter_bits: int) -> np.ndarray:
     own = filter_bits >> bits
-    low = ((hashes << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+    low = low_bits(hashes, bits)
     base = (hashes >> np.uint64(64 - bits)).astype(np.int64) * own
     ok = np.ones(len(hashes), bool)
     for k in range(2):
-        at = base + _slot(low, k, own)
+        at = base + slot(low, k, own)
         ok &= (held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
     return ok
 
@@ -198,10 +181,10 @@ def _candidates(block: int, width: int, bits: int, filter_bits: int, held: Share
                 parts.append((window_hashes(words, width, 2)[near], (window_hashes(words, width, 3)[near] >> np.uint64(32)).astype(np.uint32), keys[first + text], near - bounds[text]))
                 size += len(near)
                 if size >= FLUSH // 2:
-                    yield _rows(flush(parts), _ASKED)
+                    yield rows_batch(flush(parts), _ASKED)
                     parts, size = [], 0
         if size:
-            yield _rows(flush(parts), _ASKED)
+            yield rows_batch(flush(parts), _ASKED)
 
     return task
 
@@ -227,7 +210,7 @@ def _confirmed(bits: int):
         size = np.diff(np.append(at, len(hashes)))
         settled = np.minimum.reduceat(starts, at) < 0
         here = np.repeat((size > 1) | settled, size) & (starts >= 0)
-        return pa.Table.from_batches([_rows(_results(keys[here], starts[here], bits), _ASKED)])
+        return pa.Table.from_batches([rows_batch(_results(keys[here], starts[here], bits), _ASKED)])
 
     return reduce
 
