@@ -200,3 +200,20 @@ def predict(df: DataFrame, model: Coded, id_col: str = "doc_id", text_col: str =
 
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return arrow_map(source, task, f"id {source.schema['id'].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean")
+
+
+def label(df: DataFrame, model: Coded, text_col: str = "text", lead: float = 0.1) -> DataFrame:
+    """``df`` with ``lang_pred``, ``score`` and ``ambiguous`` added to every row."""
+    shared = Shared(df.sparkSession, model)
+    place = df.columns.index(text_col)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = shared.get()
+        for batch in batches:
+            out = [fitted.predict(t, lead) for t in batch.column(place).to_pylist()]
+            langs, scores, flags = zip(*out) if out else ((), (), ())
+            added = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(flags, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "lang_pred", "score", "ambiguous"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return arrow_map(df, task, f"{schema}, lang_pred string, score double, ambiguous boolean")

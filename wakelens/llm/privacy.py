@@ -275,9 +275,58 @@ def find(df: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str
     return joined.select("id", "key", "base", F.coalesce("added", none).alias("added"))
 
 
-def sanitise(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with base spans replaced by their kind and disclosing terms generalised or removed."""
-    spans = found.where((F.size("base") > 0) | (F.size("added") > 0)).select(F.col("id").alias("_id"), F.col("key").alias("_key"), "base", "added").dropDuplicates(["_id", "_key"])
+def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with base spans replaced by their kind and disclosing terms generalised or removed.
+
+    Texts without a disclosing term are rewritten where they are; only texts that
+    may hold one are joined with the terms.
+    """
+    terms = cut(disclosing_terms(df, text_col))
+    if terms.isEmpty():
+        return _rewritten(df, text_col, None)
+    held = Shared(df.sparkSession, bloom(terms, "term", BLOOM_BITS))
+    plain = _rewritten(df, text_col, held, False)
+    maybe = cut(_rewritten(df, text_col, held, True))
+    return plain.unionByName(_joined_spans(maybe, find(maybe, terms, id_col, text_col), id_col, text_col))
+
+
+def _rewritten(df: DataFrame, text_col: str, held: Shared | None, hit: bool = False) -> DataFrame:
+    """Rows whose text has (``hit``) or has no word of the filter; the latter with base spans replaced."""
+    columns, place = df.columns, df.columns.index(text_col)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flagged = np.zeros(batch.num_rows, bool)
+            if held is not None:
+                for first, _, bounds, near, _ in _term_hits(batch.column(len(columns)), held.get()):
+                    flagged[first + np.unique(np.searchsorted(bounds, near, "right") - 1)] = True
+            batch = batch.select(columns).filter(pa.array(flagged == hit))
+            if not hit:
+                texts = pa.array([_without(t) for t in batch.column(place).to_pylist()], batch.column(place).type)
+                batch = batch.set_column(place, columns[place], texts)
+            yield batch
+
+    text = F.col(text_col).cast("string")
+    source = df.withColumn(text_col, text).withColumn("_low", F.lower(text))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    return arrow_map(source, task, schema)
+
+
+def _without(text: str | None) -> str | None:
+    """The text with its base spans replaced by their kind; of overlapping spans the first wins."""
+    spans = sorted((a, b, kind) for kind, a, b in base_spans(text))
+    if not spans:
+        return text
+    out, at = [], 0
+    for a, b, kind in spans:
+        if a >= at:
+            out += [text[at:a], f"<{kind}>"]
+            at = b
+    return "".join([*out, text[at:]])
+
+
+def _joined_spans(df: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    spans = found.select(F.col("id").alias("_id"), F.col("key").alias("_key"), "base", "added").dropDuplicates(["_id", "_key"])
     columns = df.columns
     key = F.xxhash64(F.col(text_col).cast("string"))
     joined = df.withColumn("_own", key).join(spans, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")), "left")

@@ -374,7 +374,7 @@ def _searched(texts: DataFrame, placed: DataFrame, sizes: DataFrame, large: Data
 
 
 def similar(df: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row."""
+    """(id, key, n_shingles, component_id) of every row; ``key`` names it by identifier and text."""
     texts = keyed(df, id_col, text_col)
     sets = cut(sets_of(texts, width))
     joined = components(links(texts, sets, width, percent))
@@ -384,11 +384,19 @@ def similar(df: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc
     least = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     classes = labelled.join(least, "component").select(F.col("set").alias("_set"), "component_id")
     out = sets.join(classes, (sets["set"] == classes["_set"]) & (sets["n"] > 0), "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return out.select("id", "key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def representatives(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose identifier is the smallest of its component; one of equal rows stays."""
-    found = similar(df, width, percent, id_col, text_col)
-    kept = found.where(F.col("id").isNull() | (F.col("id") == F.col("component_id"))).select(F.col("id").alias("_id")).distinct()
-    return df.join(kept, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi").dropDuplicates([id_col, text_col])
+    """One row of ``df`` per component: that with its smallest identifier.
+
+    Rows without words are no copies of each other and stay, as do rows without
+    an identifier.  Of rows equal in identifier and text one stays.
+    """
+    found = cut(similar(df, width, percent, id_col, text_col))
+    own = F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    gone = found.where(F.col("id").isNotNull() & (F.col("id") != F.col("component_id"))).select(F.col("key").alias("_gone")).distinct()
+    repeated = found.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("key").alias("_many"))
+    kept = df.withColumn("_key", own).join(gone, F.col("_key") == F.col("_gone"), "left_anti").join(repeated, F.col("_key") == F.col("_many"), "left")
+    single = kept.where(F.col("_many").isNull()).select(*df.columns)
+    return single.unionByName(kept.where(F.col("_many").isNotNull()).dropDuplicates(["_key"]).select(*df.columns))
