@@ -39,10 +39,16 @@ class Shared:
 
     def __init__(self, spark: SparkSession, value) -> None:
         self.sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
-        self.key = ("shared", uuid.uuid4().hex)
+        self.key = uuid.uuid4().hex
 
     def get(self):
-        return worker_cache(self.key, lambda: pickle.loads(self.sent.value))
+        """The value; a worker keeps the last few only, since it outlives the query."""
+        held = worker_cache("shared", dict)
+        if self.key not in held:
+            while len(held) >= 2:
+                held.pop(next(iter(held)))
+            held[self.key] = pickle.loads(self.sent.value)
+        return held[self.key]
 
 
 def prepare(spark: SparkSession) -> SparkSession:

@@ -38,7 +38,7 @@ from .packed import Shared, arrow_map, group_words, low_bits, mix, rows_batch, s
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WIDTH = 35
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 BUCKET_HASHES = 8_000_000
 MIN_BUCKETS = 256
 FILTER_BITS = 1 << 28

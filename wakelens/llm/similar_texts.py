@@ -43,7 +43,7 @@ from .repeated_passages import bucket_bits, keyed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 FREQUENT = 16
 FREQUENT_CELLS = 1 << 22
 KEY_BITS = 1 << 25
@@ -104,7 +104,7 @@ def _new_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[n
             keep = [i for i in np.flatnonzero(size) if not (int(numbers[i]) in met or met.add(int(numbers[i])))]
             if keep:
                 yield np.concatenate([hashes[at[i] : at[i + 1]] for i in keep]), np.concatenate(([0], np.cumsum(size[keep]))), numbers[keep]
-            if len(met) > 1_000_000:
+            if len(met) > 200_000:
                 met.clear()
 
 
