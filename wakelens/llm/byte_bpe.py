@@ -27,12 +27,12 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packed import arrow_map, worker_cache
+from .packed import arrow_map, worker_slot
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Two generations of memoised words; the older one goes when the younger is full.
-MAX_WORDS = 300_000
+MAX_WORDS = 200_000
 LONG_TEXT = 4_000_000
 
 
@@ -190,7 +190,7 @@ class ByteBpe:
 
 
 def codec(path: str, pattern: str) -> ByteBpe:
-    return worker_cache(("byte_bpe", path, pattern), lambda: ByteBpe(path, pattern))
+    return worker_slot(("byte_bpe", path, pattern), lambda: ByteBpe(path, pattern))
 
 
 def _id_list(arrays: list[np.ndarray]) -> pa.Array:

@@ -34,6 +34,15 @@ def worker_cache(key, build: Callable):
     return held[key]
 
 
+def worker_slot(key, build: Callable):
+    """Like ``worker_cache`` for large values: the worker keeps the last one only, since it outlives queries."""
+    held = worker_cache("slot", dict)
+    if key not in held:
+        held.clear()
+        held[key] = build()
+    return held[key]
+
+
 class Shared:
     """A broadcast of one value; its size bound is the caller's to state."""
 
@@ -42,13 +51,7 @@ class Shared:
         self.key = uuid.uuid4().hex
 
     def get(self):
-        """The value; a worker keeps the last few only, since it outlives the query."""
-        held = worker_cache("shared", dict)
-        if self.key not in held:
-            while len(held) >= 2:
-                held.pop(next(iter(held)))
-            held[self.key] = pickle.loads(self.sent.value)
-        return held[self.key]
+        return worker_slot(self.key, lambda: pickle.loads(self.sent.value))
 
 
 def prepare(spark: SparkSession) -> SparkSession:

@@ -27,12 +27,12 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packed import arrow_map, worker_cache
+from .packed import arrow_map, worker_slot
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Two generations of memoised words; the older one goes when the younger is full.
-MAX_WORDS = 300_000
+MAX_WORDS = 200_000
 
 
 def byte_characters() -> list[str]:
@@ -182,7 +182,7 @@ class WordBpe:
 
 
 def counter(path: str) -> WordBpe:
-    return worker_cache(("word_bpe", path), lambda: WordBpe(path))
+    return worker_slot(("word_bpe", path), lambda: WordBpe(path))
 
 
 def prefix_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
