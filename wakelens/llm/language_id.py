@@ -29,6 +29,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .packed import Shared, arrow_map, mix, worker_cache
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -120,8 +121,8 @@ def labelled_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, pe
     ids = known.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col)).alias("h"))
     lowest = Window.partitionBy("lang").orderBy("h", "id")
     picked = ids.withColumn("place", F.row_number().over(lowest)).where(F.col("place") <= per_language)
-    last = picked.groupBy("lang").agg(F.max("h").alias("last"))
-    # One row a language: the bound of its sample.
+    # One row a language, the bound of its sample; written, so that its size is known before the join.
+    last = cut(picked.groupBy("lang").agg(F.max("h").alias("last")))
     texts = known.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("text"))
     return texts.join(last, "lang").where(F.col("h") <= F.col("last")).select("lang", "text")
 
