@@ -91,7 +91,7 @@ class ByteBpe:
         known = self.fits.get(key)
         if known is not None:
             return known
-        if len(self.fits) > 1_000_000:
+        if len(self.fits) > 300_000:
             self.fits.clear()
         bound, answer = None, True
         a, b = left, right

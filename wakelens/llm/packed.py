@@ -7,6 +7,7 @@ bytes per word, however long a text is.
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import sys
 import uuid
@@ -35,8 +36,9 @@ def worker_cache(key, build: Callable):
 
 
 def worker_slot(key, build: Callable):
-    """Like ``worker_cache`` for large values: the worker keeps the last one only, since it outlives queries."""
+    """Like ``worker_cache`` for large values: the worker keeps the last one only, up to a task that needs none."""
     held = worker_cache("slot", dict)
+    worker_cache("used", set).add(key)
     if key not in held:
         held.clear()
         held[key] = build()
@@ -62,7 +64,25 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 def arrow_map(df: DataFrame, task: Callable, schema: str) -> DataFrame:
     """``task`` maps an iterator of record batches to one, inside Spark's tasks."""
-    return df.mapInArrow(task, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = worker_cache("slot", dict)
+        worker_cache("used", set).clear()
+        yield from task(batches)
+        if not worker_cache("used", set):
+            held.clear()
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker outlives its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -84,7 +84,7 @@ class WordBpe:
         known = self.fits.get(key)
         if known is not None:
             return known
-        if len(self.fits) > 1_000_000:
+        if len(self.fits) > 300_000:
             self.fits.clear()
         a, b, bound, answer = left, right, len(self.rank), True
         while True:
