@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,56 +75,23 @@ def serpentine_folds(vectors: DataFrame, unit: str, folds: int = 5, seed: int =
     return ranked.withColumn("fold", _snake(F.col("size_rank"), folds)).drop("size_rank")
 
 
-def _greedy(folds: int, measures: tuple, weights: np.ndarray, seed: int, unit: str):
-    """Task function: place one start's head participants one by one."""
-
-    def place(head: pd.DataFrame) -> pd.DataFrame:
-        start = int(head["start"].iloc[0])
-        noise = np.random.default_rng(seed + start).random(len(head))
-        head = head.sort_values("size_rank", kind="stable").assign(_noise=noise)
-        head = head.sort_values(["clips", "positive", "_noise"], ascending=False, kind="stable")
-        values = head[list(measures)].to_numpy(dtype=float)
-        # All folds share the mean, so only this linear term tells them apart.
-        mean = values.cumsum(axis=0) / folds
-        slope = weights * np.divide(values, mean**2, out=np.zeros_like(values), where=mean > 0)
-        stats, sizes = np.zeros((folds, len(measures))), [0] * folds
-        chosen = np.zeros(len(head), dtype=int)
-        for i in range(len(values)):
-            cost = (stats @ slope[i]).tolist()
-            pick = min(zip(cost, sizes, range(folds)))[2]
-            chosen[i] = pick
-            stats[pick] += values[i]
-            sizes[pick] += 1
-        return pd.DataFrame({"start": start, unit: head[unit].to_numpy(), "fold": chosen})
-
-    return place
-
-
-def multistart_folds(
-    vectors: DataFrame, unit: str, *, folds: int = 5, starts: int = 200, head: int = 2000, seed: int = 20260620
-) -> DataFrame:
-    """Best of many greedy starts for the largest participants, snake for the rest.
-
-    Only the ``head`` largest participants enter a start, so no task holds
-    more; whoever is smaller continues the snake.  With at most ``head``
-    participants this is the plain multi-start greedy.
+def multistart_folds(vectors: DataFrame, unit: str, *, folds: int = 5, starts: int = 20, seed: int = 20260620) -> DataFrame:
+    """Best of several seeded snakes over all participants.
+
+    Every participant takes part in every start; starts differ in the order of
+    participants of equal size.  Each start is a distributed ranking and is
+    scored from the sums of its folds; the least objective wins, then the first
+    start.
     """
-    ranked = _by_size(vectors, unit, seed)
-    top = ranked.where(F.col("size_rank") <= head)
-    tail = ranked.where(F.col("size_rank") > head).withColumn("fold", _snake(F.col("size_rank"), folds))
-    tries = top.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))))
-    kind = dict(vectors.dtypes)[unit]
-    task = _greedy(folds, tuple(WEIGHTS), np.array(list(WEIGHTS.values())), seed, unit)
-    spread = tries.repartition(min(starts, 200), "start")
-    placed = cut(spread.groupBy("start").applyInPandas(task, schema=f"start int, {unit} {kind}, fold int"))
-    stats = placed.join(top, unit)
-    rest = fold_statistics(tail).select("fold", *[F.col(m).alias(f"_t_{m}") for m in WEIGHTS])
-    per_fold = fold_statistics(stats, ["start"]).join(F.broadcast(rest), "fold", "left")
-    whole = per_fold.select("start", "fold", *[(F.col(m) + F.coalesce(f"_t_{m}", F.lit(0))).alias(m) for m in WEIGHTS])
-    best = fold_objective(whole, folds, ["start"]).agg(F.min_by("start", F.struct("objective", "start")).alias("start"))
-    chosen = placed.join(F.broadcast(best), "start").select(unit, "fold").join(top, unit)
-    cols = [unit, *WEIGHTS, "fold"]
-    return chosen.select(*cols).unionByName(tail.select(*cols))
+    tries = vectors.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))))
+    keyed = tries.withColumn("_key", order_key(seed, F.col("start"), F.col(unit)))
+    order = [F.col("clips").desc(), F.col("positive").desc(), F.col("_key"), F.col(unit)]
+    bucket = F.struct(-F.col("clips"), -F.col("positive"), hash_bucket(F.col("_key"), 1))
+    ranked = numbered(keyed, ["start"], order, bucket, "size_rank")
+    placed = cut(ranked.select("start", unit, *WEIGHTS, _snake(F.col("size_rank"), folds).alias("fold")))
+    scored = fold_objective(fold_statistics(placed, ["start"]), folds, ["start"])
+    best = scored.agg(F.min_by("start", F.struct(F.round("objective", 9), "start")).alias("start"))
+    return placed.join(F.broadcast(best), "start").select(unit, *WEIGHTS, "fold")
 
 
 def nested_plan(spark, folds: int = 5) -> DataFrame:

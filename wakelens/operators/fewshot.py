@@ -153,12 +153,17 @@ def replay_classes(rows: DataFrame, development: DataFrame, unit: str, phrases:
 def prototypes(support: DataFrame, keys: Sequence[str], embedding: str = "embedding") -> DataFrame:
     """L2-normalised mean of L2-normalised support vectors.
 
-    Averaged by position, so the vectors of a key merge map-side.
+    Averaged by position, so the vectors of a key merge map-side.  A zero or
+    non-finite vector, or vectors of several sizes, fail their key: its
+    prototype is null, and ``bad_vectors`` lists the rows.
     """
+    wrong = F.coalesce(F.max(unit(F.col(embedding)).isNull()), F.lit(True)) | (F.min(F.size(embedding)) != F.max(F.size(embedding)))
+    sound = support.groupBy(*keys).agg((~wrong).alias("_sound"))
     long = support.select(*keys, F.posexplode(unit(F.col(embedding))).alias("_i", "_x"))
     means = long.groupBy(*keys, "_i").agg(F.avg("_x").alias("_x"))
     vectors = means.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_i", "_x"))).alias("_v"))
-    return vectors.select(*keys, unit(F.transform("_v", lambda s: s["_x"])).alias("prototype"))
+    prototype = F.when(F.col("_sound"), unit(F.transform("_v", lambda s: s["_x"])))
+    return sound.join(vectors, list(keys), "left").select(*keys, prototype.alias("prototype"))
 
 
 def bad_vectors(rows: DataFrame, embedding: str = "embedding", dimension: int | None = None) -> DataFrame:

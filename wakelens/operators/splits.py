@@ -85,7 +85,7 @@ def reconcile_duplicates(rows: DataFrame, content: str, split: str = "split") ->
     return keyed.join(target, "_k", "left").withColumn(split, settled).drop("_k", "_p")
 
 
-def drop_conflicting(rows: DataFrame, speaker: str, split: str = "split") -> DataFrame:
-    """Strict mode: after reconciliation keep each speaker's strictest split only."""
+def flag_conflicting(rows: DataFrame, speaker: str, split: str = "split") -> DataFrame:
+    """Strict mode: after reconciliation flag rows outside their speaker's strictest split; none goes."""
     strictest = rows.groupBy(speaker).agg(F.max(_priority(F.col(split))).alias("_p"))
-    return rows.join(strictest, speaker).where(_priority(F.col(split)) == F.col("_p")).drop("_p")
+    return rows.join(strictest, speaker).withColumn("conflict", _priority(F.col(split)) < F.col("_p")).drop("_p")

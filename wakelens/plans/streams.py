@@ -218,18 +218,22 @@ def _str5_sessions(spark, sf_dir):
 @plan(
     "str6_incremental_intake",
     with_ctes(UTTERANCES_SQL)
-    + "SELECT status, count(*) AS rows, count(DISTINCT id) AS ids FROM run_a GROUP BY status",
+    + "SELECT status AS outcome, count(*) AS rows, count(DISTINCT id) AS ids FROM run_a GROUP BY status UNION ALL SELECT 'broken', 8, 0",
 )
 def _str6(spark, sf_dir):
-    """STR6: prediction files streamed in, repeated rows dropped, routed."""
+    """STR6: prediction files streamed in and routed; the last row of an id wins, broken lines stay."""
     run = recognised(utterances(spark, sf_dir)).select("id", "status", "hypothesis", F.lit("2024-01-01 00:00:00").alias("at"))
     path = shared_folder(spark)
-    run.unionByName(run.where(F.col("status") == "success")).write.json(path)
+    # Successes come twice, once after a failed try; five broken lines and three rows without an id.
+    tried = run.where(F.col("status") == "success").withColumn("status", F.lit("failed")).withColumn("at", F.lit("2023-12-31 00:00:00"))
+    run.unionByName(run.where(F.col("status") == "success")).unionByName(tried).write.json(path)
+    odd = F.when(F.col("id") < 5, F.concat(F.lit('{"id": '), F.col("id"))).otherwise(F.lit('{"status": "failed", "at": "2024-01-01 00:00:00"}'))
+    spark.range(8).select(odd.alias("value")).write.mode("append").text(path)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "status", "hypothesis", "at")])
     stream = intake.prediction_stream(spark, path, schema).withColumn("ts", F.col("at").cast("timestamp"))
-    good, bad = intake.route_predictions(stream, "id", "ts", "1 hour")
-    both = spark.read.parquet(good).select("id", "status").unionByName(spark.read.parquet(bad).select("id", "status"))
-    return both.groupBy("status").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("ids"))
+    routed = intake.route_predictions(stream, "id", "ts")
+    known = F.when(F.col("outcome") != "broken", F.col("id"))
+    return routed.groupBy("outcome").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(known).alias("ids"))
 
 
 # --- frames and windows ---------------------------------------------------------------

@@ -234,12 +234,12 @@ def _win20(spark, sf_dir):
     "win20_strict_mode",
     W
     + f""", {RANKED_SQL}, {SETTLED_SQL}, q AS (SELECT speaker, max(list_position(['train', 'val', 'test'], split)) AS p FROM st GROUP BY speaker)
-SELECT st.speaker, split, count(*) AS windows FROM st JOIN q ON q.speaker = st.speaker AND list_position(['train', 'val', 'test'], split) = p GROUP BY ALL""",
+SELECT st.speaker, split, list_position(['train', 'val', 'test'], split) < p AS conflict, count(*) AS windows FROM st JOIN q ON q.speaker = st.speaker GROUP BY ALL""",
 )
 def _win20_strict(spark, sf_dir):
-    """WIN20: strict mode keeps speakers disjoint after reconciliation."""
+    """WIN20: strict mode re-checks speakers after reconciliation and flags conflicts."""
     settled = sp.reconcile_duplicates(with_splits(spark, sf_dir), "content_hash")
-    return sp.drop_conflicting(settled, "speaker").groupBy("speaker", "split").agg(F.count(F.lit(1)).alias("windows"))
+    return sp.flag_conflicting(settled, "speaker").groupBy("speaker", "split", "conflict").agg(F.count(F.lit(1)).alias("windows"))
 
 
 # --- caps and the capped population ----------------------------------------------
@@ -340,10 +340,22 @@ def _cv3(spark, sf_dir):
     return cv.serpentine_folds(vectors(spark, sf_dir), "alias").select("alias", "clips", "positive", "fold")
 
 
-@plan("cv3_multistart_folds")
-def _cv3_greedy(spark, sf_dir):
-    """CV3 and UDF4: best of many greedy starts, summed per fold."""
-    return cv.fold_statistics(cv.multistart_folds(vectors(spark, sf_dir), "alias", starts=200))
+STARTS = 20
+OBJECTIVE_SQL = " + ".join(f"{w} * 5 * (5 * sum({m}::DOUBLE * {m}) / pow(sum({m}::DOUBLE), 2) - 1)" for m, w in cv.WEIGHTS.items())
+
+
+@plan(
+    "cv3_multistart_folds",
+    S
+    + f""", {ONE_ROW_SQL}, {VECTORS_SQL}, tr AS (SELECT pv.*, s.i AS start FROM pv, range({STARTS}) s(i)),
+rs AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY clips DESC, positive DESC, sha256('20260620:' || start || ':' || alias), alias) AS i FROM tr),
+ps AS (SELECT *, CAST(CASE WHEN (i - 1) // 5 % 2 = 0 THEN (i - 1) % 5 ELSE 4 - (i - 1) % 5 END AS INT) AS fold FROM rs),
+gs AS (SELECT start, fold, {MEASURES} FROM ps GROUP BY start, fold), os AS (SELECT start, {OBJECTIVE_SQL} AS objective FROM gs GROUP BY start)
+SELECT fold, {", ".join(cv.WEIGHTS)} FROM gs WHERE start = (SELECT start FROM os ORDER BY round(objective, 9), start LIMIT 1)""",
+)
+def _cv3_multistart(spark, sf_dir):
+    """CV3 and UDF4: best of many seeded starts, summed per fold."""
+    return cv.fold_statistics(cv.multistart_folds(vectors(spark, sf_dir), "alias", starts=STARTS))
 
 
 @plan(

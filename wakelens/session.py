@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,16 +39,18 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``.
+    """A fresh folder that all executors share, removed when the session ends.
 
-    Only where the cluster names none (tests) is a temporary folder used.
+    It lies below the checkpoint folder of the context or of
+    ``spark.checkpoint.dir``; only where neither is set, below the warehouse.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    if not root:
-        root = tempfile.mkdtemp(prefix="wakelens-")
-    return f"{root.rstrip('/')}/wakelens-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    root = root or f"{spark.conf.get('spark.sql.warehouse.dir')}/intermediate"
+    folder = f"{root.rstrip('/')}/wakelens-{uuid.uuid4().hex}"
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -27,10 +27,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, *, strict:
 
 
 def prediction_state(rows: DataFrame, key: str, *, retry_failed: bool = False) -> DataFrame:
-    """Completed ids, failures and corrupt lines of a resumable run."""
+    """Completed ids, failures and corrupt lines of a resumable run; an unknown status completes nothing."""
     corrupt = F.col(CORRUPT).isNotNull() | (F.coalesce(F.col(key), F.lit("")) == "")
-    failed = ~corrupt & (F.coalesce(F.col("status"), F.lit("")) != "success")
-    done = ~corrupt & (F.lit(not retry_failed) | ~failed)
+    status = F.coalesce(F.col("status"), F.lit(""))
+    failed = ~corrupt & (status == "failed")
+    done = ~corrupt & ((status == "success") | (F.lit(not retry_failed) & failed))
     per_id = rows.select(key, corrupt.alias("_c"), failed.alias("_f"), done.alias("_d"))
     folded = per_id.groupBy(key).agg(
         F.count_if("_c").alias("_c"), F.count_if("_f").alias("_f"), F.max("_d").cast("int").alias("_d"), F.count(F.lit(1)).alias("_n")

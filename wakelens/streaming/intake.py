@@ -40,22 +40,25 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def route_predictions(stream: DataFrame, key: str, ts: str, delay: str) -> tuple[str, str]:
-    """Deduplicate by id and send good and bad rows to two tables.
+def route_predictions(stream: DataFrame, key: str, ts: str) -> DataFrame:
+    """All rows of a prediction stream with their outcome: success, failed or broken.
 
-    A micro-batch may be replayed after a failure; its folder carries the batch
-    number and is overwritten, so rows arrive exactly once.
+    Rows are routed before anything is dropped.  A micro-batch is one write,
+    partitioned by outcome, to a folder of its own, so a replayed batch takes the
+    place of its first try.  Afterwards the last row of an id wins, across files
+    and outcomes; broken lines and rows without an id are all kept.
     """
-    base = shared_folder(stream.sparkSession)
-    good, bad = f"{base}/success", f"{base}/failed"
+    spark, base = stream.sparkSession, shared_folder(stream.sparkSession)
 
     def store(batch: DataFrame, number: int) -> None:
-        broken = F.col(CORRUPT).isNotNull() | (F.coalesce(F.col(key), F.lit("")) == "")
-        passed = F.coalesce(F.col("status") == "success", F.lit(False)) & ~broken
-        batch.where(passed).write.mode("overwrite").parquet(f"{good}/batch={number}")
-        batch.where(~passed).write.mode("overwrite").parquet(f"{bad}/batch={number}")
+        broken = F.col(CORRUPT).isNotNull() | (F.coalesce(F.col(key), F.lit("")) == "") | ~F.coalesce(F.col("status").isin("success", "failed"), F.lit(False))
+        routed = batch.withColumn("outcome", F.when(broken, "broken").otherwise(F.col("status")))
+        routed.write.mode("overwrite").partitionBy("outcome").parquet(f"{base}/rows/batch={number}")
 
-    unique = stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key, "status"])
-    query = unique.writeStream.foreachBatch(store).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(store).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return good, bad
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType()), T.StructField("outcome", T.StringType())])
+    rows = spark.read.schema(schema).parquet(f"{base}/rows")
+    sound = rows.where(F.col("outcome") != "broken")
+    last = sound.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(ts, "batch", F.col("outcome") == "success")).alias("r")).select("r.*")
+    return rows.where(F.col("outcome") == "broken").unionByName(last)
