@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .packed import Shared, arrow_map, group_words, low_bits, mix, rows_batch, slices, slot, text_groups, window_hashes, within_texts
+from .packed import Shared, arrow_map, bloom, group_words, low_bits, maybe_in, mix, rows_batch, slices, slot, text_groups, window_hashes, within_texts
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -42,6 +42,7 @@ FLUSH = 1_000_000
 BUCKET_HASHES = 8_000_000
 MIN_BUCKETS = 256
 FILTER_BITS = 1 << 28
+KEY_BITS = 1 << 25
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -199,9 +200,11 @@ def _results(keys: np.ndarray, starts: np.ndarray, bits: int) -> Iterator[tuple]
 
 
 def _confirmed(bits: int):
-    """Per bucket: the windows whose sequence starts at two places or more."""
+    """Per bucket: the windows whose sequence starts at two places or more; results pass."""
 
     def reduce(table: pa.Table) -> pa.Table:
+        if table.column("kind")[0].as_py() == 1:
+            return table
         get = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
         hashes, check, keys, starts = get("hash", np.uint64), get("check", np.uint32), get("key", np.int64), get("start", np.int32)
         order = np.lexsort((check, hashes))
@@ -247,30 +250,51 @@ def repeats(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col:
     for row in anchors.collect():
         held[row.bucket * own : (row.bucket + 1) * own] = np.frombuffer(row.part, np.uint8)
     schema = "kind int, bucket long, hash binary, check binary, key binary, start binary"
-    found = cut(arrow_map(texts, _candidates(block, width, bits, filter_bits, Shared(df.sparkSession, held)), schema))
-    asked = found.where("kind = 0").groupBy("bucket").applyInArrow(_confirmed(bits), schema)
-    results = found.where("kind = 1").unionByName(asked).select("bucket", "key", "start")
+    found = arrow_map(texts, _candidates(block, width, bits, filter_bits, Shared(df.sparkSession, held)), schema)
+    results = found.groupBy("kind", "bucket").applyInArrow(_confirmed(bits), schema).select("bucket", "key", "start")
     return results.groupBy("bucket").applyInArrow(_runs(width), "key long, runs array<int>")
 
 
 def remove_repeats(df: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_removed, kept): every text without its repeats, words joined by one space."""
-    runs = repeats(df, width, id_col, text_col)
+    """(id, n_words, n_removed, kept): every text without its repeats, words joined by one space.
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 200):
-                batch = whole.slice(i, 200)
-                counts, gone, kept = [], [], []
-                for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                    words = _WORD.findall(text)
-                    n = len(words)
-                    for a, b in reversed(list(zip(ranges[::2], ranges[1::2])) if ranges else []):
-                        del words[a:b]
-                    counts.append(n)
-                    gone.append(n - len(words))
-                    kept.append(" ".join(words))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept"])
-
-    source = keyed(df, id_col, text_col).join(runs, "key", "left").select("id", "text", "runs")
-    return arrow_map(source, task, f"id {source.schema['id'].dataType.simpleString()}, n_words long, n_removed long, kept string")
+    Only texts that may hold a repeat, by a filter of fixed size, are joined with
+    the ranges; the others are written where they are.
+    """
+    runs = cut(repeats(df, width, id_col, text_col))
+    held = Shared(df.sparkSession, bloom(runs, "key", KEY_BITS))
+    texts = keyed(df, id_col, text_col)
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_may_hold(batch, held)))
+
+    def shortened(with_runs: bool):
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                whole = whole if with_runs else whole.filter(pa.array(~_may_hold(whole, held)))
+                for i in range(0, whole.num_rows, 200):
+                    batch = whole.slice(i, 200)
+                    ranges = batch.column(3).to_pylist() if with_runs else [None] * batch.num_rows
+                    rows = [_shortened(t, r) for t, r in zip(batch.column(2).to_pylist(), ranges)]
+                    counts, gone, kept = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept"])
+
+        return task
+
+    schema = f"id {kind}, n_words long, n_removed long, kept string"
+    maybe = arrow_map(texts, near, f"id {kind}, key long, text string").join(runs, "key", "left").select("id", "key", "text", "runs")
+    return arrow_map(texts, shortened(False), schema).unionByName(arrow_map(maybe, shortened(True), schema))
+
+
+def _may_hold(batch: pa.RecordBatch, held: Shared) -> np.ndarray:
+    return maybe_in(held.get(), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
+
+
+def _shortened(text: str, ranges: list[int] | None) -> tuple[int, int, str]:
+    words = _WORD.findall(text)
+    n = len(words)
+    for a, b in reversed(list(zip(ranges[::2], ranges[1::2]))) if ranges else ():
+        del words[a:b]
+    return n, n - len(words), " ".join(words)
