@@ -48,7 +48,7 @@ FREQUENT = 16
 FREQUENT_CELLS = 1 << 22
 KEY_BITS = 1 << 25
 SALT_SETS = 4096
-BLOCK_SETS = 256
+BLOCK_SETS = 1024
 UNIT_SETS = 1000
 
 
