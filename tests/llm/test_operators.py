@@ -121,6 +121,15 @@ def test_main_text(spark):
     assert main_text.extract(frame.limit(0), main_text.induce(frame.limit(0))).count() == 0
 
 
+def test_a_hot_host_is_dealt_out(spark):
+    rows = [(i, "http://h/x", f"<body><p>same</p><div>{'<b>x</b>' * i}<p>own {i}</p></div></body>") for i in range(40)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    split = main_text.induce(frame, group_pages=4)
+    assert "hashpartitioning(unit" in split._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: r.text for r in main_text.extract(frame, split).collect()}
+    assert all(got[i].endswith(f"own {i}") and "same" not in got[i] for i in range(40))
+
+
 def test_tree_alignment_is_in_order():
     a = main_text.skeleton("<div><p>a</p><ul><li>x</ul><p>b</p></div>")
     b = main_text.skeleton("<div><p>a</p><p>b</p></div>")

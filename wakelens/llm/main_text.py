@@ -176,7 +176,7 @@ def align(a: list[tuple[int, str, int]], b: list[tuple[int, str, int]]) -> list[
             hi += 1
         left, right = left[lo : len(left) - hi], right[lo : len(right) - hi]
         if left and right:
-            todo.extend(_align_children(left, right, size))
+            todo.extend(_align_children(a, b, kids_a, kids_b, left, right, size))
     return pairs
 
 
@@ -188,15 +188,21 @@ def _children(tree: list[tuple[int, str, int]]) -> list[list[int]]:
     return kids
 
 
-def _align_children(left: list[int], right: list[int], size) -> list[tuple[int, int]]:
+def _align_children(a: list, b: list, kids_a: list[list[int]], kids_b: list[list[int]], left: list[int], right: list[int], size) -> list[tuple[int, int]]:
     best = np.zeros((len(left) + 1, len(right) + 1), np.int32)
-    gains = np.array([[size(x, y) for y in right] for x in left], np.int32)
-    for i in range(1, len(left) + 1):
-        row = np.maximum(best[i - 1, 1:], np.where(gains[i - 1] > 0, best[i - 1, :-1] + gains[i - 1], 0))
+    codes: dict[str, int] = {}
+    label = np.array([codes.setdefault(b[y][1], len(codes)) for y in right])
+    text = np.array([b[y][2] for y in right], np.int64)
+    below = np.array([len(kids_b[y]) for y in right])
+    for i, x in enumerate(left, 1):
+        # ``size`` of x and every node on the right.
+        gains = 1 + ((text == a[x][2]) & (text != 0)) + np.minimum(below, len(kids_a[x]))
+        row = np.maximum(best[i - 1, 1:], np.where(label == codes.get(a[x][1], -1), best[i - 1, :-1] + gains, 0))
         best[i, 1:] = np.maximum.accumulate(row)
     i, j, out = len(left), len(right), []
     while i and j:
-        if gains[i - 1, j - 1] > 0 and best[i, j] == best[i - 1, j - 1] + gains[i - 1, j - 1]:
+        gain = size(left[i - 1], right[j - 1])
+        if gain and best[i, j] == best[i - 1, j - 1] + gain:
             out.append((left[i - 1], right[j - 1]))
             i, j = i - 1, j - 1
         elif best[i, j] == best[i - 1, j]:
@@ -230,7 +236,9 @@ def induce(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     trees = cut(arrow_map(source, skeletons, "host string, tree string").where(F.length("tree") > 0))
     distinct = trees.groupBy("host", F.xxhash64("tree").alias("h")).agg(F.first("tree").alias("tree"))
     counts = trees.groupBy("host").agg(F.approx_count_distinct(F.xxhash64("tree")).alias("n"))
-    salted = distinct.join(counts, "host").select("host", F.pmod("h", F.ceil(F.col("n") / group_pages)).alias("salt"), "tree")
+    salt = F.pmod("h", F.ceil(F.col("n") / group_pages))
+    # One key of host and salt: rows that the join has dealt out by host would stay together under two.
+    salted = distinct.join(counts, "host").select("host", F.struct("host", salt.alias("salt")).alias("unit"), "tree")
 
     def votes(table: pa.Table) -> pa.Table:
         host = table.column("host")[0].as_py()
@@ -243,7 +251,7 @@ def induce(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
         rows = [(host, p, h, k) for (p, h), k in same.items()]
         return pa.table({"host": pa.array([r[0] for r in rows], pa.string()), "path": pa.array([r[1] for r in rows], pa.string()), "hash": pa.array([r[2] for r in rows], pa.int64()), "same": pa.array([r[3] for r in rows], pa.int64())})
 
-    seen = salted.groupBy("host", "salt").applyInArrow(votes, "host string, path string, hash long, same long")
+    seen = salted.groupBy("unit").applyInArrow(votes, "host string, path string, hash long, same long")
     total = seen.groupBy("host", "path", "hash").agg(F.sum("same").alias("same"))
     pages_of = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     constant = total.where(F.col("same") >= at_least).join(pages_of, "host").where(F.col("same") >= share * F.col("pages"))
