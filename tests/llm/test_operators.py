@@ -57,6 +57,16 @@ def test_language(spark, docs, empty):
     assert language_id.predict(empty, model).count() == 0
 
 
+def test_language_sample_is_that_of_lowest_hashes(spark, empty):
+    frame = spark.createDataFrame([(i, f"text {i}", "en" if i % 5 else "de", 0, "") for i in range(1000)], DOCS)
+    rows = frame.select("lang", "text", F.xxhash64("doc_id").alias("h")).collect()
+    for bound in (1, 7, 500):
+        want = {r.text for lang in ("en", "de") for r in sorted((r for r in rows if r.lang == lang), key=lambda r: r.h)[:bound]}
+        got = [r.text for r in language_id.labelled_sample(frame, "doc_id", "text", "lang", bound).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert language_id.labelled_sample(empty, "doc_id", "text", "lang", 7).count() == 0
+
+
 def test_codewords_lie_apart():
     for n in (2, 3, 5, 12, 40):
         code = language_id.codewords(n)

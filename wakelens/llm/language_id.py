@@ -36,6 +36,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BUCKETS = 1 << 15
 PER_LANGUAGE = 600
+SPAN_BITS = 16
 PIECE = 1 << 16
 UNKNOWN = "und"
 
@@ -119,8 +120,14 @@ def labelled_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, pe
     """(lang, text) of at most ``per_language`` rows a language, by hash of the identifier."""
     known = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.col(lang_col) != UNKNOWN))
     ids = known.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col)).alias("h"))
+    # Counts of the hashes' leading bits tell beyond which no hash can be picked, so few rows meet in the ranking of a language.
+    span = F.shiftright("h", 64 - SPAN_BITS)
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
+    counts = ids.groupBy("lang", span.alias("span")).agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
+    # Written, so that the size of this one row a language is known before the join.
+    near = cut(counts.where(F.col("before") < per_language).groupBy("lang").agg(F.max("span").alias("span")))
     lowest = Window.partitionBy("lang").orderBy("h", "id")
-    picked = ids.withColumn("place", F.row_number().over(lowest)).where(F.col("place") <= per_language)
+    picked = ids.join(near, "lang").where(span <= F.col("span")).withColumn("place", F.row_number().over(lowest)).where(F.col("place") <= per_language)
     # One row a language, the bound of its sample; written, so that its size is known before the join.
     last = cut(picked.groupBy("lang").agg(F.max("h").alias("last")))
     texts = known.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("text"))
