@@ -140,6 +140,25 @@ def test_a_hot_host_is_dealt_out(spark):
     assert all(got[i].endswith(f"own {i}") and "same" not in got[i] for i in range(40))
 
 
+@pytest.mark.parametrize("odd", ["", "<article><p>fragment</p></article>", "<hr>"])
+def test_a_page_without_the_template_takes_no_votes_away(spark, odd):
+    rows = [(0, "http://h/0", odd)] + [(i, f"http://h/{i}", f"<html><body><p>own {i}</p><div class=end><p>All rights reserved</p></div></body></html>") for i in range(1, 8)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.id: r.text for r in main_text.extract(frame, main_text.induce(frame)).collect()}
+    assert all(got[i] == f"own {i}" for i in range(1, 8))
+
+
+def test_the_reference_takes_in_what_it_lacks():
+    pages = [main_text.skeleton(f"<div>{x}</div>") for x in ("<p>a</p><p>b</p>", "<p>a</p><ul><li>x</ul><p>b</p>", "<h2>t</h2><p>a</p><ul><li>y</ul>")]
+    reference = list(pages[0])
+    kids = main_text._children(reference)
+    for page in pages:
+        at = main_text.merge(reference, kids, page)
+        assert len(set(at)) == len(page) and [reference[x][1] for x in at] == [label for _, label, _ in page]
+        assert all(reference[x][0] == (at[parent] if parent >= 0 else -1) for x, (parent, _, _) in zip(at, page))
+    assert [reference[x][1] for x in kids[1]] == ["h2", "p", "ul", "p"]
+
+
 def test_tree_alignment_is_in_order():
     a = main_text.skeleton("<div><p>a</p><ul><li>x</ul><p>b</p></div>")
     b = main_text.skeleton("<div><p>a</p><p>b</p></div>")

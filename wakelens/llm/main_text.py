@@ -8,9 +8,12 @@ text varies are slots.  The content is what the slots hold inside the article
 (or the main element, or else the body), without elements that declare another
 purpose by their name, class, id or role.
 
-Alignment runs in groups of at most ``group_pages`` pages of a host, each against
-the first page of its group; votes are summed over all groups of the host, so a
-hot host is split and all its pages count.  Pages with the same blocks count once.
+Alignment runs in groups of about ``group_pages`` pages of a host.  Each page is
+aligned with the reference tree of its group, which takes in the nodes that it
+lacks, so every text of every page has a node and a vote, whichever page comes
+first.  Votes are summed over all groups of the host, so a hot host is split and
+all its pages count.  Pages with the same blocks count once; pages without any
+text have no say.
 
 Defined cases: a null or empty page, or one without content, has the text "" and
 0 characters; a null url is a host of its own kind; tags that are never closed
@@ -151,9 +154,9 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text) >> 1
 
 
-def align(a: list[tuple[int, str, int]], b: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
+def align(a: list[tuple[int, str, int]], b: list[tuple[int, str, int]], kids_a: list[list[int]] | None = None) -> list[tuple[int, int]]:
     """Matched node indexes of two skeletons by simple tree matching."""
-    kids_a, kids_b = _children(a), _children(b)
+    kids_a, kids_b = _children(a) if kids_a is None else kids_a, _children(b)
     pairs = []
 
     def size(x: int, y: int) -> int:
@@ -175,11 +178,31 @@ def align(a: list[tuple[int, str, int]], b: list[tuple[int, str, int]]) -> list[
             todo.append((left[-1 - hi], right[-1 - hi]))
             hi += 1
         left, right = left[lo : len(left) - hi], right[lo : len(right) - hi]
+        # Labels of one side only match nothing and need no row or column.
+        both = {a[x][1] for x in left} & {b[y][1] for y in right}
+        left, right = [x for x in left if a[x][1] in both], [y for y in right if b[y][1] in both]
         if left and right:
             todo.extend(_align_children(a, b, kids_a, kids_b, left, right, size))
     return pairs
 
 
+def merge(reference: list[tuple[int, str, int]], kids: list[list[int]], tree: list[tuple[int, str, int]]) -> list[int]:
+    """Node of the reference for each node of a page; nodes that it lacks are added in their place."""
+    at = [-1] * len(tree)
+    for x, y in align(reference, tree, kids):
+        at[y] = x
+    last: dict[int, int] = {}
+    for y, (parent, label, text) in enumerate(tree):
+        if at[y] < 0:
+            at[y], up = len(reference), at[parent]
+            reference.append((up, label, text))
+            kids.append([])
+            # Behind the sibling before it; alignment keeps the order.
+            kids[up].insert(kids[up].index(last[parent]) + 1 if parent in last else 0, at[y])
+        last[parent] = at[y]
+    return at
+
+
 def _children(tree: list[tuple[int, str, int]]) -> list[list[int]]:
     kids: list[list[int]] = [[] for _ in tree]
     for i, (parent, _, _) in enumerate(tree):
@@ -229,7 +252,8 @@ def induce(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     def skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [skeleton(h) for h in batch.column(1).to_pylist()]
-            nodes = pa.array(["\n".join(f"{p}\t{label}\t{h}" for p, label, h in tree) for tree in rows])
+            # Empty, and left out, if no node has a text.
+            nodes = pa.array(["\n".join(f"{p}\t{label}\t{h}" for p, label, h in tree) if any(h for _, _, h in tree) else "" for tree in rows], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), nodes], ["host", "tree"])
 
     source = pages.where(F.col(html_col).isNotNull()).select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
@@ -243,11 +267,14 @@ def induce(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     def votes(table: pa.Table) -> pa.Table:
         host = table.column("host")[0].as_py()
         trees = [[(int(p), label, int(h)) for p, label, h in (line.split("\t") for line in t.split("\n"))] for t in sorted(table.column("tree").to_pylist())]
-        first = trees[0]
-        paths, same = _paths(first), Counter()
+        trees.sort(key=len, reverse=True)
+        reference, same = list(trees[0]), Counter()
+        kids, paths = _children(reference), _paths(reference)
         for tree in trees:
+            at = merge(reference, kids, tree)
+            paths.extend(f"{paths[parent]}/{label}" for parent, label, _ in reference[len(paths) :])
             # A text that a page repeats counts once.
-            same.update({(paths[x], tree[y][2]) for x, y in align(first, tree) if tree[y][2]})
+            same.update({(paths[x], h) for x, (_, _, h) in zip(at, tree) if h})
         rows = [(host, p, h, k) for (p, h), k in same.items()]
         return pa.table({"host": pa.array([r[0] for r in rows], pa.string()), "path": pa.array([r[1] for r in rows], pa.string()), "hash": pa.array([r[2] for r in rows], pa.int64()), "same": pa.array([r[3] for r in rows], pa.int64())})
 
