@@ -231,6 +231,45 @@ def test_similar_texts(spark, texts, empty, width, percent):
     assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id and r.doc_id < 13)[:2] == [1, 4]
 
 
+def test_a_large_family_is_not_met_block_by_block(spark, monkeypatch):
+    sent, original = spark.sparkContext.accumulator(0), similar_texts._joined
+
+    def counted(percent):
+        task = original(percent)
+
+        def inner(table):
+            sent.add(table.num_rows)
+            return task(table)
+
+        return inner
+
+    monkeypatch.setattr(similar_texts, "_joined", counted)
+    base, other = words(120, 11).split(), words(120, 12).split()
+
+    def variant(of, i):
+        return " ".join([*of[: i % 50], f"edit{i % 9}", *of[i % 50 + 1 :]])
+
+    def found(rows):
+        return {r.id: r.component_id for r in similar_texts.similar(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+
+    monkeypatch.setattr(similar_texts.links, "__defaults__", (16,))
+    near = [(i, variant(base, i)) for i in range(400)]
+    got = found(near)
+    # Near copies of one text: each is sent a fixed number of times, however many there are.
+    assert set(got.values()) == {0} and sent.value <= 3 * len(near)
+    # A second group shares a third of the text; single texts link with few of either.
+    mixed = near[:150] + [(1000 + i, variant(base[:40] + other[40:], i + 41)) for i in range(60)] + [(2000 + i, " ".join(base[: 60 + i])) for i in range(40)] + [(3000 + i, " ".join([*base[:30], *words(70, 300 + i // 2).split()])) for i in range(30)]
+    sets = {i: shingles(t, 4) for i, t in mixed}
+    label = {i: i for i in sets}
+    for _ in range(len(sets)):
+        before = dict(label)
+        for a, x in sets.items():
+            label[a] = min(label[b] for b, y in sets.items() if 100 * len(x & y) >= 85 * len(x | y))
+        if label == before:
+            break
+    assert found(mixed) == label and len(set(label.values())) > 3
+
+
 def test_byte_bpe_round_trip(docs, texts, empty):
     import tiktoken
 

@@ -16,8 +16,12 @@ short lists are merged, counting how often each set occurs; sets that can still
 reach the overlap are looked up in the long lists by binary search; the exact
 overlap decides.  Found sets leave the search and become the next queries, so a
 group of near copies is taken in without comparing all its pairs.  A family of
-more than ``block_sets`` sets is split into blocks by hash, and each pair of
-blocks is a unit of its own, so no task holds a family however large it is.
+more than ``block_sets`` sets is first dealt out into blocks by hash, ``DEALS``
+times over, and searched inside the blocks; that alone brings a group of near
+copies together, at a cost in proportion to its size.  Then only sets that are
+still in different components need to meet: blocks are formed by component and
+size, and a pair of blocks is a unit unless both are of one component or too
+unlike in size to hold a link.  So no task holds a family however large it is.
 
 Defined cases: a null or empty text, or one without words, has an empty set and
 no link; with fewer words than a shingle the whole sequence is the one shingle;
@@ -28,7 +32,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from math import ceil, log2
+from math import ceil, log, log2
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +54,7 @@ KEY_BITS = 1 << 25
 SALT_SETS = 4096
 BLOCK_SETS = 1024
 UNIT_SETS = 1000
+DEALS = 2
 
 
 def text_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -347,17 +352,42 @@ def links(texts: DataFrame, sets: DataFrame, width: int, percent: int, block_set
     family = families(texts, width, percent)
     placed = cut(one.join(family, one["set"] == family["node"]).select("set", "key", "n", F.col("component").alias("family")))
     sizes = placed.groupBy("family").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    large = sizes.where(F.col("sets") > block_sets).select("family", F.ceil(F.col("sets") / block_sets).cast("int").alias("blocks"))
-    return _searched(texts, placed, sizes, large, width, percent)
-
-
-def _searched(texts: DataFrame, placed: DataFrame, sizes: DataFrame, large: DataFrame, width: int, percent: int) -> DataFrame:
-    spread = placed.join(sizes, "family").join(large, "family", "left")
-    blocks = F.coalesce("blocks", F.lit(1))
-    block = F.pmod(F.xxhash64("set"), blocks).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.xxhash64(F.lit("unit"), "family", F.least(block, j), F.greatest(block, j)))
-    wanted = cut(spread.select(F.col("key").alias("_key"), "set", pairs.alias("units")))
-    units = max(256, ceil(wanted.count() / UNIT_SETS))
+    spread = cut(placed.join(sizes, "family"))
+    deals = F.transform(F.sequence(F.lit(1), F.lit(DEALS)), lambda k: F.xxhash64(F.lit("deal"), "family", k, F.pmod(F.xxhash64("set", k), F.ceil(F.col("sets") / block_sets))))
+    units = F.when(F.col("sets") > block_sets, deals).otherwise(F.array("family"))
+    found = _searched(texts, spread.select(F.col("key").alias("_key"), "set", units.alias("units")), width, percent)
+    large = spread.where(F.col("sets") > block_sets)
+    if large.isEmpty():
+        return found
+    rest = cut(_unmet(large, components(found), percent, block_sets))
+    return found if rest.isEmpty() else found.unionByName(_searched(texts, rest, width, percent))
+
+
+def _unmet(large: DataFrame, joined: DataFrame, percent: int, block_sets: int) -> DataFrame:
+    """(_key, set, units) of the sets of large families that may link with another component's."""
+    known = large.join(joined, large["set"] == joined["node"], "left").select("set", "key", "n", "family", F.coalesce("component", "set").alias("component"))
+    # Sizes of linked sets differ by one band at most; the margin is for rounding.
+    band = F.floor(F.log("n") / (1.001 * -log(percent / 100))) if percent < 100 else F.col("n")
+    known = cut(known.withColumn("band", band.cast("long")))
+    whole = known.groupBy("family", "component").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= block_sets).select("family", "component", F.col("component").alias("own"))
+    owned = known.join(whole, ["family", "component"], "left").withColumn("part", F.xxhash64("family", F.col("own").isNull(), F.coalesce("own", F.lit(0)), "band"))
+    parts = owned.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / block_sets).alias("blocks"))
+    block = F.xxhash64("part", F.pmod(F.xxhash64("set", F.lit("block")), F.col("blocks")))
+    dealt = cut(owned.join(parts, "part").select("set", "key", "family", "own", "band", block.alias("block")))
+    one = cut(dealt.groupBy("block").agg(*[F.first(c).alias(c) for c in ("family", "own", "band")]))
+    other = one.select(F.col("block").alias("other"), F.col("family").alias("_family"), F.col("own").alias("_own"), F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("_band"))
+    # Sets of one component have met already; those of none in particular may not have.
+    meet = (F.col("family") == F.col("_family")) & (F.col("band") == F.col("_band")) & ~F.coalesce(F.col("own") == F.col("_own"), F.lit(False))
+    pairs = one.join(other, meet).select("block", F.xxhash64(F.lit("unit"), F.least("block", "other"), F.greatest("block", "other")).alias("unit"))
+    units = pairs.groupBy("block").agg(F.collect_list("unit").alias("units"))
+    return dealt.join(units, "block").select(F.col("key").alias("_key"), "set", "units")
+
+
+def _searched(texts: DataFrame, wanted: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, hub): links inside each unit of ``wanted``, (_key, set, units)."""
+    wanted = cut(wanted)
+    # A task holds one large unit or about as many sets in small ones.
+    tasks = max(256, ceil((wanted.agg(F.sum(F.size("units"))).first()[0] or 0) / UNIT_SETS))
     held = Shared(texts.sparkSession, bloom(wanted, "_key", KEY_BITS))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,8 +399,9 @@ def _searched(texts: DataFrame, placed: DataFrame, sizes: DataFrame, large: Data
     few = arrow_map(texts, near, f"id {texts.schema['id'].dataType.simpleString()}, key long, text string")
     chosen = few.join(wanted, few["key"] == wanted["_key"]).select("set", "units", "text")
     members = arrow_map(chosen, _members(width), "set long, units array<bigint>, members binary")
-    rows = members.select("set", F.explode("units").alias("unit"), "members").withColumn("task", F.pmod("unit", F.lit(units)))
-    return rows.groupBy("task").applyInArrow(_joined(percent), "node long, hub long")
+    rows = members.select("set", F.explode("units").alias("unit"), "members").withColumn("task", F.pmod("unit", F.lit(tasks)))
+    # Written once: components() reads the links from both ends.
+    return cut(rows.groupBy("task").applyInArrow(_joined(percent), "node long, hub long"))
 
 
 def similar(df: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
