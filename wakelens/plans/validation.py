@@ -354,7 +354,7 @@ gs AS (SELECT start, fold, {MEASURES} FROM ps GROUP BY start, fold), os AS (SELE
 SELECT fold, {", ".join(cv.WEIGHTS)} FROM gs WHERE start = (SELECT start FROM os ORDER BY round(objective, 9), start LIMIT 1)""",
 )
 def _cv3_multistart(spark, sf_dir):
-    """CV3 and UDF4: best of many seeded starts, summed per fold."""
+    """CV3: best of 20 seeded snakes, summed per fold; UDF4, the greedy placement, is not built."""
     return cv.fold_statistics(cv.multistart_folds(vectors(spark, sf_dir), "alias", starts=STARTS))
 
 
