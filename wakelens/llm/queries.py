@@ -1,4 +1,4 @@
-"""The ten operators as named queries over the given tables, and their SQL."""
+"""The operators as named queries over the given tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
-from . import byte_bpe, decontamination, language_id, main_text, privacy, quality_rules, repeated_passages, sharding, similar_texts, token_counts
+from . import byte_bpe, conversation_repair, conversation_sql, decontamination, language_id, main_text, privacy, quality_rules, repeated_passages, sharding, similar_texts, token_counts
 from .packed import prepare
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,17 @@ def op8_similar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document."""
     found = similar_texts.similar(documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of every damaged conversation."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    found = conversation_repair.summaries(conversation_repair.damaged(rows))
+    every = rows.select(F.col("conv_id")).distinct()
+    joined = every.join(found, every["conv_id"].eqNullSafe(found["id"]), "left")
+    counts = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return joined.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+SQL["op13_conversation_repair"] = conversation_sql.REPAIRED
