@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut
-from . import byte_bpe, conversation_repair, conversation_sql, decontamination, language_id, main_text, privacy, quality_rules, repeated_passages, sharding, similar_texts, token_counts
+from ..session import cut, shared_folder
+from . import byte_bpe, conversation_repair, conversation_sql, decontamination, language_id, main_text, privacy, quality_rules, repeated_passages, sharding, similar_texts, token_counts, token_files
 from .packed import prepare
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,8 @@ SQL: dict[str, str] = {}
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_VOCABULARY = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
+BYTE_VOCABULARY = "byte_bpe_50k.json"
+END_ID = 2
 
 
 def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -131,6 +133,15 @@ def op8_similar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+@query
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, read back from the token files."""
+    folder = shared_folder(spark)
+    token_files.write(documents(spark, sf_dir), folder, public_tokenizers.path(BYTE_VOCABULARY), END_ID)
+    found = token_files.read(spark, folder)
+    return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", token_files.check().alias("ids_crc32"))
+
+
 @query
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cheapest edits and repaired text of every damaged conversation."""
