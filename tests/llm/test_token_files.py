@@ -31,7 +31,9 @@ def texts():
     return [None, "", " ", "a", " a", "a ", "a  b", "the " * 50_000, "x" * 20_000, "same", "same", *mixed]
 
 
-def test_words_encode_like_whole_texts(library, texts):
+@pytest.mark.parametrize("held", [300_000, 50])
+def test_words_encode_like_whole_texts(library, texts, monkeypatch, held):
+    monkeypatch.setattr(tf, "MAX_WORDS", held)
     coder = tf.Encoder(VOCABULARY)
     known = [t for t in texts if t is not None]
     for text, got in zip(known, coder.encode(known, 2)):
