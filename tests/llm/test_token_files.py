@@ -26,18 +26,21 @@ def library():
 @pytest.fixture(scope="module")
 def texts():
     rng = random.Random(3)
-    parts = ["word", " ", "  ", "\n", "\t", " \n ", " ", "᠎", "\x1c", "\x85", "　", "don't", "'s", "''", "12", "é", "日本", "😀", "<|endoftext|>", "!?", ".", "A", "́", "ǅ", "٣", "_", "\x00"]
+    parts = ["word", " ", "  ", "\n", "\t", " \n ", " ", "᠎", "\x1c", "\x85", "　", "don't", "'s", "''", "12", "é", "日本", "😀", "<|endoftext|>", "!?", ".", "A", "́", "ǅ", "٣", "_", "\x00", "a.\nb", "a\n\nb", "c. \nd", ",e", "f:g", "\n"]
     mixed = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(400)]
     return [None, "", " ", "a", " a", "a ", "a  b", "the " * 50_000, "x" * 20_000, "same", "same", *mixed]
 
 
-@pytest.mark.parametrize("held", [300_000, 50])
-def test_words_encode_like_whole_texts(library, texts, monkeypatch, held):
-    monkeypatch.setattr(tf, "MAX_WORDS", held)
+@pytest.mark.parametrize("held", [1_200_000, 20])
+def test_parts_encode_like_whole_texts(library, texts, monkeypatch, held):
+    monkeypatch.setattr(tf, "MAX_PARTS", held)
     coder = tf.Encoder(VOCABULARY)
     known = [t for t in texts if t is not None]
-    for text, got in zip(known, coder.encode(known, 2)):
-        assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids + [2], text[:80]
+    for some in (known, *[[t] for t in known]):
+        raw = [t.encode() for t in some]
+        ids, counts = coder.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        for text, got in zip(some, np.split(ids, np.cumsum(counts)[:-1])):
+            assert got.tolist() == library.encode(text, add_special_tokens=False).ids, text[:80]
 
 
 @pytest.mark.parametrize("bits, top", [(1, 1 << 16), (2, 1 << 32)])

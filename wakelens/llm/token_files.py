@@ -14,8 +14,8 @@ Files follow one another in ascending identifiers, nulls first; a block says how
 many ids its file holds before it.  They can be written to and read from every
 store that Spark knows.
 
-Texts are encoded once: words are memoised by the library's own results for text
-between two blanks.  Only coded ids are exchanged.  Equal identifiers are told
+Texts are encoded once: they are cut where the library surely cuts them too, and
+the library's results for the parts are memoised.  Only coded ids are exchanged.  Equal identifiers are told
 apart by content, then by a salt, so one that a third of all rows bear is dealt
 out like any other.
 
@@ -27,7 +27,6 @@ files without documents; only the named columns are read.
 from __future__ import annotations
 
 import os
-import re
 import sys
 import zlib
 from collections.abc import Iterator
@@ -39,56 +38,133 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .packed import Shared, arrow_map, text_groups, worker_slot
+from .packed import Shared, arrow_map, hash_words, text_groups, worker_slot
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_IDS = 1 << 18
 SMALL_VOCABULARY = 1 << 16
-# Two generations of memoised words; the older one goes when the younger is full.
-MAX_WORDS = 300_000
+# Memoised parts of a worker; when it holds more it starts anew.
+MAX_PARTS = 1_200_000
+TOGETHER = 500
 SALTS = 1 << 20
-# A blank between two characters that no library counts as white space: what
-# stands on both sides is split and merged apart, whatever the text around it.
-BORDER = re.compile(r"(?<=[^\s᠎]) (?=[^\s᠎])")
-ODD_SPACE = re.compile(r"[\s᠎] | [\s᠎]")
+SPACE, LINE = 0x20, 0x0A
+MARKS = b".,;:!?"
+
+
+def borders(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a part surely starts, and which bytes belong to Latin letters.
+
+    What stands on both sides of a border is split and merged apart whatever the
+    text around it: before a blank between two characters no library counts as
+    white space, between a Latin letter and a plain mark, before a line end after
+    a letter, and between a single line end and a letter.
+    """
+    kinds = np.zeros(256, np.uint8)  # 1: letter, 2: other visible, 4: mark or line end
+    kinds[0x21:0x7F] = 2
+    kinds[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 3
+    kinds[list(MARKS)] = 6
+    kinds[LINE] = 4
+    kind = kinds[raw]
+    after = np.append(raw[1:], np.uint8(0))
+    # U+00C0 to U+024F without the two signs: lead bytes C3 to C9.
+    lead = (raw >= 0xC3) & (raw <= 0xC9) & (after >= 0x80) & ((raw != 0xC9) | (after <= 0x8F)) & ((raw != 0xC3) | ((after != 0x97) & (after != 0xB7)))
+    trail = np.append(False, lead[:-1])
+    plain = (kind & 1).astype(bool)
+    first, last = plain | lead, plain | trail
+    seen = (kind & 2).astype(bool)
+    seen_first, seen_last = seen | lead, seen | trail
+    before = lambda flags, k=1: np.append(np.zeros(k, bool), flags[:-k]) if len(flags) >= k else np.zeros(len(flags), bool)
+    stop = (kind & 4).astype(bool)
+    mark, line = stop & seen, raw == LINE
+    out = (raw == SPACE) & before(seen_last) & np.append(seen_first[1:], False)[: len(raw)]
+    out |= stop & before(last)
+    out |= first & (before(mark) | (before(line) & before(seen_last, 2)))
+    return out, first | trail
 
 
 class Encoder:
-    """A library tokenizer whose results for words are memoised as little-endian ids."""
+    """A library tokenizer whose results for the parts of texts are memoised.
+
+    Parts are told apart by 128 bits of two hashes.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str], end: int) -> Iterator[bytes]:
-        last = np.array([end], "<u4").tobytes()
-        for text in texts:
-            # Plain blanks between plain characters: the fast split says the same as the pattern.
-            if not text or ODD_SPACE.search(text) or text[0] == " " or text[-1] == " ":
-                words = BORDER.split(text)
-            else:
-                words = text.split(" ")
-            words[1:] = [" " + w for w in words[1:]]
-            if len(self.words) > MAX_WORDS:
-                self.older, self.words = self.words, {}
-            missing = set(words).difference(self.words)
-            if missing:
-                self._learn(missing)
-            held = self.words
-            yield b"".join([held[w] for w in words]) + last
-
-    def _learn(self, missing: set[str]) -> None:
-        new = [w for w in missing if w not in self.older]
-        for w in missing:
-            if w in self.older:
-                self.words[w] = self.older[w]
-        for w, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            self.words[w] = np.array(found.ids, "<u4").tobytes()
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slots: dict[int, int] = {}
+        self.second = np.zeros(1 << 10, np.uint64)
+        self.at = np.zeros((1 << 10) + 1, np.int64)
+        self.ids = np.zeros(1 << 12, "<u4")
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a run of texts (their UTF-8 bytes and offsets), and how many each text has."""
+        raw, offsets = raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+        start, letter = borders(raw)
+        start[offsets[:-1][offsets[:-1] < len(raw)]] = True
+        starts = np.flatnonzero(start)
+        if not len(starts):
+            return np.zeros(0, "<u4"), np.zeros(len(offsets) - 1, np.int64)
+        ends = np.append(starts[1:], len(raw))
+        slots = self._slots(raw, starts, ends, letter)
+        sizes = self.at[slots + 1] - self.at[slots]
+        to = np.cumsum(sizes)
+        ids = self.ids[np.repeat(self.at[slots] - (to - sizes), sizes) + np.arange(to[-1])]
+        bound = np.append(0, to)[np.searchsorted(starts, offsets)]
+        return ids, np.diff(bound)
+
+    def _slots(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The place of every part's ids, learning what is new."""
+        hashes, which, inverse = np.unique(hash_words(raw, starts, ends), return_index=True, return_inverse=True)
+        second = hash_words(raw ^ np.uint8(0x5A), starts, ends)[which]
+        if len(self.slots) > MAX_PARTS:
+            self._clear()
+        found = np.array([self.slots.get(h, -1) for h in hashes.tolist()], np.int64)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            found[new] = self._learn(raw, starts[which[new]], ends[which[new]], letter, second[new])
+            self.slots.update(zip(hashes[new].tolist(), found[new].tolist()))
+        if (self.second[found] != second).any():
+            raise ValueError("two parts of texts share a hash of 64 bits")
+        return found[inverse]
+
+    def _learn(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, letter: np.ndarray, second: np.ndarray) -> np.ndarray:
+        letters = np.append(0, np.cumsum(letter))
+        # Blank and letters, blank and letters: the library takes such parts one by one.
+        plain = (raw[starts] == SPACE) & (letters[ends] - letters[starts] == ends - starts - 1) & (ends - starts > 1)
+        text = raw.tobytes()
+        parts = [text[a:b].decode("utf-8") for a, b in zip(starts.tolist(), ends.tolist())]
+        found: list[np.ndarray] = [np.zeros(0, "<u4")] * len(parts)
+        chosen = np.flatnonzero(plain).tolist()
+        for k in range(0, len(chosen), TOGETHER):
+            some = chosen[k : k + TOGETHER]
+            coded = self.library.encode("".join([parts[j] for j in some]), add_special_tokens=False)
+            ids, owner = np.array(coded.ids, "<u4"), np.array(coded.word_ids)
+            cuts = np.searchsorted(owner, np.arange(len(some) + 1)).tolist()
+            for j, a, b in zip(some, cuts[:-1], cuts[1:]):
+                found[j] = ids[a:b]
+        alone = np.flatnonzero(~plain).tolist()
+        for j, coded in zip(alone, self.library.encode_batch_fast([parts[j] for j in alone], add_special_tokens=False)):
+            found[j] = np.array(coded.ids, "<u4")
+        return self._keep(found, second)
+
+    def _keep(self, found: list[np.ndarray], second: np.ndarray) -> np.ndarray:
+        n, sizes = len(self.slots), np.array([len(f) for f in found], np.int64)
+        used, total = int(self.at[n]), int(sizes.sum())
+        if n + len(found) > len(self.second):
+            more = max(n + len(found), 2 * len(self.second))
+            self.second, self.at = np.resize(self.second, more), np.resize(self.at, more + 1)
+        if used + total > len(self.ids):
+            self.ids = np.resize(self.ids, max(used + total, 2 * len(self.ids)))
+        self.second[n : n + len(found)] = second
+        self.at[n + 1 : n + len(found) + 1] = used + np.cumsum(sizes)
+        self.ids[used : used + total] = np.concatenate(found)
+        return np.arange(n, n + len(found))
 
 
 def encode(docs: DataFrame, vocabulary: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,14 +174,22 @@ def encode(docs: DataFrame, vocabulary: str, end: int, id_col: str = "doc_id", t
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_slot(("tokens", vocabulary), lambda: Encoder(vocabulary))
         for batch in batches:
-            for row, to, _, _ in text_groups(batch.column(1)):
-                texts = [t or "" for t in batch.column(1).slice(row, to - row).to_pylist()]
-                coded = pa.array(list(encoder.encode(texts, end)), pa.binary())
+            for row, to, raw, offsets in text_groups(batch.column(1)):
+                ids, counts = encoder.encode(raw, offsets)
+                cuts = np.cumsum(counts)
+                whole = np.insert(ids, cuts, np.uint32(end)).astype("<u4")
+                coded = binaries(whole, counts + 1)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, to - row), coded], ["id", "ids"])
 
     return arrow_map(slim, task, f"id {dict(slim.dtypes)['id']}, ids binary")
 
 
+def binaries(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """One binary value of ``counts`` ids each."""
+    ends = 4 * np.append(0, np.cumsum(counts))
+    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids))]).cast(pa.binary())
+
+
 def lengths_table(bits: int) -> np.ndarray:
     """Byte lengths of the ids of every control byte, first id in the lowest bits."""
     each = 8 // bits
@@ -261,8 +345,7 @@ def _documents(names: pa.Array, lengths: np.ndarray, padded: np.ndarray, control
         longer = np.flatnonzero(sizes > k)
         ranks[longer] |= raw[at[longer] + k].astype(np.uint32) << np.uint32(8 * k)
     ids = token[ranks].astype("<u4")
-    ends = np.cumsum(lengths)
-    coded = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(np.concatenate(([0], 4 * ends)).astype(np.int32)), pa.py_buffer(ids)])
+    ends, coded = np.cumsum(lengths), binaries(ids, lengths)
     return pa.RecordBatch.from_arrays([names, pa.array(start + ends - lengths), pa.array(lengths), coded], ["id", "start", "n_tokens", "ids"])
 
 
