@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, shared_folder
-from . import byte_bpe, conversation_repair, conversation_sql, decontamination, language_id, main_text, privacy, quality_rules, repeated_passages, sharding, similar_texts, token_counts, token_files
+from ..session import cut, shared_folder, tune
+from . import byte_bpe, conversation_repair, conversation_sql, decontamination, language_id, main_text, phrases, privacy, quality_rules, repeated_passages, sharding, similar_texts, token_counts, token_files
 from .packed import prepare
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,8 +74,8 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     wanted = quality_rules.training_ids(labels)
-    chosen = docs.join(wanted, docs["doc_id"] == wanted["id"]).select(docs["doc_id"], "text", "good")
-    stats = quality_rules.statistics(chosen.select("doc_id", "text"))
+    chosen = docs.select("doc_id", "text").join(wanted.select("id"), F.col("doc_id") == F.col("id")).select("doc_id", "text")
+    stats = quality_rules.statistics(chosen)
     pruning = F.pmod(F.xxhash64("id"), F.lit(3)) == 0
     rows = stats.join(wanted, "id").select(pruning.alias("pruning"), "good", "base_failed", *[c.alias(n) for n, c in quality_rules.features().items()])
     rules = quality_rules.fit(cut(rows).where(~F.col("base_failed")))
@@ -133,6 +133,37 @@ def op8_similar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 2,000 phrases of two or three words of every language."""
+    return phrases.collocations(documents(tune(spark), sf_dir))
+
+
+SQL["op11_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\x0C\r]')) AS piece
+  FROM documents WHERE text IS NOT NULL),
+lists AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') AS w FROM pieces),
+grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM lists, range(1, 4) t(k), unnest(range(1, CAST(len(w) - k + 2 AS BIGINT))) u(i)),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS c FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(c) AS n FROM f WHERE k = 1 GROUP BY lang),
+found AS MATERIALIZED (SELECT lang, k, phrase, c AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND c >= 10),
+parts AS MATERIALIZED (
+  SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:k], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, CAST(k AS BIGINT))) AS j FROM found)),
+cuts AS (
+  SELECT d.lang, d.phrase, d.a, d.j, l.c AS l, r.c AS r, CAST(1000000::HUGEINT * d.a * d.a // (l.c::HUGEINT * r.c) AS BIGINT) AS score
+  FROM parts d JOIN f l ON l.lang = d.lang AND l.phrase = d.head JOIN f r ON r.lang = d.lang AND r.phrase = d.tail),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_ AS (SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS longer FROM found, range(1, 3) t(i) WHERE k = 3 GROUP BY ALL),
+ranked AS (
+  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, b.l, b.r, CAST(t.n AS BIGINT) AS n, b.score
+  FROM best b JOIN totals t ON t.lang = b.lang LEFT JOIN inner_ i ON i.lang = b.lang AND i.phrase = b.phrase
+  WHERE i.longer IS NULL OR 100 * i.longer < 50 * b.a)
+SELECT * FROM ranked WHERE rank <= 2000
+"""
+
+
 @query
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, length and checksum of every document's ids, read back from the token files."""
