@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .components import components
+from .components import components, stars
 from .packed import Shared, arrow_map, bloom, group_words, low_bits, maybe_in, mix, rows_batch, slices, slot, text_groups, window_hashes, within_texts
 from .repeated_passages import bucket_bits, keyed
 
@@ -227,19 +227,22 @@ def _postings(width: int, percent: int, bits: int, known: Shared):
 
 
 def _stars(table: pa.Table) -> pa.Table:
-    """Per bucket: every set with the smallest set of each list, or with the list where it is dealt out."""
+    """Per bucket: edges that join the sets of each list, at most one a set and two a list.
+
+    A list that is dealt out gets a node of its own, which its smallest set in every part is joined with.
+    """
     bucket, salt = table.column("bucket")[0].as_py(), table.column("salt")[0].as_py()
     low = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("low").to_pylist()])
     sets = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("set").to_pylist()])
     order = np.lexsort((sets, low))
     low, sets = low[order], sets[order]
     at = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-    size = np.diff(np.append(at, len(low)))
-    hub = np.repeat(sets[at], size)
+    hub = np.repeat(sets[at], np.diff(np.append(at, len(low))))
+    apart = sets != hub
+    node, hub = stars(sets[apart], hub[apart])
     if salt:
-        hub = mix((np.uint64(bucket) << np.uint64(32)) + low.astype(np.uint64)).view(np.int64)
-    pairs = np.unique(np.stack([sets, hub], axis=1)[sets != hub], axis=0)
-    return pa.table({"node": pa.array(pairs[:, 0]), "hub": pa.array(pairs[:, 1])})
+        node, hub = np.append(node, sets[at]), np.append(hub, mix((np.uint64(bucket) << np.uint64(32)) + low[at].astype(np.uint64)).view(np.int64))
+    return pa.table({"node": pa.array(node), "hub": pa.array(hub)})
 
 
 def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -343,7 +346,7 @@ def families(texts: DataFrame, width: int, percent: int) -> DataFrame:
     for row in counted.groupBy("bucket").applyInArrow(_frequencies(bits, filter_bits), "bucket long, part binary, often binary").toLocalIterator():
         known.put(row.bucket, row.part, row.often)
     posted = arrow_map(texts, _postings(width, percent, bits, Shared(texts.sparkSession, known)), "bucket long, salt long, low binary, set binary")
-    return components(posted.groupBy("bucket", "salt").applyInArrow(_stars, "node long, hub long").distinct())
+    return components(posted.groupBy("bucket", "salt").applyInArrow(_stars, "node long, hub long"))
 
 
 def links(texts: DataFrame, sets: DataFrame, width: int, percent: int, block_sets: int = BLOCK_SETS) -> DataFrame:
