@@ -73,6 +73,15 @@ def test_files(spark, library, texts, monkeypatch, block, small):
     assert [(-r.times, r.token) for r in ranks] == sorted((-r.times, r.token) for r in ranks)
 
 
+def test_documents_pack_one_after_another():
+    rng = np.random.default_rng(2)
+    counts = np.array([0, 3, 8, 0, 17, 1])
+    ranks = rng.integers(0, 70_000, counts.sum()).astype(np.uint32)
+    control, data, n_control, n_data = tf.pack_all(ranks, counts, 2)
+    parts = zip(np.split(ranks, np.cumsum(counts)[:-1]), np.split(control, np.cumsum(n_control)[:-1]), np.split(data, np.cumsum(n_data)[:-1]))
+    assert all((tf.unpack(c.tobytes(), d.tobytes(), len(r), 2) == r).all() for r, c, d in parts)
+
+
 def test_empty_table(spark):
     folder = shared_folder(spark)
     tf.write(spark.createDataFrame([], DOCS), folder, VOCABULARY, 2)

@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,6 +49,8 @@ SMALL_VOCABULARY = 1 << 16
 MAX_PARTS = 1_200_000
 TOGETHER = 500
 SALTS = 1 << 20
+# Bytes of ids that are coded at once.
+SHRUNK_BYTES = 1 << 22
 SPACE, LINE = 0x20, 0x0A
 MARKS = b".,;:!?"
 
@@ -83,6 +86,13 @@ def borders(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, first | trail
 
 
+def _library(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class Encoder:
     """A library tokenizer whose results for the parts of texts are memoised.
 
@@ -90,10 +100,7 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
+        self.library = _library(path)
         self._clear()
 
     def _clear(self) -> None:
@@ -169,24 +176,35 @@ class Encoder:
 
 def encode(docs: DataFrame, vocabulary: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): the ids of every text as little-endian 32-bit integers, with the end id."""
+    return _encoded(docs, vocabulary, end, id_col, text_col, "<u4").where("times is null").select("id", "ids")
+
+
+def _encoded(docs: DataFrame, vocabulary: str, end: int, id_col: str, text_col: str, kind: str) -> DataFrame:
+    """(id, ids, times): documents without times, and one row a task with how often it met each id."""
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_slot(("tokens", vocabulary), lambda: Encoder(vocabulary))
+        times, name = np.zeros(0, np.int64), None
         for batch in batches:
+            name = batch.schema.field(0).type
             for row, to, raw, offsets in text_groups(batch.column(1)):
                 ids, counts = encoder.encode(raw, offsets)
-                cuts = np.cumsum(counts)
-                whole = np.insert(ids, cuts, np.uint32(end)).astype("<u4")
-                coded = binaries(whole, counts + 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, to - row), coded], ["id", "ids"])
+                whole = np.insert(ids, np.cumsum(counts), np.uint32(end))
+                found = np.bincount(whole, minlength=len(times))
+                found[: len(times)] += times
+                times = found
+                coded = binaries(whole.astype(kind), counts + 1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, to - row), coded, pa.nulls(to - row, pa.binary())], ["id", "ids", "times"])
+        if name is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, name), pa.nulls(1, pa.binary()), pa.array([times.tobytes()], pa.binary())], ["id", "ids", "times"])
 
-    return arrow_map(slim, task, f"id {dict(slim.dtypes)['id']}, ids binary")
+    return arrow_map(slim, task, f"id {dict(slim.dtypes)['id']}, ids binary, times binary")
 
 
 def binaries(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
     """One binary value of ``counts`` ids each."""
-    ends = 4 * np.append(0, np.cumsum(counts))
+    ends = ids.itemsize * np.append(0, np.cumsum(counts))
     return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids))]).cast(pa.binary())
 
 
@@ -198,16 +216,26 @@ def lengths_table(bits: int) -> np.ndarray:
 
 def pack(ranks: np.ndarray, bits: int) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of ``ranks``."""
+    control, data, _, _ = pack_all(ranks, np.array([len(ranks)]), bits)
+    return control.tobytes(), data.tobytes()
+
+
+def pack_all(ranks: np.ndarray, counts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Control and data bytes of several documents one after another, and how many of each a document has."""
     ranks = np.ascontiguousarray(ranks, "<u4")
     extra = (ranks > 0xFF).astype(np.uint8)
     if bits == 2:
         extra += (ranks > 0xFFFF).astype(np.uint8) + (ranks > 0xFFFFFF)
     each = 8 // bits
-    padded = np.zeros(-(-len(ranks) // each) * each, np.uint8)
-    padded[: len(ranks)] = extra
-    control = np.bitwise_or.reduce(padded.reshape(-1, each) << (bits * np.arange(each, dtype=np.uint8)), axis=1) if len(padded) else padded
+    n_control = -(-counts // each)
+    shift = np.cumsum(n_control * each) - n_control * each - (np.cumsum(counts) - counts)
+    places = np.zeros(int(n_control.sum()) * each, np.uint8)
+    places[np.arange(len(ranks)) + np.repeat(shift, counts)] = extra
+    control = np.bitwise_or.reduce(places.reshape(-1, each) << (bits * np.arange(each, dtype=np.uint8)), axis=1).astype(np.uint8)
     used = np.arange(4, dtype=np.uint8) <= extra[:, None]
-    return control.astype(np.uint8).tobytes(), ranks.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    sizes = np.append(0, np.cumsum(extra, dtype=np.int64))
+    ends = np.cumsum(counts)
+    return control, ranks.view(np.uint8).reshape(-1, 4)[used], n_control, counts + sizes[ends] - sizes[ends - counts]
 
 
 def unpack(control: bytes, data: bytes, count: int, bits: int) -> np.ndarray:
@@ -223,19 +251,17 @@ def unpack(control: bytes, data: bytes, count: int, bits: int) -> np.ndarray:
 
 
 def frequencies(coded: DataFrame) -> DataFrame:
-    """(token, times) over all ids; a task sends each id once."""
+    """(token, times) over all ids, from the counts of the tasks that wrote ``coded``."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        times = np.zeros(0, np.int64)
         for batch in batches:
             for raw in batch.column(0):
-                found = np.bincount(np.frombuffer(raw.as_buffer(), "<u4"), minlength=len(times))
-                found[: len(times)] += times
-                times = found
-        seen = np.flatnonzero(times)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(times[seen])], ["token", "times"])
+                times = np.frombuffer(raw.as_buffer(), np.int64)
+                seen = np.flatnonzero(times)
+                yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(times[seen])], ["token", "times"])
 
-    return arrow_map(coded.select("ids"), task, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
+    counted = coded.select("times").where("times is not null")
+    return arrow_map(counted, task, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
 
 
 def _rank_arrays(ranks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -251,7 +277,9 @@ def _rank_arrays(ranks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def write(docs: DataFrame, folder: str, vocabulary: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode all texts and write them as token files, in ascending identifiers."""
     spark = docs.sparkSession
-    coded = cut(encode(docs, vocabulary, end, id_col, text_col))
+    # Ids of two bytes where the vocabulary allows, for the one table between encoding and ranks.
+    wide = "<u2" if max(_library(vocabulary).get_vocab_size() - 1, end) < 1 << 16 else "<u4"
+    coded = cut(_encoded(docs, vocabulary, end, id_col, text_col, wide))
     ranked = frequencies(coded).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("times"), "token")) - 1)
     ranked.coalesce(1).write.mode("overwrite").parquet(f"{folder}/ranks")
     of, back = _rank_arrays(spark.read.parquet(f"{folder}/ranks"))
@@ -260,20 +288,21 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end: int, id_col: str =
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared.get()
-        for batch in batches:
-            names, raws, n = batch.column(0), batch.column(1), len(batch)
-            lengths, checks, control, data = np.zeros(n, np.int64), np.zeros(n, np.int64), [], []
-            for k in range(n):
-                raw = raws[k].as_buffer()
-                ids = np.frombuffer(raw, "<u4")
-                c, d = pack(rank[ids], bits)
-                lengths[k], checks[k] = len(ids), zlib.crc32(raw)
-                control.append(c)
-                data.append(d)
-            yield pa.RecordBatch.from_arrays([names, pa.array(lengths), pa.array(checks), pa.array(control, pa.binary()), pa.array(data, pa.binary())], ["id", "n", "check", "control", "data"])
+        for whole in batches:
+            sizes = np.cumsum(np.asarray(pc.binary_length(whole.column(1)), np.int64))
+            row = 0
+            while row < len(whole):
+                to = max(row + 1, int(np.searchsorted(sizes, (sizes[row - 1] if row else 0) + SHRUNK_BYTES, side="right")))
+                batch, row = whole.slice(row, to - row), to
+                raws = [v.as_buffer() for v in batch.column(1)]
+                counts = np.array([v.size for v in raws], np.int64) // np.dtype(wide).itemsize
+                control, data, n_control, n_data = pack_all(rank[np.frombuffer(b"".join(raws), wide)], counts, bits)
+                checks = pa.array([zlib.crc32(v) for v in raws], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), checks, binaries(control, n_control), binaries(data, n_data)], ["id", "n", "check", "control", "data"])
 
     kind = dict(coded.dtypes)["id"]
-    short = arrow_map(coded, shrink, f"id {kind}, n long, check long, control binary, data binary")
+    documents = coded.where("times is null").select("id", "ids")
+    short = arrow_map(documents, shrink, f"id {kind}, n long, check long, control binary, data binary")
     salted = short.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
     dealt = salted.repartitionByRange("id", "check", "n", "salt").sortWithinPartitions("id", "check", "n", "data", "salt")
     filed = dealt.select(F.spark_partition_id().alias("file"), "id", "n", "control", "data")
