@@ -392,7 +392,7 @@ def test_session_stream_control_events(spark, tmp_path):
         ("s", 5, 15, "stop", None, False, False),
     ]
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
-    stream = intake.file_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
+    stream = intake.ended(intake.file_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema), session="", event_id=-1, t=10**15, kind="end")
     out = intake.drain(triggers.assistant_stream(stream, cooldown=5, keyword="word")).orderBy("event_id").collect()
     assert [r.trigger_accepted for r in out] == [False, True, False, False, True, False]
     assert [r.assistant_state for r in out] == ["LISTENING", "ASSISTANT_STATE", "LISTENING", "IDLE", "ASSISTANT_STATE", "IDLE"]

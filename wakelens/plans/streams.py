@@ -29,6 +29,8 @@ from .registry import plan
 from .scoring import C, W, cascaded
 
 DAY = 86_400_000_000
+# A row of this time ends a finite stream.
+LAST = 250 * 366 * DAY
 NAMES = triggers.states(KEYWORD)
 
 
@@ -72,11 +74,17 @@ def event_stream(spark, sf_dir):
     return intake.file_stream(spark, f"{sf_dir}/events.parque[t]", schema)
 
 
+def drained(rows, idle=None):
+    """Decided rows of a finite stream; none is late, since its end comes last."""
+    whole = intake.ended(rows, session="", event_id=-1, t=LAST, kind="end")
+    return intake.drain(triggers.assistant_stream(whole, cooldown=DAY, keyword=KEYWORD, delay="1 hour", idle=idle))
+
+
 @plan("str1_trigger_stream", with_ctes(TRIGGER_SQL) + "SELECT * FROM ts_")
 def _str1_stream(spark, sf_dir):
     """STR1 and UDF5: the same states from a stateful stream."""
     rows = trigger_events(event_stream(spark, sf_dir)).withColumn("kind", F.lit("chunk"))
-    out = intake.drain(triggers.assistant_stream(rows, cooldown=DAY, keyword=KEYWORD))
+    out = drained(rows, idle=90 * DAY)
     return out.select("session", "event_id", "trigger_accepted", "cooldown_active", "assistant_state")
 
 
@@ -102,13 +110,13 @@ def _str2_stream(spark, sf_dir):
     rows = stream.select(
         F.col("conv_id").cast("string").alias("session"),
         F.col("turn").alias("event_id"),
-        F.col("turn").alias("t"),
+        (F.col("turn") * 1_000_000).alias("t"),
         F.lit("chunk").alias("kind"),
         "text",
         no.alias("candidate"),
         no.alias("trigger"),
     )
-    out = intake.drain(triggers.assistant_stream(rows, cooldown=DAY, keyword=KEYWORD))
+    out = drained(rows)
     return out.select(F.col("session").cast("long").alias("conv_id"), F.col("event_id").alias("turn"), F.sha2("rolling_transcript", 256).alias("rolling"))
 
 
@@ -139,12 +147,23 @@ def _str3(spark, sf_dir):
     return out.select("event_id", "candidate", "calibrated_score", "base_trigger", "prototype_detected", "trigger_detected")
 
 
-@plan("str4_session_accounting")
+ACCOUNT_SQL = f"""ke AS (SELECT CAST(user_id AS VARCHAR) AS session, event_id, epoch_us(ts) AS t, event_type,
+  CASE event_type WHEN 'signup' THEN 'start' WHEN 'error' THEN 'reset' ELSE 'chunk' END AS kind FROM events),
+ko AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY session ORDER BY t, event_id) AS i, count(*) OVER (PARTITION BY session) AS n FROM ke),
+ac AS (SELECT session, 0::BIGINT AS i, NULL::BIGINT AS last, 0::BIGINT AS chunks, true AS active, '{NAMES['idle']}' AS assistant_state, 0::BIGINT AS accepted FROM ko WHERE i = 1
+  UNION ALL SELECT session, i, CASE WHEN hit THEN t WHEN kind = 'reset' THEN NULL ELSE last END, chunks + CAST(kind = 'chunk' AS BIGINT), active OR kind = 'start',
+    CASE WHEN hit THEN '{NAMES['accepted']}' WHEN kind = 'reset' THEN '{NAMES['idle']}' WHEN kind = 'chunk' AND event_type IN ('click', 'purchase', 'view') AND NOT cold THEN '{NAMES['candidate']}' ELSE '{NAMES['listening']}' END,
+    accepted + CAST(hit AS BIGINT)
+  FROM (SELECT *, kind = 'chunk' AND event_type IN ('click', 'purchase') AND NOT cold AS hit
+    FROM (SELECT w.session, o.i, w.last, w.chunks, w.active, w.accepted, o.t, o.kind, o.event_type, coalesce(o.t - w.last < {DAY}, false) AS cold FROM ac w JOIN ko o ON o.session = w.session AND o.i = w.i + 1)))"""
+
+
+@plan("str4_session_accounting", with_ctes(ACCOUNT_SQL) + "SELECT a.session, chunks, active, assistant_state, accepted FROM ac a JOIN (SELECT DISTINCT session, n FROM ko) k ON k.session = a.session AND k.n = a.i")
 def _str4(spark, sf_dir):
     """STR4: chunks, active flag and control events per session, streamed."""
     stream = trigger_events(event_stream(spark, sf_dir))
     kind = F.when(F.col("text") == "signup", "start").when(F.col("text") == "error", "reset").otherwise("chunk")
-    out = intake.drain(triggers.assistant_stream(stream.withColumn("kind", kind), cooldown=DAY, keyword=KEYWORD))
+    out = drained(stream.withColumn("kind", kind))
     last = F.struct("t", "event_id")
     return out.groupBy("session").agg(
         F.max("chunks").alias("chunks"),

@@ -15,6 +15,14 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, kind: str
     return spark.readStream.schema(schema).options(**options).format(kind).load(path)
 
 
+def ended(stream: DataFrame, **values) -> DataFrame:
+    """A finite stream with one more row, far in the future, that takes the watermark past all others."""
+    spark, path = stream.sparkSession, shared_folder(stream.sparkSession)
+    columns = [F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in stream.schema.fields]
+    spark.range(1, numPartitions=1).select(*columns).write.parquet(path)
+    return stream.unionByName(file_stream(spark, path, stream.schema))
+
+
 def prediction_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     return file_stream(spark, path, wide, "json", columnNameOfCorruptRecord=CORRUPT)

@@ -6,14 +6,13 @@ import sys
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.ranking import map_sorted_groups, running
 from ..session import cut
+from . import sessions
 
 # Ship the task functions inside the closure, so executors need no install.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -175,59 +174,14 @@ def rolling_transcript(turns: DataFrame, session: str, order: Sequence[str], tex
 # --- stream ----------------------------------------------------------------------
 
 
-STATE = "last long, transcript string, chunks long, active boolean, state string"
-OUTPUT = (
-    "session string, event_id long, t long, kind string, trigger_accepted boolean, cooldown_active boolean, "
-    "assistant_state string, rolling_transcript string, chunks long, active boolean"
-)
-
-
-def _processor(cooldown: int, keep: int, names: dict[str, str]):
-    """Task function: one session's events of a micro-batch, in time order."""
-
-    def append(existing: str, new: str) -> str:
-        both = " ".join(p for p in (existing.strip(), new.strip()) if p)
-        return both if len(both) <= keep else both[-keep:].lstrip()
-
-    def process(key, batches, state):
-        last, said, chunks, active, name = state.get if state.exists else (None, "", 0, True, names["idle"])
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["t", "event_id"], kind="stable")
-        out = []
-        for r in rows.itertuples(index=False):
-            accepted = waiting = False
-            if r.kind == "chunk":
-                chunks += 1
-                said = append(said, r.text or "")
-                waiting = last is not None and r.t - last < cooldown
-                accepted = bool(r.trigger) and not waiting
-                if accepted:
-                    last, name = int(r.t), names["accepted"]
-                else:
-                    name = names["candidate"] if r.candidate and not waiting else names["listening"]
-            elif r.kind == "start":
-                active, name = True, names["listening"]
-            elif r.kind == "stop":
-                active, name = False, names["idle"]
-            elif r.kind == "reset":
-                last, said, name = None, "", names["idle"]
-            out.append((key[0], r.event_id, r.t, r.kind, accepted, waiting, name, said, chunks, active))
-        state.update((last, said, chunks, active, name))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
-
-    return process
-
-
-def assistant_stream(events: DataFrame, *, cooldown: int, keyword: str, keep: int = KEEP_CHARS) -> DataFrame:
-    """Stateful session stream.
-
-    Reads session, event_id, t (integer time), kind, text, candidate and
-    trigger; one row out per row in.  State is one small record per session
-    and lives in the checkpoint, so a lost executor loses nothing.
+def assistant_stream(events: DataFrame, *, cooldown: int, keyword: str, keep: int = KEEP_CHARS, delay: str = "0 seconds", idle: int | None = None) -> DataFrame:
+    """Session stream in event time; see ``streaming.sessions``.
+
+    Reads session, event_id, t (microseconds), kind, text, candidate and trigger;
+    one row out per row in.  ``delay`` is how far rows may be out of order, ``idle``
+    (microseconds) after how long without events a session ends.
     """
-    cols = ["session", "event_id", "t", "kind", "text", "candidate", "trigger"]
-    return events.select(*cols).groupBy("session").applyInPandasWithState(
-        _processor(cooldown, keep, states(keyword)), OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    return sessions.assistant_stream(events, cooldown=cooldown, keyword=keyword, keep=keep, names=states(keyword), delay=delay, idle=idle)
 
 
 def chunk_decisions(chunks: DataFrame, calibration: DataFrame, theta2: float, *, default_similarity: float = 0.6) -> DataFrame:
