@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wakelens.functions import text as tx
-from wakelens.functions.arrow import align_many
+from wakelens.functions.alignment import word_edits
 from wakelens.functions.transcripts import extract_transcript
 from wakelens.operators import asr, cascade, crossval, fewshot, labels, manifest, metrics, ranking, sampling, splits, thresholds
 from wakelens.sources import readers
@@ -65,11 +65,13 @@ def brute_alignment(ref, hyp):
     return [s, m, n]
 
 
-def test_alignment_against_brute_force():
+def test_alignment_against_brute_force(spark):
     rng = random.Random(5)
     pairs = [([rng.choice("abc") for _ in range(rng.randrange(14))], [rng.choice("abc") for _ in range(rng.randrange(14))]) for _ in range(300)]
-    got = align_many([p[0] for p in pairs], [p[1] for p in pairs])
-    assert got.tolist() == [brute_alignment(*p) for p in pairs]
+    rows = [(k, " ".join(r), " ".join(h)) for k, (r, h) in enumerate(pairs)] + [(300, None, "a b"), (301, "a", None), (302, None, None)]
+    df = spark.createDataFrame(rows, "k int, r string, h string").select("k", word_edits(F.col("r"), F.col("h")).alias("e"))
+    got = [list(r.e) for r in df.orderBy("k").collect()]
+    assert got == [brute_alignment(*p) for p in pairs] + [[0, 0, 2], [0, 1, 0], [0, 0, 0]]
 
 
 def test_run_comparison(spark):

@@ -5,7 +5,6 @@ from __future__ import annotations
 import sys
 import unicodedata
 
-import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -14,97 +13,11 @@ from pyspark.sql import types as T
 # Ship these helpers inside the task closure, so executors need no install.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-ALIGNMENT = T.StructType(
-    [
-        T.StructField("substitutions", T.LongType()),
-        T.StructField("deletions", T.LongType()),
-        T.StructField("insertions", T.LongType()),
-    ]
-)
-
-# One edit path is packed as distance, insertions, deletions in one integer, so
-# integer order is the tie-break order and costs simply add up.
-_INS = (1 << 42) + (1 << 21)
-_DEL = (1 << 42) + 1
-_SUB = 1 << 42
-_FIELD = (1 << 21) - 1
-_CELLS = 4_000_000
-
-
 @F.pandas_udf(T.StringType())
 def nfkc_udf(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
 
-def _encode(refs: list, hyps: list) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids, padded right with -1 (references) and -2 (hypotheses)."""
-    ids: dict = {}
-    out = []
-    for rows, pad in ((refs, -1), (hyps, -2)):
-        width = max(len(r) for r in rows)
-        grid = np.full((len(rows), width), pad, dtype=np.int64)
-        for i, row in enumerate(rows):
-            grid[i, : len(row)] = [ids.setdefault(t, len(ids)) for t in row]
-        out.append(grid)
-    return out[0], out[1]
-
-
-def align_counts(refs: list, hyps: list) -> np.ndarray:
-    """(substitutions, deletions, insertions) for each pair of token lists.
-
-    All pairs of the call advance together, one reference position at a time.
-    """
-    n = len(refs)
-    ref_len = np.array([len(r) for r in refs])
-    hyp_len = np.array([len(h) for h in hyps])
-    ref_ids, hyp_ids = _encode(refs, hyps)
-    steps = np.arange(hyp_ids.shape[1] + 1, dtype=np.int64) * _INS
-    row = np.tile(steps, (n, 1))
-    final = row[np.arange(n), hyp_len].copy()
-    for i in range(ref_ids.shape[1]):
-        step = np.where(ref_ids[:, i : i + 1] == hyp_ids, 0, _SUB)
-        best = row + _DEL
-        best[:, 1:] = np.minimum(best[:, 1:], row[:, :-1] + step)
-        row = np.minimum.accumulate(best - steps, axis=1) + steps
-        done = ref_len == i + 1
-        final[done] = row[done, hyp_len[done]]
-    distance = final >> 42
-    insertions = (final >> 21) & _FIELD
-    deletions = final & _FIELD
-    return np.stack([distance - insertions - deletions, deletions, insertions], axis=1)
-
-
-def align_many(refs: list, hyps: list) -> np.ndarray:
-    """``align_counts`` over groups of pairs of like length."""
-    out = np.zeros((len(refs), 3), dtype=np.int64)
-    sizes = np.array([max(len(r), len(h), 1) for r, h in zip(refs, hyps)])
-    order = np.argsort(sizes, kind="stable")
-    start = 0
-    while start < len(order):
-        stop = start + 1
-        first = sizes[order[start]]
-        while stop < len(order):
-            size = sizes[order[stop]]
-            if size > 2 * first or (stop - start + 1) * size > _CELLS:
-                break
-            stop += 1
-        pick = order[start:stop]
-        out[pick] = align_counts([refs[i] for i in pick], [hyps[i] for i in pick])
-        start = stop
-    return out
-
-
-@F.pandas_udf(ALIGNMENT)
-def word_alignment(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
-    """Word edits of two squeezed texts; equal pairs cost nothing."""
-    ref = [(s or "").split() for s in reference]
-    hyp = [(s or "").split() for s in hypothesis]
-    counts = np.zeros((len(ref), 3), dtype=np.int64)
-    todo = [i for i in range(len(ref)) if ref[i] != hyp[i]]
-    if todo:
-        counts[todo] = align_many([ref[i] for i in todo], [hyp[i] for i in todo])
-    return pd.DataFrame(counts, columns=["substitutions", "deletions", "insertions"])
-
 TRANSCRIPT = T.StructType(
     [T.StructField("text", T.StringType()), T.StructField("path", T.StringType()), T.StructField("error", T.StringType())]
 )

@@ -8,18 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.arrow import word_alignment
+from ..functions.alignment import word_edits
 from ..functions.numeric import ratio
 
 
 def aligned(rows: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
     """Add substitutions, deletions, insertions and reference words per row.
 
-    Equal pairs never leave the JVM.
+    Everything stays in the JVM; equal pairs are not aligned.
     """
     same = F.col(reference) == F.col(hypothesis)
-    counts = word_alignment(F.when(~same, F.col(reference)), F.when(~same, F.col(hypothesis)))
-    staged = rows.withColumn("_align", counts)
+    counts = word_edits(F.when(~same, F.col(reference)), F.when(~same, F.col(hypothesis)))
+    # Behind an array, so that the alignment is not repeated for every field taken from it.
+    staged = rows.withColumn("_align", F.explode(F.array(counts)))
     return staged.withColumns(
         {
             **{c: F.col(f"_align.{c}") for c in ("substitutions", "deletions", "insertions")},

@@ -188,11 +188,15 @@ def next_ids(existing: DataFrame, column: str, new_rows: DataFrame, order: Seque
 
 
 def fingerprint(rows: DataFrame, config_json: str) -> DataFrame:
-    """Order-free content hash, row count and the digest of both with the config."""
-    hashed = rows.select(F.xxhash64(*rows.columns).alias("_h"))
-    agg = hashed.agg(F.bit_xor("_h").alias("content"), F.sum(F.col("_h").cast("decimal(38,0)")).alias("total"), F.count(F.lit(1)).alias("rows"))
-    text = F.to_json(F.struct("content", F.col("total").cast("string").alias("total"), "rows", F.lit(config_json).alias("config")))
-    return agg.select("rows", F.sha2(text, 256).alias("fingerprint"))
+    """Order-free digest of a multiset of rows, its row count, and the digest of both with the config.
+
+    A row's canonical form holds every value with its length, so no two rows share
+    one; the first 60 bits of its SHA-256 enter a sum and an exclusive or.
+    """
+    shown = [F.coalesce(F.concat(F.length(F.col(c).cast("string")), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in rows.columns]
+    hashed = rows.select(F.conv(F.substring(F.sha2(F.concat_ws(",", *shown), 256), 1, 15), 16, 10).cast("long").alias("_h"))
+    agg = hashed.agg(F.coalesce(F.bit_xor("_h"), F.lit(0)).alias("mixed"), F.coalesce(F.sum(F.col("_h").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("total"), F.count(F.lit(1)).alias("rows"))
+    return agg.select("rows", F.sha2(F.concat_ws("|", "mixed", "total", "rows", F.lit(config_json)), 256).alias("fingerprint"))
 
 
 def counts_agree(expected: DataFrame, actual: DataFrame, key: str, within: int) -> DataFrame:

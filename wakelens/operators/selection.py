@@ -38,11 +38,11 @@ def choose_variant(
     return out.select(*keys, "_best.*")
 
 
-def choose_safe_recipe(candidates: DataFrame, recipe: str, passed: str, recall: str, f1: str, latency: str, fallback: str) -> DataFrame:
-    """Best passing recipe, else the named fallback; always one row."""
+def choose_safe_recipe(candidates: DataFrame, recipe: str, passed: str, recall: str, f1: str, latency: str, fallback: str, keys: tuple = ()) -> DataFrame:
+    """Best passing recipe, else the named fallback; one row for each of ``keys``, and always one without keys."""
     rank = lex(_worth(recall, 0.0), _worth(f1, 0.0), -_worth(latency, 0.0), F.col(recipe))
     best = F.max_by(F.when(F.col(passed), F.col(recipe)), F.when(F.col(passed), rank))
-    return candidates.agg(
+    return candidates.groupBy(*keys).agg(
         F.coalesce(best, F.lit(fallback)).alias("selected_recipe"),
         F.when(best.isNull(), "no_safe_candidate").otherwise("best_safe_candidate").alias("reason"),
     )

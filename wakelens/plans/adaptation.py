@@ -482,18 +482,20 @@ def _fs15(spark, sf_dir):
 @plan(
     "srt5_safe_recipe_choice",
     FS.rstrip()
-    + f""", {ADAPTED_SQL}, pm AS (SELECT recipe, target, {CELLS_SQL} FROM ad WHERE shot = 5 GROUP BY ALL),
-pc AS (SELECT recipe, {ADD_CELLS}, avg({_rate('new', 'recall')}) AS mr, avg({_rate('new', 'f1')}) AS mf FROM pm GROUP BY recipe),
-best AS (SELECT recipe FROM pc WHERE coalesce({_rate('new', 'fpr')}, 0) <= 0.4 AND {_delta('fpr')} <= 0.02 ORDER BY round(mr, 9) DESC, round(mf, 9) DESC, recipe DESC LIMIT 1)
-SELECT coalesce((SELECT recipe FROM best), 'no_adaptation_zero_shot_fallback') AS selected_recipe, CASE WHEN (SELECT count(*) FROM best) = 0 THEN 'no_safe_candidate' ELSE 'best_safe_candidate' END AS reason""",
+    + f""", {ADAPTED_SQL}, pm AS (SELECT shot, recipe, target, {CELLS_SQL} FROM ad GROUP BY ALL),
+pc AS (SELECT shot, recipe, {ADD_CELLS}, avg({_rate('new', 'recall')}) AS mr, avg({_rate('new', 'f1')}) AS mf FROM pm GROUP BY shot, recipe),
+best AS (SELECT shot, recipe FROM pc WHERE coalesce({_rate('new', 'fpr')}, 0) <= 0.4 AND {_delta('fpr')} <= 0.02
+  QUALIFY row_number() OVER (PARTITION BY shot ORDER BY round(mr, 9) DESC, round(mf, 9) DESC, recipe DESC) = 1)
+SELECT s.shot, coalesce(recipe, 'no_adaptation_zero_shot_fallback') AS selected_recipe, CASE WHEN recipe IS NULL THEN 'no_safe_candidate' ELSE 'best_safe_candidate' END AS reason
+FROM (SELECT DISTINCT shot FROM ad) s LEFT JOIN best b ON b.shot = s.shot""",
 )
 def _srt5(spark, sf_dir):
-    """SRT5: safe recipe by macro recall and F1, else the fallback."""
-    counts = fs.recipe_counts(evaluated(spark, sf_dir).where(F.col("shot") == 5), ["recipe", "target"])
+    """SRT5: safe recipe of every shot by macro recall and F1, else the fallback."""
+    counts = fs.recipe_counts(evaluated(spark, sf_dir), ["shot", "recipe", "target"])
     rated = fs.with_deltas(counts)
-    pooled = rated.groupBy("recipe").agg(
+    pooled = rated.groupBy("shot", "recipe").agg(
         *[F.sum(c).alias(c) for c in ALL_CELLS], F.round(F.avg("new_recall"), 9).alias("mr"), F.round(F.avg("new_f1"), 9).alias("mf")
     )
     gate = fs.with_deltas(pooled).withColumn("passed", fs.safety_gate(F.col("zero_fpr"), F.col("new_fpr"), 0.4, 0.02, 0.0))
     ready = gate.withColumn("latency", F.lit(None).cast("double"))
-    return sl.choose_safe_recipe(ready, "recipe", "passed", "mr", "mf", "latency", "no_adaptation_zero_shot_fallback")
+    return sl.choose_safe_recipe(ready, "recipe", "passed", "mr", "mf", "latency", "no_adaptation_zero_shot_fallback", ("shot",))

@@ -45,6 +45,26 @@ def results(run):
     return run.withColumn("result", F.when(F.col("status") == "failed", bad).otherwise(shape.otherwise(deep)))
 
 
+def parity_sql(expr: str) -> str:
+    return f"trim(regexp_replace(lower(coalesce({expr}, '')), '[^a-z0-9'']+', ' ', 'g'))"
+
+
+INS, DEL, SUB = (1 << 42) + (1 << 21), (1 << 42) + 1, 1 << 42
+FIELD = (1 << 21) - 1
+
+
+def edits_sql(run: str, name: str, reference: str = "reference", hypothesis: str = "hypothesis", where: str = "status = 'success'") -> str:
+    """CTE ``name``: least packed edits of every row of ``run``, by recursion over the reference's words."""
+    lists = f"""{name}_p AS MATERIALIZED (SELECT *, list_filter(string_split({reference}, ' '), lambda x: x <> '') AS rw, list_filter(string_split({hypothesis}, ' '), lambda x: x <> '') AS hw, row_number() OVER () AS pair FROM {run} WHERE {where})"""
+    cell = f"least(c[e[1] + 1] + {DEL}, c[e[1]] + CASE WHEN hw[e[1]] = rw[i + 1] THEN 0 ELSE {SUB} END, acc[e[1]] + {INS})"
+    walk = f"""{name}_w AS (SELECT pair, 0::BIGINT AS i, rw, hw, list_transform(range(0, len(hw) + 1), lambda j: j * {INS}) AS c FROM {name}_p WHERE rw <> hw
+  UNION ALL SELECT pair, i + 1, rw, hw, list_reduce(list_prepend([c[1] + {DEL}], list_transform(range(1, len(hw) + 1), lambda j: [j])), lambda acc, e: list_append(acc, {cell})) FROM {name}_w WHERE i < len(rw))"""
+    out = f"""{name} AS (SELECT p.*, coalesce(c[len(p.hw) + 1], 0) AS packed, packed >> 42 AS edits, (packed >> 21) & {FIELD} AS insertions, packed & {FIELD} AS deletions,
+  edits - insertions - deletions AS substitutions, len(p.rw)::BIGINT AS reference_words
+  FROM {name}_p p LEFT JOIN {name}_w w ON w.pair = p.pair AND w.i = len(w.rw))"""
+    return f"{lists},\n{walk},\n{out}"
+
+
 @plan(
     "prj11_nested_transcripts",
     U
@@ -80,7 +100,16 @@ def _prj12(spark, sf_dir):
     )
 
 
-@plan("agg18_word_errors")
+@plan(
+    "agg18_word_errors",
+    U
+    + ", "
+    + edits_sql("run_a", "ea")
+    + """, x AS (SELECT split, speaker, CAST(sum(substitutions) AS BIGINT) AS substitutions, CAST(sum(deletions) AS BIGINT) AS deletions, CAST(sum(insertions) AS BIGINT) AS insertions,
+  CAST(sum(reference_words) AS BIGINT) AS reference_words, count(*) FILTER (WHERE edits > 0) AS sentence_errors, count(*) AS total_sentences FROM ea GROUP BY ROLLUP (split, speaker))
+SELECT *, round((substitutions + deletions + insertions) / nullif(reference_words, 0)::DOUBLE, 6) AS wer, round(sentence_errors / total_sentences::DOUBLE, 6) AS sentence_error_rate,
+  round((total_sentences - sentence_errors) / total_sentences::DOUBLE, 6) AS exact_match_rate FROM x""",
+)
 def _agg18(spark, sf_dir):
     """AGG18 and UDF1: corpus word errors pooled, per split and speaker."""
     run = asr.successes(one_run(spark, sf_dir))
@@ -149,7 +178,15 @@ def _agg24_text(spark, sf_dir):
     )
 
 
-@plan("agg24_transcript_distance")
+@plan(
+    "agg24_transcript_distance",
+    U
+    + f""", ab AS (SELECT a.id, a.hypothesis AS a, b.hypothesis AS b, {parity_sql('a.hypothesis')} AS na, {parity_sql('b.hypothesis')} AS nb FROM run_a a JOIN run_b b USING (id)),
+"""
+    + edits_sql("ab", "ed", "coalesce(na, '')", "coalesce(nb, '')", "true")
+    + """ SELECT count(*) AS n, count(*) FILTER (WHERE a = b) AS exact_matches, count(*) FILTER (WHERE na = nb) AS normalised_matches,
+  CAST(sum(edits) AS BIGINT) AS word_edit_distance, max(edits) AS max_word_edit_distance FROM ed""",
+)
 def _agg24_distance(spark, sf_dir):
     """AGG24: word distance between the transcripts of two runs."""
     a, b = runs(spark, sf_dir)
@@ -220,7 +257,20 @@ def _jn7(spark, sf_dir):
     return asr.comparison_summary(asr.paired_runs(a, b, ["err"]), "base_err", "cand_err")
 
 
-@plan("jn7_word_error_change")
+@plan(
+    "jn7_word_error_change",
+    U
+    + ", "
+    + edits_sql("run_a", "ea")
+    + ",\n"
+    + edits_sql("run_b", "eb")
+    + """, x AS (SELECT a.id IS NOT NULL AS ia, b.id IS NOT NULL AS ib, a.edits AS ea, b.edits AS eb FROM ea a FULL JOIN eb b ON a.id = b.id)
+SELECT count(*) FILTER (WHERE ia AND ib) AS common_successes, count(*) FILTER (WHERE ia AND NOT ib) AS baseline_only,
+  count(*) FILTER (WHERE ib AND NOT ia) AS candidate_only, count(*) FILTER (WHERE ia AND ib AND eb < ea) AS improved,
+  count(*) FILTER (WHERE ia AND ib AND eb > ea) AS degraded, count(*) FILTER (WHERE ia AND ib AND eb = ea) AS unchanged,
+  CAST(sum(ea) FILTER (WHERE ia AND ib) AS BIGINT) AS baseline_errors, CAST(sum(eb) FILTER (WHERE ia AND ib) AS BIGINT) AS candidate_errors,
+  'intersection_only' AS comparison_mode FROM x""",
+)
 def _jn7_words(spark, sf_dir):
     """JN7: the same comparison by word edits."""
     edits = F.col("substitutions") + F.col("deletions") + F.col("insertions")
@@ -293,7 +343,10 @@ def _srt3(spark, sf_dir):
     return asr.worst(run.select("id", "speaker", "edits"), "edits", "id", 100)
 
 
-@plan("srt3_worst_by_word_error")
+@plan(
+    "srt3_worst_by_word_error",
+    U + ", " + edits_sql("run_a", "ea") + "SELECT id, speaker, round(edits / reference_words::DOUBLE, 6) AS wer FROM ea ORDER BY edits / reference_words::DOUBLE DESC, id DESC LIMIT 100",
+)
 def _srt3_words(spark, sf_dir):
     """SRT3: worst utterances by word error rate."""
     scored = asr.aligned(asr.successes(one_run(spark, sf_dir)))

@@ -136,7 +136,12 @@ def _agg15_equal(spark, sf_dir):
     return mf.same_rows(a, b, ["split", "content_hash"])
 
 
-@plan("agg25_dataset_fingerprint")
+@plan(
+    "agg25_dataset_fingerprint",
+    W
+    + f""", c AS (SELECT CAST('0x' || left(sha256(concat_ws(',', {", ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("clip_id", "window_index", "label", "content_hash"))})), 15) AS BIGINT) AS h FROM w)
+SELECT count(*) AS rows, sha256(concat_ws('|', bit_xor(h), CAST(sum(h) AS HUGEINT), count(*), '{{"window_seconds":2.0}}')) AS fingerprint FROM c""",
+)
 def _agg25(spark, sf_dir):
     """AGG25: order-free fingerprint of the window table and its config."""
     w = windows(spark, sf_dir).select("clip_id", "window_index", "label", "content_hash")
