@@ -83,7 +83,8 @@ def components(edges: DataFrame) -> DataFrame:
     A graph without edges has no rows; loops and repeated edges add nothing, but a
     node that has loops only is a row of its own.
     """
-    plain = edges.select(F.col("node").cast("long").alias("a"), F.col("hub").cast("long").alias("b"))
+    # Written once: it is read for its loops and for its edges.
+    plain = cut(edges.select(F.col("node").cast("long").alias("a"), F.col("hub").cast("long").alias("b")))
     alone = plain.where("a = b").select(F.col("a").alias("node")).distinct()
     pairs = _shrunk(plain.where("a <> b"))
     taken: list[DataFrame] = []
