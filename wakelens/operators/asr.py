@@ -159,6 +159,13 @@ def run_health(run: DataFrame, manifest: DataFrame, key: str, hypothesis: str, p
     return out.withColumn("status", status).crossJoin(F.broadcast(paths))
 
 
+def extraction_paths(run: DataFrame, path: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Every path transcripts were taken from, with its rows and failures; one row a path, however many rows."""
+    return run.where(F.col(path).isNotNull()).groupBy(path, *keys).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("status") != "success").alias("failures")
+    )
+
+
 def manifest_summary(rows: DataFrame) -> DataFrame:
     """Utterances, speakers, chapters and hours from one pre-aggregate."""
     chapters = rows.groupBy("speaker", "chapter").agg(

@@ -161,6 +161,19 @@ def _agg20(spark, sf_dir):
     return asr.run_health(run, asr.successes(b), "id", "hypothesis", "path")
 
 
+@plan(
+    "agg20_extraction_paths",
+    U
+    + """SELECT '$[''text'']' AS path, speaker, count(*) AS rows, count(*) FILTER (WHERE status <> 'success') AS failures FROM run_a GROUP BY speaker
+UNION ALL SELECT '$', speaker, count(*), count(*) FROM run_b WHERE status = 'failed' GROUP BY speaker""",
+)
+def _agg20_paths(spark, sf_dir):
+    """AGG20: the paths transcripts were taken from, with rows and failures per speaker."""
+    a, b = runs(spark, sf_dir)
+    run = a.withColumn("path", F.lit("$['text']")).unionByName(b.where(F.col("status") == "failed").withColumn("path", F.lit("$")))
+    return asr.extraction_paths(run, "path", ["speaker"])
+
+
 @plan(
     "agg24_transcript_parity",
     U
