@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from ..operators import frames as fr
 from ..operators import metrics as mt
 from ..session import shared_folder
-from ..streaming import intake, triggers
+from ..streaming import intake, late, triggers
 from ..streaming import windows as sw
 from .bindings import (
     FRAMES_SQL,
@@ -234,6 +234,60 @@ def _str5_sessions(spark, sf_dir):
     return shown(sw.sessions(scored_events(table(spark, sf_dir, "events")), ts="ts", gap_seconds=12 * 3600, theta=0.1))
 
 
+HALF_SQL = f"""le AS (SELECT user_id AS session, event_id, epoch_us(ts) AS t, value / 500.0::DOUBLE AS score FROM events),
+lm AS (SELECT (min(t) + max(t)) // 2 AS mid FROM le), lp AS (SELECT le.*, t > mid OR event_id % 7 = 0 AS second FROM le, lm),
+lw AS (SELECT max(t) // 1000 - 3600000 AS wm FROM lp WHERE NOT second)"""
+LATE_SHOWN = "SELECT session, NULL::BIGINT AS t, NULL::DOUBLE AS score, window_start, window_end, count(*) AS chunks, round(max(score), 6) AS max_score, count(*) FILTER (WHERE score >= 0.1) AS candidates, false AS late"
+LATE_ROWS = "SELECT session, t, round(score, 6), NULL, NULL, NULL, NULL, NULL, true"
+
+
+def two_runs(spark, sf_dir, windowed):
+    """Events in two runs of one stream: the earlier half without every seventh row, then all the rest."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("session"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), (F.col("value") / 500.0).alias("score"))
+    ends = rows.agg(F.min("t"), F.max("t")).first()
+    mid = 0 if ends[0] is None else (ends[0] + ends[1]) // 2
+    second = (F.col("t") > mid) | (F.col("event_id") % 7 == 0)
+    path, base = shared_folder(spark), shared_folder(spark)
+    event = [F.col("session").cast("string").alias("session"), "t", "score", F.lit("chunk").alias("kind")]
+    end = spark.range(1).select(F.lit("").alias("session"), F.lit(LAST).alias("t"), F.lit(None).cast("double").alias("score"), F.lit("end").alias("kind"))
+    for part in (rows.where(~second).select(*event), rows.where(second).select(*event), end):
+        part.write.mode("append").parquet(path)
+        out = intake.drain(windowed(intake.file_stream(spark, path, end.schema)), base=base)
+    return out.withColumn("session", F.col("session").cast("long"))
+
+
+@plan(
+    "str5_late_windows",
+    with_ctes(HALF_SQL)
+    + f""", lx AS (SELECT lp.*, t - t % {DAY // 4} AS top FROM lp),
+ly AS (SELECT lx.*, top - k * {DAY // 4} AS window_start, top - k * {DAY // 4} + {DAY} AS window_end FROM lx, range(4) r(k))
+{LATE_SHOWN} FROM ly, lw WHERE NOT second OR window_end // 1000 > wm GROUP BY session, window_start, window_end
+UNION ALL {LATE_ROWS} FROM lx, lw WHERE second AND (top + {DAY}) // 1000 <= wm""",
+)
+def _str5_late(spark, sf_dir):
+    """STR5: sliding windows and the table of late rows in one pass of a stream that was stopped and resumed."""
+    return two_runs(spark, sf_dir, lambda s: late.sliding(s, size=DAY, slide=DAY // 4, theta=0.1, delay="1 hour"))
+
+
+@plan(
+    "str5_late_sessions",
+    with_ctes(HALF_SQL)
+    + f""", ld AS (SELECT lp.*, second AND (t + {DAY // 2}) // 1000 <= wm AS gone FROM lp, lw),
+la AS (SELECT session, t, score, second, sum(fresh) OVER (PARTITION BY session ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM
+  (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY session ORDER BY t) < {DAY // 2} THEN 0 ELSE 1 END AS fresh FROM ld WHERE NOT second)),
+lz AS (SELECT session, run, max(t) AS last FROM la GROUP BY ALL),
+lc AS (SELECT la.session, t, score, (last + {DAY // 2}) // 1000 <= wm AS done FROM la JOIN lz USING (session, run), lw),
+lo AS (SELECT session, t, score, done FROM lc UNION ALL SELECT session, t, score, false FROM ld WHERE second AND NOT gone),
+lr AS (SELECT *, sum(fresh) OVER (PARTITION BY session, done ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM
+  (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY session, done ORDER BY t) < {DAY // 2} THEN 0 ELSE 1 END AS fresh FROM lo)),
+lv AS (SELECT *, min(t) OVER w AS window_start, max(t) OVER w + {DAY // 2} AS window_end FROM lr WINDOW w AS (PARTITION BY session, done, run))
+{LATE_SHOWN} FROM lv GROUP BY session, done, run, window_start, window_end UNION ALL {LATE_ROWS} FROM ld WHERE gone""",
+)
+def _str5_late_sessions(spark, sf_dir):
+    """STR5: session windows with a twelve-hour gap as a stream, with its table of late rows."""
+    return two_runs(spark, sf_dir, lambda s: late.sessions(s, gap=DAY // 2, theta=0.1, delay="1 hour"))
+
+
 @plan(
     "str6_incremental_intake",
     with_ctes(UTTERANCES_SQL)

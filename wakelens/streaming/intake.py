@@ -28,13 +28,14 @@ def prediction_stream(spark: SparkSession, path: str, schema: T.StructType) -> D
     return file_stream(spark, path, wide, "json", columnNameOfCorruptRecord=CORRUPT)
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame, mode: str = "append", base: str | None = None) -> DataFrame:
     """Run a stream until its input is used up and read what it wrote.
 
     Output and checkpoint live in the shared folder, so the run can resume on
-    other executors.
+    other executors.  With the ``base`` of an earlier run it goes on where that
+    one ended, state and watermark included.
     """
-    spark, base = stream.sparkSession, shared_folder(stream.sparkSession)
+    spark, base = stream.sparkSession, base or shared_folder(stream.sparkSession)
     out = f"{base}/out"
     query = (
         stream.writeStream.outputMode(mode)

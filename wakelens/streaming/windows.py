@@ -50,8 +50,3 @@ def sessions(rows: DataFrame, *, ts: str, gap_seconds: int, theta: float, delay:
         *_measures(theta), F.min(ts).alias("window_start"), (F.max(ts) + gap).alias("window_end")
     )
     return merged.drop("island")
-
-
-def late_rows(rows: DataFrame, ts: str, watermark: str) -> DataFrame:
-    """Rows behind a watermark column, for the dead-letter table."""
-    return rows.where(F.col(ts) < F.col(watermark))
