@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
@@ -303,6 +304,49 @@ def test_multistart_folds_cover_everybody_once(spark):
     assert cost < 1.0 and cost <= one(crossval.fold_objective(crossval.fold_statistics(crossval.multistart_folds(df, "u", starts=1)), 5))["objective"]
 
 
+VECTORS = "u long, participants long, clips long, positive long, negative long, P1 long, P2 long, P3 long, P4 long"
+
+
+def test_greedy_folds_against_the_whole_objective(spark):
+    """Every placement is the one that a full evaluation of all folds would choose."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(83):
+        parts = [rng.choice([0, 0, 1, 2, 9 if i % 11 == 0 else 1]) for _ in range(4)]
+        rows.append((i, 1, sum(parts), sum(parts[:3]), parts[3], *parts))
+    df = spark.createDataFrame(rows, VECTORS)
+    names = list(crossval.WEIGHTS)
+    means = {m: sum(r[k + 1] for r in rows) / 5 for k, m in enumerate(names)}
+
+    def objective(folds):
+        return sum(w * sum((f[k] / means[m] - sum(x[k] for x in folds) / 5 / means[m]) ** 2 for f in folds) for k, (m, w) in enumerate(crossval.WEIGHTS.items()))
+
+    sizes = {}
+    for r in rows:
+        sizes[r[1:]] = sizes.get(r[1:], 0) + 1
+    want = {}
+    for start in range(4):
+        key = lambda v: hashlib.sha256(f"7:{start}:{'-'.join(map(str, v))}".encode()).hexdigest()
+        folds = [[0] * 8 for _ in range(5)]
+        for v in sorted(sizes, key=lambda v: (-v[1], -v[2], key(v))):
+            for _ in range(sizes[v] % 5):
+                tried = [objective([[a + b for a, b in zip(f, v)] if i == k else f for i, f in enumerate(folds)]) for k in range(5)]
+                best = min(range(5), key=lambda k: (round(tried[k], 9), folds[k][0], k))
+                folds[best] = [a + b for a, b in zip(folds[best], v)]
+        want[start] = objective(folds)
+    got = {r.start: r.objective for r in crossval.start_objectives(df, starts=4, seed=7).collect()}
+    assert got == pytest.approx(want)
+    placed = crossval.greedy_folds(df, "u", starts=4, seed=7).cache()
+    assert sorted(r.u for r in placed.collect()) == list(range(83)) and placed.where("fold is null or fold < 0 or fold > 4").count() == 0
+    assert one(crossval.fold_objective(crossval.fold_statistics(placed), 5))["objective"] == pytest.approx(min(want.values()))
+
+
+def test_greedy_folds_of_equal_participants_and_of_none(spark):
+    df = spark.createDataFrame([(i, 1, 5, 3, 2, 1, 1, 1, 2) for i in range(60)], VECTORS)
+    assert {r.n for r in crossval.greedy_folds(df, "u").groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()} == {12}
+    assert crossval.greedy_folds(df.limit(0), "u").count() == 0
+
+
 def test_replay_against_brute_force(spark):
     import hashlib
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,9 @@ from ..functions.hashing import hash_bucket, order_key
 from ..session import cut
 from .ranking import numbered
 
+# Ship the task functions inside the closure, so executors need no install.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # What a balanced fold is measured by, and how much each counts.
 WEIGHTS = {
     "participants": 5.0,
@@ -94,6 +100,97 @@ def multistart_folds(vectors: DataFrame, unit: str, *, folds: int = 5, starts: i
     return placed.join(F.broadcast(best), "start").select(unit, *WEIGHTS, "fold")
 
 
+def _classes(vectors: DataFrame, folds: int) -> DataFrame:
+    """Participants with equal counts as one row: ``every`` for each fold, ``rest`` to be placed."""
+    size = F.count(F.lit(1))
+    grouped = vectors.groupBy(*WEIGHTS).agg(F.floor(size / folds).alias("every"), (size % folds).alias("rest"))
+    return grouped.withColumn("class", F.concat_ws("-", *WEIGHTS))
+
+
+def _walk(costs: list[float], folds: int, placements: bool):
+    """Place the rows of each start, which come in order, one after another.
+
+    Holds the sums of one start's folds and nothing else.
+    """
+    names = list(WEIGHTS)
+
+    def score(totals: list[list[int]]) -> float:
+        means = [sum(t[m] for t in totals) / folds for m in range(len(names))]
+        return sum(c * sum((t[m] - means[m]) ** 2 for t in totals) for m, c in enumerate(costs))
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        start, totals = None, []
+        for frame in frames:
+            out = []
+            for row in frame[["start", "class", "rest", *names]].itertuples(index=False):
+                own, label, rest, values = row[0], row[1], row[2], row[3:]
+                if own != start:
+                    if start is not None and not placements:
+                        out.append((start, score(totals)))
+                    start, totals = own, [[0] * len(names) for _ in range(folds)]
+                weighed = [c * v for c, v in zip(costs, values)]
+                for copy in range(rest):
+                    # The objective grows least where the weighed overlap with what is there is least.
+                    overlap = [sum(w * v for w, v in zip(weighed, t)) for t in totals]
+                    fold = min(range(folds), key=lambda f: (overlap[f], totals[f][0], f))
+                    totals[fold] = [a + v for a, v in zip(totals[fold], values)]
+                    if placements:
+                        out.append((label, copy, fold))
+            yield pd.DataFrame(out, columns=["class", "copy", "fold"] if placements else ["start", "objective"])
+        if start is not None and not placements:
+            yield pd.DataFrame([(start, score(totals))], columns=["start", "objective"])
+
+    return task
+
+
+def _costs(vectors: DataFrame, folds: int) -> list[float]:
+    totals = vectors.agg(*[F.sum(m).alias(m) for m in WEIGHTS]).first()
+    return [w * folds * folds / float(totals[m] * totals[m]) if totals[m] else 0.0 for m, w in WEIGHTS.items()]
+
+
+def _tries(classes: DataFrame, starts: Column, seed: int) -> DataFrame:
+    tries = classes.where("rest > 0").withColumn("start", F.explode(starts))
+    placed = tries.withColumn("_key", order_key(seed, F.col("start"), F.col("class"))).repartition("start")
+    return placed.sortWithinPartitions("start", F.desc("clips"), F.desc("positive"), "_key", "class").drop("_key")
+
+
+def start_objectives(vectors: DataFrame, *, folds: int = 5, starts: int = 200, seed: int = 20260620, classes: DataFrame | None = None) -> DataFrame:
+    """(start, objective) of seeded greedy placements.
+
+    Participants come from the largest to the smallest, equal sizes in an order
+    of the start's own, and each goes where the objective over all eight measures
+    is least, then to the fold with fewest participants.  Deviations are taken
+    from the means of the whole table.  Of n participants with equal counts every
+    fold gets ``n // folds`` beforehand, so a start walks distinct count vectors
+    and not participants.  Starts are independent tasks.  Classes without a rest
+    place nothing; if all are, no start has a row.
+    """
+    classes = _classes(vectors, folds) if classes is None else classes
+    tries = _tries(classes, F.sequence(F.lit(0), F.lit(starts - 1)), seed)
+    return tries.mapInPandas(_walk(_costs(vectors, folds), folds, False), "start int, objective double")
+
+
+def greedy_folds(vectors: DataFrame, unit: str, *, folds: int = 5, starts: int = 200, seed: int = 20260620) -> DataFrame:
+    """Participants with the fold of the best greedy start (ties: the first).
+
+    Only the objectives of the starts are kept; the best start is then walked
+    again for its placements.  Within a class participants are dealt in hash
+    order, ranked over hash buckets, so a large class spreads over tasks.
+    """
+    vectors = cut(vectors)
+    classes = cut(_classes(vectors, folds))
+    scored = start_objectives(vectors, folds=folds, starts=starts, seed=seed, classes=classes)
+    best = scored.agg(F.min_by("start", F.struct(F.round("objective", 12), "start")).alias("start")).first()["start"]
+    tries = _tries(classes, F.array(F.lit(best or 0)), seed)
+    dealt = tries.mapInPandas(_walk(_costs(vectors, folds), folds, True), "class string, copy int, fold int")
+    keyed = vectors.withColumn("class", F.concat_ws("-", *WEIGHTS)).withColumn("_key", order_key(seed, F.col(unit)))
+    ranked = numbered(keyed, ["class"], [F.col("_key"), F.col(unit)], hash_bucket(F.col("_key"), 3), "_rank")
+    place = ranked.join(classes.select("class", "every"), "class").withColumn("copy", (F.col("_rank") - 1 - folds * F.col("every")).cast("int"))
+    joined = place.join(dealt.withColumnRenamed("fold", "_fold"), ["class", "copy"], "left")
+    fold = F.when(F.col("copy") < 0, (F.col("_rank") - 1) % folds).otherwise(F.col("_fold")).cast("int")
+    return joined.select(unit, *WEIGHTS, fold.alias("fold"))
+
+
 def nested_plan(spark, folds: int = 5) -> DataFrame:
     """(outer, inner, fold, role): four inner plans for every outer fold."""
     ids = F.sequence(F.lit(0), F.lit(folds - 1))

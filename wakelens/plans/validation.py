@@ -359,10 +359,43 @@ gs AS (SELECT start, fold, {MEASURES} FROM ps GROUP BY start, fold), os AS (SELE
 SELECT fold, {", ".join(cv.WEIGHTS)} FROM gs WHERE start = (SELECT start FROM os ORDER BY round(objective, 9), start LIMIT 1)""",
 )
 def _cv3_multistart(spark, sf_dir):
-    """CV3: best of 20 seeded snakes, summed per fold; UDF4, the greedy placement, is not built."""
+    """CV3: best of 20 seeded snakes, summed per fold; the greedy placement is udf4_greedy_folds."""
     return cv.fold_statistics(cv.multistart_folds(vectors(spark, sf_dir), "alias", starts=STARTS))
 
 
+MN = list(cv.WEIGHTS)
+OVERLAP = " + ".join(f"w.x[{m + 1}] * w.c[{m + 1}] * w.v[f * 8 + {m + 1}]" for m in range(8))
+GREEDY_SQL = f"""{ONE_ROW_SQL}, {VECTORS_SQL}, co AS MATERIALIZED (SELECT [{", ".join(f"coalesce({w} * 25 / nullif(CAST(sum({m}) * sum({m}) AS DOUBLE), 0), 0.0)::DOUBLE" for m, w in cv.WEIGHTS.items())}] AS c FROM pv),
+cl AS MATERIALIZED (SELECT {", ".join(MN)}, concat_ws('-', {", ".join(MN)}) AS class, count(*) // 5 AS every, count(*) % 5 AS rest FROM pv GROUP BY {", ".join(MN)}),
+it AS MATERIALIZED (SELECT s.i AS start, class, k.i AS copy, [{", ".join(MN)}] AS x, row_number() OVER (PARTITION BY s.i ORDER BY clips DESC, positive DESC, sha256('20260620:' || s.i || ':' || class), class, k.i) AS i
+  FROM cl, range(200) s(i), range(4) k(i) WHERE k.i < rest),
+gr AS (SELECT start, 0::BIGINT AS i, list_transform(range(40), lambda k: 0::BIGINT) AS v, 0::BIGINT AS fold FROM (SELECT DISTINCT start FROM it)
+  UNION ALL SELECT start, i, list_transform(range(40), lambda k: v[k + 1] + CASE WHEN k // 8 = fold THEN x[k % 8 + 1] ELSE 0 END), fold
+  FROM (SELECT w.start, w.i, w.v, w.x, list_min(list_transform(range(5), lambda f: {{'s': {OVERLAP}, 'n': w.v[f * 8 + 1], 'f': f}})).f AS fold
+    FROM (SELECT it.start, it.i, it.x, gr.v, co.c FROM gr JOIN it ON it.start = gr.start AND it.i = gr.i + 1, co) w)),
+ge AS (SELECT gr.start, list_sum(list_transform(range(8), lambda m: c[m + 1] * list_sum(list_transform(range(5), lambda f: pow(v[f * 8 + m + 1] - list_sum(list_transform(range(5), lambda g: v[g * 8 + m + 1])) / 5.0, 2))))) AS objective
+  FROM gr JOIN (SELECT start, max(i) AS i FROM it GROUP BY start) USING (start, i), co)"""
+
+
+@plan("udf4_start_objectives", S + f", {GREEDY_SQL} SELECT CAST(start AS INT) AS start, round(objective * 1e6, 6) AS objective_ppm FROM ge")
+def _udf4_objectives(spark, sf_dir):
+    """UDF4: what 200 greedy fold placements reach, in millionths."""
+    rows = cv.start_objectives(cut(vectors(spark, sf_dir)))
+    return rows.select("start", (F.col("objective") * 1e6).alias("objective_ppm"))
+
+
+@plan(
+    "udf4_greedy_folds",
+    S
+    + f""", {GREEDY_SQL}, gb AS (SELECT gr.fold, it.class, it.copy FROM gr JOIN it USING (start, i) WHERE start = (SELECT start FROM ge ORDER BY round(objective, 12), start LIMIT 1)),
+pr AS (SELECT pv.*, class, every, row_number() OVER (PARTITION BY class ORDER BY sha256('20260620:' || alias), alias) AS r FROM pv JOIN cl USING ({", ".join(MN)}))
+SELECT alias, clips, positive, CAST(CASE WHEN r <= 5 * every THEN (r - 1) % 5 ELSE gb.fold END AS INT) AS fold FROM pr LEFT JOIN gb ON gb.class = pr.class AND gb.copy = r - 1 - 5 * every""",
+)
+def _udf4(spark, sf_dir):
+    """CV3 and UDF4: folds of the best of 200 greedy starts over all eight measures."""
+    return cv.greedy_folds(vectors(spark, sf_dir), "alias").select("alias", "clips", "positive", "fold")
+
+
 @plan(
     "cv4_fold_protocol",
     S
