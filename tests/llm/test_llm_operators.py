@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
+import random
 import re
 from collections import Counter
 
@@ -120,6 +122,63 @@ def test_private_data(spark, docs, empty):
     assert privacy.sanitise(docs).count() == docs.count() and privacy.sanitise(empty).count() == 0
 
 
+def test_disclosure_against_brute_force(spark):
+    """Terms and disclosures equal those counted in plain Python over distinct surroundings."""
+    rng = random.Random(11)
+    people = [("ann@one.org", "annie"), ("bob@one.org", "bobby"), ("cy@two.net", "cyrus"), ("+1 (017) 555-7713", "dora")]
+    texts = []
+    for k in range(90):
+        address, nick = rng.choice(people)
+        firm = "onecorp" if "one.org" in address else rng.choice(["foo", "bar"])
+        body = [rng.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta"]) + str(rng.randrange(9)) for _ in range(30)]
+        body[10:10] = [nick, firm, address, rng.choice(["annie", "the", "the", "the"])] if k % 3 else [rng.choice(["cyrus", "the"])]
+        texts.append(" ".join(body))
+    frame = spark.createDataFrame([(k, t, None, 0, "") for k, t in enumerate(texts)], DOCS)
+    near, places, names = {}, {}, {}
+    for t in texts:
+        words, spans = [(m[0], *m.span()) for m in re.finditer(r"\S+", t)], privacy.base_spans(t)
+        low = [w.lower() for w, _, _ in words]
+        place = [tuple(low[i] if 0 <= i < len(low) else None for i in range(k - 3, k + 4)) for k in range(len(low))]
+        strip = [w.strip("".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())) for w in low]
+        for k, w in enumerate(strip):
+            places.setdefault(w, set()).add(place[k])
+        taken = {k for k, (_, a, b) in enumerate(words) for _, x, y in spans if a < y and x < b}
+        for kind, x, y in spans:
+            own = [k for k, (_, a, b) in enumerate(words) if a < y and x < b]
+            for entity in [t[x:y]] + ([t[x:y].split("@")[1]] if kind == "email" else []):
+                near.setdefault((entity, kind), {}).setdefault("", set()).add(place[own[0]])
+                for k in [*range(max(0, own[0] - 8), own[0]), *range(own[-1] + 1, min(len(low), own[-1] + 9))]:
+                    if k not in taken and len(strip[k]) > 1:
+                        near[entity, kind].setdefault(strip[k], set()).add(place[k])
+    want = {}
+    for (entity, kind), terms in near.items():
+        information = -math.log(min(0.5, len(terms[""]) / len(texts)))
+        for term, seen in terms.items():
+            n, m = len(seen), len(places.get(term, ()))
+            if term and n >= 2:
+                share = n / m
+                low = (share + 1 / (2 * m) - math.sqrt(share * (1 - share) / m + 1 / (4 * m * m))) / (1 + 1 / m)
+                if low >= 0.5 and 1 + math.log(low) / information >= 0.9:
+                    want[term] = max(want.get(term, 0), 1 + math.log(low) / information)
+    got = {r.name: r.disclosure for r in privacy.disclosing_terms(frame).collect()}
+    assert got == pytest.approx(want) and {"bobby", "dora"} <= set(got) and "the" not in got
+
+
+def test_extra_columns_with_the_names_used_inside(spark):
+    names = ["_low", "base", "Added", "_own", "_id", "_key", "_gone", "_many", "Score", "lang_pred", "ambiguous", "id", "key"]
+    rows = [(i, f"{words(6, i)} zorblax {words(2, i + 50)} me@site.org {words(30, i + 90)}") for i in range(12)]
+    rows += [(20, rows[3][1]), (21, None), (22, "")] + [(100 + i, words(60, 200 + i)) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit(n).alias(n) for n in names])
+    clean = privacy.sanitise(frame)
+    assert clean.columns == frame.columns and clean.count() == 75
+    assert all("zorblax" not in (r.text or "") and r.base == "base" for r in clean.collect())
+    kept = similar_texts.representatives(frame)
+    assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.where("doc_id < 100").collect()) == [*range(12), 21, 22]
+    learn = spark.createDataFrame([(i, words(40, i), "en" if i % 2 else "de") for i in range(12)], "doc_id long, text string, lang string")
+    labelled = language_id.label(frame, language_id.fit(learn))
+    assert len({c.lower() for c in labelled.columns}) == len(labelled.columns) and labelled.count() == 75
+
+
 def test_main_text(spark):
     page = "<html><head><title>t</title></head><body><nav><li>Menu</ul></nav><div class='cookie-notice'>ok?</div><article><h1>Head &amp; more</h1><p>First <b>bo</b>ld<br>line<p>Second&nbsp;{}</p><div class=comments>me too</div></article><footer>f</footer></body>"
     rows = [(i, f"http://h/{i}", page.format(i)) for i in range(8)] + [(20, None, None), (21, "x", ""), (22, "http://h/9", "<p>open &bogus; <script>var a='<p>no</p>'</script>text")]

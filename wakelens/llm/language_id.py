@@ -211,8 +211,12 @@ def predict(df: DataFrame, model: Coded, id_col: str = "doc_id", text_col: str =
 
 
 def label(df: DataFrame, model: Coded, text_col: str = "text", lead: float = 0.1) -> DataFrame:
-    """``df`` with ``lang_pred``, ``score`` and ``ambiguous`` added to every row."""
+    """``df`` with ``lang_pred``, ``score`` and ``ambiguous`` added to every row.
+
+    Columns of these names, in any case, are replaced.
+    """
     shared = Shared(df.sparkSession, model)
+    df = df.drop("lang_pred", "score", "ambiguous")
     place = df.columns.index(text_col)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

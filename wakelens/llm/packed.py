@@ -62,6 +62,16 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def arrow_map(df: DataFrame, task: Callable, schema: str) -> DataFrame:
     """``task`` maps an iterator of record batches to one, inside Spark's tasks."""
 

@@ -7,13 +7,16 @@ the pointwise mutual information of the two over the information of the entity,
 
     log(p(e|t) / p(e)) / -log(p(e)) = 1 + log p(e|t) / -log p(e),
 
-which is 1 if the term occurs with that entity only.  Terms at or above
-``GENERALISE`` are replaced by the kind of data they point to, those at or above
-``REMOVE`` are removed, wherever in the corpus they occur.
+which is 1 if the term occurs with that entity only.  For p(e|t) stands the lower
+Wilson bound (``Z`` standard errors), so few observations count for less.  Terms
+at or above ``GENERALISE`` are replaced by the kind of data they point to, those at
+or above ``REMOVE`` are removed, wherever in the corpus they occur; a term that
+more likely than not stands elsewhere (bound below ``LIKELY``) is left alone.  The
+domain of an e-mail address is an entity too and pools what its addresses show.
 
 Everything is counted in distinct surroundings (the three words on both sides),
-so copies of a text are no evidence; a pair needs ``SUPPORT`` of them.  Counts
-cover all documents: tasks look up their words in a Bloom filter of fixed size
+so copies of a text are no evidence; one surrounding alone (``SUPPORT``) shows no
+co-occurrence.  Counts cover all documents: tasks look up their words in a Bloom filter of fixed size
 of the terms in question, and what passes is joined exactly.
 
 Defined cases: a null or empty text has no spans; spans of one kind never
@@ -34,14 +37,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .packed import Shared, arrow_map, bloom, hash_words, maybe_in, mix, text_buffers, text_groups, word_bounds
+from .packed import Shared, arrow_map, bloom, free, hash_words, maybe_in, mix, text_buffers, text_groups, word_bounds
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 KINDS = ("email", "ip", "card", "phone")
 NEAR = 8
 SIDE = 3
-SUPPORT = 4
+SUPPORT = 2
+Z = 1.0
+LIKELY = 0.5
 GENERALISE = 0.9
 REMOVE = 0.97
 BLOOM_BITS = 1 << 23
@@ -140,13 +145,17 @@ def entity_terms(df: DataFrame, text_col: str = "text") -> DataFrame:
         every = np.arange(len(words))
         places = _places(words, every, np.zeros_like(every), np.full_like(every, len(words))).view(np.int64)
         for kind, a, b in spans:
-            entity = _text_hash(f"{kind}:{text[a:b]}")
+            entities = [_text_hash(f"{kind}:{text[a:b]}")]
+            if kind == "email":
+                entities.append(_text_hash("domain:" + text[a:b].rpartition("@")[2].lower()))
             lo, hi = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(starts, b))
-            yield entity, kind, 0, None, int(places[lo])
+            for entity in entities:
+                yield entity, kind, 0, None, int(places[lo])
             for k in (*range(max(0, lo - NEAR), lo), *range(hi, min(len(found), hi + NEAR))):
                 name = bytes(raw[a0[k] : b0[k]]).decode()
                 if not taken[k] and len(name) > 1 and any(c.isalpha() for c in name):
-                    yield entity, kind, int(terms[k]), name, int(places[k])
+                    for entity in entities:
+                        yield entity, kind, int(terms[k]), name, int(places[k])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
@@ -215,6 +224,13 @@ def occurrences(df: DataFrame, held: Shared, enough: int, text_col: str = "text"
     return arrow_map(_both(df, text_col), task, "term long, place long")
 
 
+def lower_bound(hits: Column, tries: Column, z: float = Z) -> Column:
+    """Lower Wilson bound of a share."""
+    share, square = hits / tries, z * z
+    centre = share + square / (2 * tries)
+    return (centre - z * F.sqrt(share * (1 - share) / tries + square / (4 * tries * tries))) / (1 + square / tries)
+
+
 def disclosing_terms(df: DataFrame, text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(term, name, kind, disclosure, action): terms that reveal an entity beyond the thresholds."""
     near = cut(entity_terms(df, text_col).distinct())
@@ -224,12 +240,13 @@ def disclosing_terms(df: DataFrame, text_col: str = "text", support: int = SUPPO
     total = float(max(2, df.count()))
     information = -F.log(F.least(F.lit(0.5), F.col("n_entity") / F.lit(total)))
     pairs = cut(counted.where(F.col("n_both") >= support).join(entities, "entity").withColumn("information", information))
-    most = F.ceil(F.max(F.col("n_both") * F.exp((1 - generalise) * F.col("information"))))
-    enough = pairs.agg(most.alias("n")).first()["n"] or 0
+    # Beyond this the bound of every pair is below LIKELY.
+    enough = pairs.agg(F.ceil(F.max(F.col("n_both") / LIKELY)).alias("n")).first()["n"] or 0
     held = Shared(df.sparkSession, bloom(pairs, "term", BLOOM_BITS))
     seen = occurrences(df, held, int(enough), text_col).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    given = F.col("n_both") / F.greatest("n_term", "n_both")
-    scored = pairs.join(seen, "term").withColumn("disclosure", 1 + F.log(given) / F.col("information"))
+    given = lower_bound(F.col("n_both"), F.greatest("n_term", "n_both"))
+    likely = pairs.join(seen, "term").withColumn("given", given).where(F.col("given") >= LIKELY)
+    scored = likely.withColumn("disclosure", 1 + F.log("given") / F.col("information"))
     best = scored.groupBy("term").agg(F.max_by(F.struct("name", "kind", "disclosure"), F.struct("disclosure", "kind")).alias("top"))
     action = F.when(F.col("top.disclosure") >= remove, "remove").otherwise("generalise")
     return best.where(F.col("top.disclosure") >= generalise).select("term", "top.*", action.alias("action"))
@@ -307,7 +324,7 @@ def _rewritten(df: DataFrame, text_col: str, held: Shared | None, hit: bool = Fa
             yield batch
 
     text = F.col(text_col).cast("string")
-    source = df.withColumn(text_col, text).withColumn("_low", F.lower(text))
+    source = df.withColumn(text_col, text).withColumn(free(df, "_low")[0], F.lower(text))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     return arrow_map(source, task, schema)
 
@@ -326,14 +343,15 @@ def _without(text: str | None) -> str | None:
 
 
 def _joined_spans(df: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    spans = found.select(F.col("id").alias("_id"), F.col("key").alias("_key"), "base", "added").dropDuplicates(["_id", "_key"])
     columns = df.columns
-    key = F.xxhash64(F.col(text_col).cast("string"))
-    joined = df.withColumn("_own", key).join(spans, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")), "left")
-    base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("<"), s["kind"], F.lit(">")).alias("put")))
-    added = F.transform("added", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["action"] == "remove", "").otherwise(F.concat(F.lit("<related to "), s["kind"], F.lit(">"))).alias("put")))
-    spans_of = F.array_sort(F.concat(base, added))
-    return joined.withColumn(text_col, F.when(F.col("base").isNull(), F.col(text_col)).otherwise(replaced(F.col(text_col), spans_of))).select(*columns)
+    own, row, key, base, added = free(df, "_own", "_id", "_key", "base", "added")
+    spans = found.select(F.col("id").alias(row), F.col("key").alias(key), F.col("base").alias(base), F.col("added").alias(added)).dropDuplicates([row, key])
+    hashed = df.withColumn(own, F.xxhash64(F.col(text_col).cast("string")))
+    joined = hashed.join(spans, F.col(id_col).eqNullSafe(F.col(row)) & (F.col(own) == F.col(key)), "left")
+    put = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("<"), s["kind"], F.lit(">")).alias("put")))
+    more = F.transform(added, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["action"] == "remove", "").otherwise(F.concat(F.lit("<related to "), s["kind"], F.lit(">"))).alias("put")))
+    spans_of = F.array_sort(F.concat(put, more))
+    return joined.withColumn(text_col, F.when(F.col(base).isNull(), F.col(text_col)).otherwise(replaced(F.col(text_col), spans_of))).select(*columns)
 
 
 def replaced(text: Column, spans: Column) -> Column:

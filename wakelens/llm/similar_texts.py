@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .components import components, stars
-from .packed import Shared, arrow_map, bloom, group_words, low_bits, maybe_in, mix, rows_batch, slices, slot, text_groups, window_hashes, within_texts
+from .packed import Shared, arrow_map, bloom, free, group_words, low_bits, maybe_in, mix, rows_batch, slices, slot, text_groups, window_hashes, within_texts
 from .repeated_passages import bucket_bits, keyed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -429,8 +429,9 @@ def representatives(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     """
     found = cut(similar(df, width, percent, id_col, text_col))
     own = F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    gone = found.where(F.col("id").isNotNull() & (F.col("id") != F.col("component_id"))).select(F.col("key").alias("_gone")).distinct()
-    repeated = found.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("key").alias("_many"))
-    kept = df.withColumn("_key", own).join(gone, F.col("_key") == F.col("_gone"), "left_anti").join(repeated, F.col("_key") == F.col("_many"), "left")
-    single = kept.where(F.col("_many").isNull()).select(*df.columns)
-    return single.unionByName(kept.where(F.col("_many").isNotNull()).dropDuplicates(["_key"]).select(*df.columns))
+    key, left, many = free(df, "_key", "_gone", "_many")
+    gone = found.where(F.col("id").isNotNull() & (F.col("id") != F.col("component_id"))).select(F.col("key").alias(left)).distinct()
+    repeated = found.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("key").alias(many))
+    kept = df.withColumn(key, own).join(gone, F.col(key) == F.col(left), "left_anti").join(repeated, F.col(key) == F.col(many), "left")
+    single = kept.where(F.col(many).isNull()).select(*df.columns)
+    return single.unionByName(kept.where(F.col(many).isNotNull()).dropDuplicates([key]).select(*df.columns))
