@@ -239,7 +239,10 @@ def disclosing_terms(df: DataFrame, text_col: str = "text", support: int = SUPPO
     # The number of surroundings is that of the documents at least.
     total = float(max(2, df.count()))
     information = -F.log(F.least(F.lit(0.5), F.col("n_entity") / F.lit(total)))
-    pairs = cut(counted.where(F.col("n_both") >= support).join(entities, "entity").withColumn("information", information))
+    # A term is met at least as often as near any entity, which rules out common words before the corpus is searched.
+    met = near.where(F.col("term") != 0).select("term", "place").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    often = counted.where(F.col("n_both") >= support).join(met, "term").where(lower_bound(F.col("n_both"), F.greatest("n_near", "n_both")) >= LIKELY)
+    pairs = cut(often.join(entities, "entity").withColumn("information", information))
     # Beyond this the bound of every pair is below LIKELY.
     enough = pairs.agg(F.ceil(F.max(F.col("n_both") / LIKELY)).alias("n")).first()["n"] or 0
     held = Shared(df.sparkSession, bloom(pairs, "term", BLOOM_BITS))
