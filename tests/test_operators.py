@@ -363,6 +363,31 @@ def test_replay_against_brute_force(spark):
             picked = [r for _, r in others if r[2] == 1][:6] + negatives[:9]
             want |= {(target, seed, r[0]) for r in picked}
     assert got == want
+    plan = fewshot.source_replay(df, seeds=(7, 8))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_combined_stages_take_the_chosen_recipes(spark):
+    rows = [
+        ("t", 3, 1, 1, 1, True, -1.0, 0.0, False, 0, "zero_shot", "zero_shot", False),
+        ("t", 3, 1, 1, 1, True, -1.0, 0.0, False, 9, "one", fewshot.STAGE1_METHOD, True),
+        ("t", 3, 1, 1, 1, True, -1.0, 0.0, False, 5, "two", fewshot.STAGE2_METHOD, True),
+        ("t", 3, 1, 1, 1, True, -1.0, 0.0, False, 6, "other", fewshot.STAGE2_METHOD, False),
+        ("t", 3, 1, 2, 0, True, 1.0, 0.0, True, 0, "zero_shot", "zero_shot", True),
+        ("t", 3, 1, 2, 0, True, 1.0, 0.0, True, 9, "one", fewshot.STAGE1_METHOD, False),
+        ("t", 3, 1, 2, 0, True, 1.0, 0.0, True, 5, "two", fewshot.STAGE2_METHOD, True),
+        ("t", 3, 1, 2, 0, True, 1.0, 0.0, True, 6, "other", fewshot.STAGE2_METHOD, True),
+    ]
+    kinds = "target string, shot int, seed int, clip_id int, label int, stage1_candidate boolean, base_logit double, theta2_logit double, base_decision boolean, recipe_index int, recipe string, method string, adapted_decision boolean"
+    decisions = spark.createDataFrame(rows, kinds)
+
+    def combined(one, two):
+        chosen = spark.createDataFrame([("t", 3, fewshot.STAGE1_METHOD, one), ("t", 3, fewshot.STAGE2_METHOD, two)], "target string, shot int, method string, recipe string")
+        return {r.clip_id: r.adapted_decision for r in fewshot.combined_decisions(decisions, chosen).collect()}
+
+    assert combined("one", "two") == {1: True, 2: False}
+    assert combined("one", "other") == {1: False, 2: False}
+    assert combined("zero_shot", "two") == {1: False, 2: True}
 
 
 def test_transcript_lines(spark):

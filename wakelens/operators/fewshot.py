@@ -98,42 +98,54 @@ def support_checks(support: DataFrame, query: DataFrame, content: str) -> DataFr
     return base.join(overlap, "shot", "left").join(shared, "shot", "left").na.fill(0)
 
 
-def replay_pool(clips: DataFrame, seeds: Sequence[int], kind: Column, cap: int) -> DataFrame:
-    """The rows any target can draw replay from, at most ``2 * cap`` per seed.
+def replay_lists(clips: DataFrame, seeds: Sequence[int], positives: int, negatives: int) -> DataFrame:
+    """One row per seed: the ids any target can draw replay from, in hash order.
 
-    Each owner is cut to its ``cap`` best hash keys and the result to the best
-    ``2 * cap``: of those at most ``cap`` belong to one target, so every target
-    still finds its first ``cap`` foreign rows.
+    Each owner is cut to as many of its best keys as a target may draw and the
+    result to twice that: of those at most half belong to one target, so every
+    target still finds its first foreign rows.  Ids only; no vectors.
     """
-    seeded = clips.where(kind).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    keyed = seeded.withColumn("_key", order_key(F.col("seed"), F.col("clip_id")))
+    negative = F.col("label") == 0
+    hard = negative & F.col("prompt_group").startswith("P4")
+    pools = {"positive": (F.col("label") == 1, positives), "hard": (hard, negatives), "any": (negative, negatives)}
+    named = F.array(*[F.when(member, F.lit(name)) for name, (member, _) in pools.items()])
+    cap = F.when(F.col("pool") == "positive", positives).otherwise(negatives)
+    most = max(positives, negatives)
+    ids = clips.select(F.col("target").alias("owner"), "clip_id", F.explode(F.array_compact(named)).alias("pool"))
+    keyed = ids.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    keyed = keyed.withColumn("_key", order_key(F.col("seed"), F.col("clip_id")))
     order = [F.col("_key"), F.col("clip_id")]
-    own = first_rows(keyed, ["seed", "target"], order, cap, "_own")
-    return first_rows(own, ["seed"], order, 2 * cap, "_all").drop("_own", "_all")
+    own = first_rows(keyed, ["seed", "pool", "owner"], order, most, "_own").where(F.col("_own") <= cap)
+    best = first_rows(own, ["seed", "pool"], order, 2 * most, "_all").where(F.col("_all") <= 2 * cap)
+    member = F.struct("_all", "owner", "clip_id")
+    return best.groupBy("seed").agg(
+        *[F.sort_array(F.collect_list(F.when(F.col("pool") == name, member))).alias(name) for name in pools]
+    )
 
 
 def source_replay(clips: DataFrame, seeds: Sequence[int] = SEEDS, *, positives: int = 24, negatives: int = 48) -> DataFrame:
     """Per (target, seed) rows of other participants: positives and negatives.
 
-    Hard negatives are used alone when the others have any.
+    Hard negatives are used alone when the others have any.  A target's rows
+    are the first of its seed's list that are not its own, read off inside one
+    row; the clips' columns are joined last.  ``clip_id`` is unique.
     """
-    hard = (F.col("label") == 0) & F.col("prompt_group").startswith("P4")
-    pools = (
-        replay_pool(clips, seeds, F.col("label") == 1, positives).withColumn("pool", F.lit("positive")),
-        replay_pool(clips, seeds, hard, negatives).withColumn("pool", F.lit("hard")),
-        replay_pool(clips, seeds, F.col("label") == 0, negatives).withColumn("pool", F.lit("any")),
+    targets = clips.select("target").distinct().withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    # Bounded by construction: a row per seed with 2 * (positives + 2 * negatives) ids.
+    lists = targets.join(F.broadcast(replay_lists(clips, seeds, positives, negatives)), "seed")
+
+    def foreign(name, cap):
+        return F.slice(F.filter(name, lambda m: m["owner"] != F.col("target")), 1, cap)
+
+    def tagged(rows, pool):
+        return F.transform(rows, lambda m: F.struct(F.lit(pool).alias("pool"), m["clip_id"].alias("clip_id")))
+
+    cut_lists = lists.select(
+        "target", "seed", foreign("positive", positives).alias("positive"), foreign("hard", negatives).alias("hard"), foreign("any", negatives).alias("any")
     )
-    rows = pools[0].unionByName(pools[1]).unionByName(pools[2]).withColumnRenamed("target", "owner")
-    targets = clips.select("target").distinct()
-    # Bounded by construction: seeds * 2 * (positives + 2 * negatives) rows.
-    drawn = targets.join(F.broadcast(rows), F.col("target") != F.col("owner"))
-    limit = F.when(F.col("pool") == "positive", positives).otherwise(negatives)
-    ranked = first_rows(drawn, ["target", "seed", "pool"], [F.col("_key"), F.col("clip_id")], max(positives, negatives), "_r")
-    capped = ranked.where(F.col("_r") <= limit)
-    has_hard = capped.groupBy("target", "seed").agg(F.max(F.col("pool") == "hard").alias("_hard"))
-    joined = capped.join(has_hard, ["target", "seed"])
-    wanted = (F.col("pool") == "positive") | ((F.col("pool") == "hard") == F.col("_hard"))
-    return joined.where(wanted).drop("_r", "_hard", "_key")
+    negative = F.when(F.size("hard") > 0, tagged(F.col("hard"), "hard")).otherwise(tagged(F.col("any"), "any"))
+    drawn = cut_lists.select("target", "seed", F.inline(F.concat(tagged(F.col("positive"), "positive"), negative)))
+    return drawn.join(clips.withColumnRenamed("target", "owner"), "clip_id")
 
 
 def replay_classes(rows: DataFrame, development: DataFrame, unit: str, phrases: Sequence[str], phrase: Column) -> DataFrame:
@@ -249,12 +261,15 @@ def recipe_grid() -> list[tuple]:
     return [(i, *r) for i, r in enumerate(rows)]
 
 
+# Learning rates, step counts and ridge weights of the fitted methods.
 FINETUNE_RATES = (1e-4, 3e-4, 1e-3)
+BIAS_STEPS, HEAD_STEPS = (5, 10, 25, 50), (5, 10, 25)
+BIAS_RIDGE, HEAD_RIDGE = 1.0, 10.0
 
 
 def finetune_grid() -> list[tuple]:
     """(recipe, method, steps, rate) of the fitted methods."""
-    bias, head = (5, 10, 25, 50), (5, 10, 25)
+    bias, head = BIAS_STEPS, HEAD_STEPS
     plan = {
         "stage2_finetune_bias_only": bias,
         "stage2_finetune_head": head,
@@ -439,51 +454,55 @@ def combine_stages(one: DataFrame, two: DataFrame, keys: Sequence[str]) -> DataF
 # --- fitted recipes ----------------------------------------------------------------
 
 
-def _fit(grid: list[tuple]):
-    """Task function: gradient fits on one record's few dozen rows."""
+def _descend(design: np.ndarray, base: np.ndarray, y: np.ndarray, rates: np.ndarray, stops: set[int], ridge: float) -> dict[int, np.ndarray]:
+    """Ridge-damped logistic steps for all rates at once, kept at ``stops``.
 
-    def squash(x):
-        return 1.0 / (1.0 + np.exp(-x))
+    ``design`` has a row per clip and a last column of ones; a state has a row
+    per coefficient, the intercept last, and a column per rate.
+    """
+    state, kept = np.zeros((design.shape[1], len(rates))), {}
+    for step in range(1, max(stops) + 1):
+        residual = 1.0 / (1.0 + np.exp(-(base[:, None] + design @ state))) - y[:, None]
+        state = state - rates * (design.T @ residual / len(y) + ridge * state)
+        if step in stops:
+            kept[step] = state
+    return kept
 
-    def fit_bias(x, y, rate, steps, ridge=1.0):
-        b = 0.0
-        for _ in range(steps):
-            b -= rate * (float(np.mean(squash(x + b) - y)) + ridge * b)
-        return b
 
-    def fit_linear(x, base, y, rate, steps, ridge=10.0):
-        w, b = np.zeros(x.shape[1]), 0.0
-        for _ in range(steps):
-            err = squash(base + x @ w + b) - y
-            w, b = w - rate * (x.T @ err / len(y) + ridge * w), b - rate * (float(np.mean(err)) + ridge * b)
-        return w, b
+def _fit(grid: list[tuple]):
+    """Task function: every fitted recipe of one record's few dozen rows."""
+    first = len(recipe_grid())
+    wanted: dict[str, list[tuple]] = {}
+    for i, (recipe, method, steps, rate) in enumerate(grid):
+        wanted.setdefault(method, []).append((first + i, recipe, steps, rate))
 
     def task(rows: pd.DataFrame) -> pd.DataFrame:
         key = rows.iloc[0]
         y = rows["label"].to_numpy(dtype=float)
-        stage1 = rows["part"].isin(["support", "negative"]).to_numpy()
-        base, one = rows["base_logit"].to_numpy(dtype=float), rows["stage1_logit"].to_numpy(dtype=float)
-        margin = (rows["stage1_clip_score"] - rows["theta1"]).to_numpy(dtype=float).reshape(-1, 1)
-        vectors = np.stack(rows["embedding"].to_numpy()).astype(float)
-        out = []
-        for recipe, method, steps, rate in grid:
-            weights = np.zeros(0)
-            if method == "stage2_finetune_bias_only":
-                bias = fit_bias(base, y, rate, steps)
-            elif method == "stage2_finetune_head":
-                weights, bias = fit_linear(vectors, base, y, rate, steps)
-            elif method == "stage1_finetune_bias_only":
-                bias = fit_bias(one[stage1], y[stage1], rate, steps)
-            else:
-                weights, bias = fit_linear(margin[stage1], one[stage1], y[stage1], rate, steps)
-            out.append((key["target"], key["shot"], key["seed"], recipe, method, float(bias), weights.tolist()))
-        return pd.DataFrame(out, columns=[*RECORD, "recipe", "method", "bias", "weights"])
+        near = rows["part"].isin(["support", "negative"]).to_numpy()
+        ones = np.ones((len(rows), 1))
+        margin = (rows["stage1_clip_score"] - rows["theta1"]).to_numpy(dtype=float)[:, None]
+        base = {2: rows["base_logit"].to_numpy(dtype=float), 1: rows["stage1_logit"].to_numpy(dtype=float)}
+        fits = []
+        for method, recipes in wanted.items():
+            stage = 2 if method.startswith("stage2") else 1
+            used = near if stage == 1 else np.ones(len(rows), dtype=bool)
+            head = method.endswith("head")
+            slopes = (np.stack(rows["embedding"].to_numpy()).astype(float) if stage == 2 else margin) if head else ones[:, :0]
+            rates = sorted({r for *_, r in recipes})
+            states = _descend(
+                np.hstack([slopes, ones])[used], base[stage][used], y[used], np.array(rates), {n for _, _, n, _ in recipes}, HEAD_RIDGE if head else BIAS_RIDGE
+            )
+            for index, recipe, steps, rate in recipes:
+                found = states[steps][:, rates.index(rate)]
+                fits.append({"recipe_index": index, "recipe": recipe, "method": method, "bias": float(found[-1]), "weights": found[:-1].tolist()})
+        return pd.DataFrame([(key["target"], key["shot"], key["seed"], fits)], columns=[*RECORD, "fits"])
 
     return task
 
 
-def fit_recipes(support: DataFrame, replay: DataFrame, grid: list[tuple] | None = None) -> DataFrame:
-    """Biases and linear adapters per record.
+def record_fits(support: DataFrame, replay: DataFrame, grid: list[tuple] | None = None) -> DataFrame:
+    """One row per record with all its fitted recipes in an array.
 
     A group holds one support set and its capped replay: at most 77 rows.
     """
@@ -494,25 +513,61 @@ def fit_recipes(support: DataFrame, replay: DataFrame, grid: list[tuple] | None
     drawn = replay.select(*cols, part.alias("part")).join(shots, ["target", "seed"])
     rows = own.unionByName(drawn).withColumn("stage1_logit", logit(F.col("stage1_clip_score")))
     kinds = dict(support.dtypes)
-    schema = f"target {kinds['target']}, shot int, seed int, recipe string, method string, bias double, weights array<double>"
+    fit = "struct<recipe_index: int, recipe: string, method: string, bias: double, weights: array<double>>"
+    schema = f"target {kinds['target']}, shot int, seed int, fits array<{fit}>"
     return rows.groupBy(*RECORD).applyInPandas(_fit(grid or finetune_grid()), schema=schema)
 
 
+def fit_recipes(support: DataFrame, replay: DataFrame, grid: list[tuple] | None = None) -> DataFrame:
+    """Biases and linear adapters per record and recipe, in long form."""
+    return record_fits(support, replay, grid).select(*RECORD, F.inline("fits"))
+
+
 def apply_fits(query: DataFrame, fits: DataFrame) -> DataFrame:
-    """Decisions of the fitted recipes on the query rows of their record."""
-    rows = query.join(fits, RECORD)
+    """Decisions of the fitted recipes on the query rows of their record.
+
+    A query row meets its record's array once; vectors and weights are gone
+    before the row is unfolded by recipe.  Levels are compared at nine digits.
+    """
+    candidate, passed = F.col("stage1_candidate"), F.col("base_logit") >= F.col("theta2_logit")
     margin = F.col("stage1_clip_score") - F.col("theta1")
-    passed = F.col("base_logit") >= F.col("theta2_logit")
-    two = F.col("base_logit") + F.col("bias")
-    one = logit(F.col("stage1_clip_score")) + F.col("bias")
-    theta1 = logit(F.col("theta1"))
-    decision = (
-        F.when(F.col("method") == "stage2_finetune_bias_only", F.col("stage1_candidate") & (two >= F.col("theta2_logit")))
-        .when(
-            F.col("method") == "stage2_finetune_head",
-            F.col("stage1_candidate") & (two + dot(F.col("embedding"), F.col("weights")) >= F.col("theta2_logit")),
+    one, theta1 = logit(F.col("stage1_clip_score")), F.round(logit(F.col("theta1")), 9)
+
+    def decided(fit):
+        slope = F.when(fit["method"] == "stage2_finetune_head", dot(F.col("embedding"), fit["weights"])).when(
+            fit["method"] == "stage1_finetune_head", F.get(fit["weights"], F.lit(0)) * margin
         )
-        .when(F.col("method") == "stage1_finetune_bias_only", (one >= theta1) & passed)
-        .otherwise((one + F.get("weights", F.lit(0)) * margin >= theta1) & passed)
-    )
-    return rows.withColumn("adapted_decision", decision).drop("weights", "bias", "embedding")
+        shift = fit["bias"] + F.coalesce(slope, F.lit(0.0))
+        two = candidate & (F.round(F.col("base_logit") + shift, 9) >= F.col("theta2_logit"))
+        return F.when(fit["method"].startswith("stage2"), two).otherwise((F.round(one + shift, 9) >= theta1) & passed)
+
+    def named(fit):
+        return F.struct(*[fit[c].alias(c) for c in ("recipe_index", "recipe", "method")], decided(fit).alias("adapted_decision"))
+
+    each = query.join(fits, RECORD).withColumn("_d", F.transform("fits", named)).drop("fits", "embedding")
+    return each.select("*", F.inline("_d")).drop("_d")
+
+
+# What every method's decisions have in common.
+DECISION = [*RECORD, "clip_id", "label", "stage1_candidate", "base_logit", "theta2_logit", "base_decision"]
+RECIPE = ["recipe_index", "recipe", "method", "adapted_decision"]
+
+
+def all_decisions(query: DataFrame, support: DataFrame, fits: DataFrame) -> DataFrame:
+    """Every query row under every recipe, closed-form and fitted: one long table."""
+    closed = adapted(with_support_facts(query, support))
+    return closed.select(*DECISION, *RECIPE).unionByName(apply_fits(query, fits).select(*DECISION, *RECIPE))
+
+
+# The two methods that the combined one is made of.
+STAGE1_METHOD, STAGE2_METHOD, COMBINED = "stage1_finetune_bias_only", "stage2_positive_bias", "stage1_stage2_combined"
+
+
+def combined_decisions(decisions: DataFrame, chosen: DataFrame, one: str = STAGE1_METHOD, two: str = STAGE2_METHOD) -> DataFrame:
+    """Each target's chosen recipes of both stages, combined per query row."""
+    wanted = chosen.where(F.col("method").isin(one, two)).select("target", "shot", "recipe", "method")
+    rows = decisions.drop("method").join(wanted, ["target", "shot", "recipe"])
+    rejected = (F.col("label") == 1) & F.col("stage1_candidate") & (F.col("base_logit") < F.col("theta2_logit"))
+    first = rows.where(F.col("method") == one).withColumn("stage2_reject", rejected)
+    out = combine_stages(first, rows.where(F.col("method") == two), [*RECORD, "clip_id"])
+    return out.withColumn("method", F.lit(COMBINED))

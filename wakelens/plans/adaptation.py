@@ -263,22 +263,52 @@ def _fs7(spark, sf_dir):
     return fewshot_clips(spark, sf_dir).groupBy("target").agg(*count_aggs(F.col("label"), either))
 
 
-def fitted(spark, sf_dir):
-    clips, support, query = sets(spark, sf_dir)
-    return query, fs.fit_recipes(support, fs.source_replay(clips))
+CELLS_SQL = f"""{counts_sql('lab', 'base_decision', 'zero_')}, {counts_sql('lab', 'adapted_decision', 'new_')}, count(*) FILTER (WHERE base_decision <> adapted_decision) AS changed,
+  count(*) FILTER (WHERE lab = 1 AND NOT stage1_candidate) AS stage1_misses, count(*) FILTER (WHERE lab = 1 AND stage1_candidate AND base_logit < 0) AS stage2_rejects,
+  count(*) FILTER (WHERE lab = 0 AND adapted_decision) AS final_false_accepts"""
 
 
-@plan("fs8_fitted_recipes")
+def fitted(spark, sf_dir):
+    clips, support, query = sets(spark, sf_dir)
+    return query, support, cut(fs.record_fits(support, fs.source_replay(clips)))
+
+
+FIT_ROWS = ", ".join(f"({len(fs.recipe_grid()) + i}, '{r}', '{m}', {n}, {rate}::DOUBLE)" for i, (r, m, n, rate) in enumerate(fs.finetune_grid()))
+RATE_ROWS = ", ".join(f"({r}::DOUBLE)" for r in fs.FINETUNE_RATES)
+FIT_SQL = f"""{REPLAY_SQL}, lf AS (SELECT clip_id, base_logit AS b2, greatest(least(stage1_clip_score, 1 - 1e-6), 1e-6) AS c1, stage1_clip_score - 0.2 AS m, CAST(embedding AS DOUBLE[]) AS v FROM fcd),
+tr AS (SELECT target, shot, seed, clip_id, lab, 'support' AS part FROM sup UNION ALL
+  SELECT r.target, fit.shot, r.seed, r.clip_id, r.lab, CASE WHEN r.lab = 1 THEN 'positive' ELSE 'negative' END FROM replay r JOIN fit ON fit.target = r.target),
+tx AS (SELECT target, shot, seed, clip_id, lab::DOUBLE AS y, part, b2, ln(c1 / (1 - c1)) AS b1, m, v FROM tr JOIN lf USING (clip_id)),
+dx AS (SELECT target, shot, seed, clip_id, y, 'stage2_finetune_bias_only' AS method, {fs.BIAS_RIDGE}::DOUBLE AS ridge, {max(fs.BIAS_STEPS)} AS stop, b2 AS base, [1.0::DOUBLE] AS x FROM tx UNION ALL
+  SELECT target, shot, seed, clip_id, y, 'stage2_finetune_head', {fs.HEAD_RIDGE}::DOUBLE, {max(fs.HEAD_STEPS)}, b2, list_append(v, 1.0::DOUBLE) FROM tx UNION ALL
+  SELECT target, shot, seed, clip_id, y, 'stage1_finetune_bias_only', {fs.BIAS_RIDGE}::DOUBLE, {max(fs.BIAS_STEPS)}, b1, [1.0::DOUBLE] FROM tx WHERE part <> 'positive' UNION ALL
+  SELECT target, shot, seed, clip_id, y, 'stage1_finetune_head', {fs.HEAD_RIDGE}::DOUBLE, {max(fs.HEAD_STEPS)}, b1, [m, 1.0::DOUBLE] FROM tx WHERE part <> 'positive'),
+dl AS (SELECT target, shot, seed, method, any_value(ridge) AS ridge, any_value(stop) AS stop, list(struct_pack(base := base, y := y, x := x) ORDER BY clip_id) AS rs FROM dx GROUP BY ALL),
+dz AS MATERIALIZED (SELECT *, list_transform(range(1, len(rs[1].x) + 1), lambda i: list_transform(rs, lambda r: r.x[i])) AS cs FROM dl),
+gd AS (SELECT target, shot, seed, method, rate, 0 AS step, list_transform(cs, lambda c: 0.0::DOUBLE) AS th FROM dz, (VALUES {RATE_ROWS}) q(rate) UNION ALL
+  SELECT target, shot, seed, method, rate, step + 1, list_transform(range(1, len(th) + 1), lambda i: th[i] - rate * (list_dot_product(cs[i], e) / len(e) + ridge * th[i])) FROM (
+    SELECT gd.*, dz.cs, dz.ridge, list_transform(dz.rs, lambda r: 1 / (1 + exp(-(r.base + list_dot_product(r.x, gd.th)))) - r.y) AS e
+    FROM gd JOIN dz ON dz.target = gd.target AND dz.shot = gd.shot AND dz.seed = gd.seed AND dz.method = gd.method WHERE gd.step < dz.stop) z),
+fr(recipe_index, recipe, method, step, rate) AS (VALUES {FIT_ROWS}),
+ft AS MATERIALIZED (SELECT target, shot, seed, recipe_index, recipe, method, th[1:len(th) - 1] AS weights, th[len(th)] AS bias FROM gd JOIN fr USING (method, step, rate)),
+fl AS (SELECT q.target, q.shot, q.seed, clip_id, lab, stage1_candidate, base_logit, base_decision, recipe_index, recipe, method, bias + CASE method WHEN 'stage2_finetune_head' THEN list_dot_product(CAST(embedding AS DOUBLE[]), weights)
+  WHEN 'stage1_finetune_head' THEN weights[1] * (stage1_clip_score - 0.2) ELSE 0 END AS shift, greatest(least(stage1_clip_score, 1 - 1e-6), 1e-6) AS c1 FROM qry q JOIN ft ON ft.target = q.target AND ft.shot = q.shot AND ft.seed = q.seed),
+fd AS (SELECT * EXCLUDE (shift, c1), CASE WHEN method LIKE 'stage2%' THEN stage1_candidate AND round(base_logit + shift, 9) >= 0
+  ELSE round(ln(c1 / (1 - c1)) + shift, 9) >= round(ln(0.2::DOUBLE / (1 - 0.2::DOUBLE)), 9) AND base_logit >= 0 END AS adapted_decision FROM fl)"""
+
+
+@plan("fs8_fitted_recipes", FS.rstrip() + f", {FIT_SQL} SELECT target, shot, seed, recipe, method, round(bias, 6) AS bias, CAST(len(weights) AS INT) AS dimension, round(coalesce(list_sum(list_transform(weights, lambda w: abs(w))), 0), 6)::DOUBLE AS weight_mass FROM ft")
 def _fs8(spark, sf_dir):
     """FS8 and UDF3: bias and linear fits per record."""
-    _, fits = fitted(spark, sf_dir)
-    return fits.select(*fs.RECORD, "recipe", "method", "bias", F.size("weights").alias("dimension"))
+    _, _, fits = fitted(spark, sf_dir)
+    mass = F.aggregate("weights", F.lit(0.0), lambda total, w: total + F.abs(w))
+    return fits.select(*fs.RECORD, F.inline("fits")).select(*fs.RECORD, "recipe", "method", "bias", F.size("weights").alias("dimension"), mass.alias("weight_mass"))
 
 
-@plan("fs8_fitted_decisions")
+@plan("fs8_fitted_decisions", FS.rstrip() + f", {FIT_SQL} SELECT shot, method, recipe, {CELLS_SQL} FROM fd GROUP BY ALL")
 def _fs8_applied(spark, sf_dir):
     """FS8: confusion cells of the fitted recipes on their query rows."""
-    query, fits = fitted(spark, sf_dir)
+    query, _, fits = fitted(spark, sf_dir)
     return fs.recipe_counts(fs.apply_fits(query, fits), ["shot", "method", "recipe"])
 
 
@@ -302,20 +332,18 @@ def _fs9(spark, sf_dir):
     return out
 
 
+DECISION_SQL = "target, shot, seed, clip_id, lab, stage1_candidate, base_logit, base_decision, recipe_index, recipe, method, adapted_decision"
 GRID_ROWS = ", ".join(
     f"({i}, '{r}', '{m}', {a}::DOUBLE, {b}::DOUBLE, {w}::DOUBLE, {g}::DOUBLE, '{q}')" for i, r, m, a, b, w, g, q in fs.recipe_grid()
 )
-ADAPTED_SQL = f"""{SIM_SQL}, rc(recipe_index, recipe, method, alpha, beta, max_bias, margin, quantile) AS (VALUES {GRID_ROWS}),
-ad AS (SELECT fx.*, rc.*, CASE WHEN method = 'zero_shot' THEN base_decision ELSE stage1_candidate AND round(CASE WHEN method = 'stage2_cosine_prototype'
-  THEN base_logit + alpha * (similarity - beta) ELSE base_logit + least(max_bias, greatest(0.0, 0.0 - CASE quantile WHEN 'min' THEN q_min WHEN 'q20' THEN q_q20 ELSE q_median END + margin)) END, 9) >= 0 END AS adapted_decision FROM fx, rc)"""
-CELLS_SQL = f"""{counts_sql('lab', 'base_decision', 'zero_')}, {counts_sql('lab', 'adapted_decision', 'new_')}, count(*) FILTER (WHERE base_decision <> adapted_decision) AS changed,
-  count(*) FILTER (WHERE lab = 1 AND NOT stage1_candidate) AS stage1_misses, count(*) FILTER (WHERE lab = 1 AND stage1_candidate AND base_logit < 0) AS stage2_rejects,
-  count(*) FILTER (WHERE lab = 0 AND adapted_decision) AS final_false_accepts"""
-
-
+ADAPTED_SQL = f"""{SIM_SQL}, {FIT_SQL}, rc(recipe_index, recipe, method, alpha, beta, max_bias, margin, quantile) AS (VALUES {GRID_ROWS}),
+ac AS (SELECT fx.*, rc.*, CASE WHEN method = 'zero_shot' THEN base_decision ELSE stage1_candidate AND round(CASE WHEN method = 'stage2_cosine_prototype'
+  THEN base_logit + alpha * (similarity - beta) ELSE base_logit + least(max_bias, greatest(0.0, 0.0 - CASE quantile WHEN 'min' THEN q_min WHEN 'q20' THEN q_q20 ELSE q_median END + margin)) END, 9) >= 0 END AS adapted_decision FROM fx, rc),
+ad AS MATERIALIZED (SELECT {DECISION_SQL} FROM ac UNION ALL SELECT {DECISION_SQL} FROM fd)"""
 def evaluated(spark, sf_dir):
-    _, support, query = sets(spark, sf_dir)
-    return fs.adapted(fs.with_support_facts(query, support))
+    """Every query row under all recipes, closed-form and fitted."""
+    query, support, fits = fitted(spark, sf_dir)
+    return fs.all_decisions(query, support, fits)
 
 
 @plan(
@@ -406,19 +434,28 @@ def _fs13(spark, sf_dir):
     return fs.select_recipes(cut(counts))
 
 
-PICKED_SQL = f"""{CHOSEN_SQL}, pk AS (SELECT ad.* EXCLUDE (method), c.method FROM ad JOIN chosen c ON c.target = ad.target AND c.shot = ad.shot AND c.recipe = ad.recipe)"""
+PICKED_SQL = f"""{CHOSEN_SQL}, ps0 AS MATERIALIZED (SELECT ad.* EXCLUDE (method), c.method FROM ad JOIN chosen c ON c.target = ad.target AND c.shot = ad.shot AND c.recipe = ad.recipe),
+cb AS (SELECT two.* EXCLUDE (method, adapted_decision), one.recipe AS stage1_recipe, '{fs.COMBINED}' AS method,
+  (one.adapted_decision OR (one.base_decision AND one.lab = 1 AND one.stage1_candidate AND one.base_logit < 0)) AND two.adapted_decision AS adapted_decision
+  FROM ps0 one JOIN ps0 two ON two.target = one.target AND two.shot = one.shot AND two.seed = one.seed AND two.clip_id = one.clip_id WHERE one.method = '{fs.STAGE1_METHOD}' AND two.method = '{fs.STAGE2_METHOD}'),
+pk AS (SELECT {DECISION_SQL} FROM ps0 UNION ALL SELECT {DECISION_SQL} FROM cb)"""
+
+
+def selected(spark, sf_dir):
+    """(decisions, cells per seed and recipe, chosen recipe per target, shot and method)."""
+    decisions = evaluated(spark, sf_dir)
+    per_seed = cut(fs.recipe_counts(decisions, [*fs.RECORD, "method", "recipe", "recipe_index"]))
+    per_target = per_seed.groupBy("target", "shot", "method", "recipe", "recipe_index").agg(*[F.sum(c).alias(c) for c in ALL_CELLS])
+    return decisions, per_seed, cut(fs.select_recipes(per_target))
 
 
 def picked(spark, sf_dir):
-    """Per-seed cells of each target's chosen recipe, by method."""
-    keys = [*fs.RECORD, "method", "recipe", "recipe_index"]
-    per_seed = cut(fs.recipe_counts(evaluated(spark, sf_dir), keys))
-    per_target = per_seed.groupBy("target", "shot", "method", "recipe", "recipe_index").agg(
-        *[F.sum(c).alias(c) for c in ALL_CELLS]
-    )
-    chosen = fs.select_recipes(per_target).select("target", "shot", F.col("method").alias("_m"), "recipe")
-    joined = per_seed.join(chosen, ["target", "shot", "recipe"])
-    return joined.drop("method").withColumnRenamed("_m", "method")
+    """Per-seed cells of each target's chosen recipe by method, the combined method included."""
+    decisions, per_seed, chosen = selected(spark, sf_dir)
+    own = per_seed.drop("method").join(chosen.select("target", "shot", "recipe", "method"), ["target", "shot", "recipe"])
+    both = fs.recipe_counts(fs.combined_decisions(decisions, chosen), [*fs.RECORD, "method"])
+    cols = [*fs.RECORD, "method", *ALL_CELLS]
+    return own.select(*cols).unionByName(both.select(*cols))
 
 
 SUMMARY_SQL = f"""ps AS (SELECT target, shot, seed, method, {CELLS_SQL} FROM pk GROUP BY ALL),
@@ -451,32 +488,16 @@ def _fs14_overview(spark, sf_dir):
     return fs.method_overview(cut(fs.summaries(picked(spark, sf_dir))))
 
 
-ONE, TWO = "stage1_threshold", "bias:0.5:0.25:median"
-
-
 @plan(
     "fs15_combined_stages",
-    FS.rstrip()
-    + f""", {ADAPTED_SQL}, s1a AS (SELECT q.target, q.shot, q.seed, q.clip_id, stage1_clip_score >= greatest(0.2 - 0.1, least(0.2, stage1_median - 0.02)) AND base_logit >= 0 AS d, base_decision AS z,
-  lab = 1 AND stage1_candidate AND base_logit < 0 AS rej FROM qry q JOIN st USING (target, shot, seed)),
-cb AS (SELECT ad.* EXCLUDE (adapted_decision), (d OR (z AND rej)) AND adapted_decision AS adapted_decision FROM ad JOIN s1a USING (target, shot, seed, clip_id) WHERE recipe = '{TWO}')
-SELECT target, shot, {CELLS_SQL} FROM cb GROUP BY ALL""",
+    FS.rstrip() + f", {ADAPTED_SQL}, {PICKED_SQL} SELECT target, shot, stage1_recipe, recipe AS stage2_recipe, {CELLS_SQL} FROM cb GROUP BY ALL",
 )
 def _fs15(spark, sf_dir):
-    """FS15: stage-1 and stage-2 adaptation combined."""
-    _, support, query = sets(spark, sf_dir)
-    stats = fs.support_statistics(support, fs.RECORD).select(*fs.RECORD, "stage1_median")
-    theta = fs.calibrated_threshold(F.col("theta1"), F.col("stage1_median"), 0.02, 0.1)
-    passed = F.col("base_logit") >= F.col("theta2_logit")
-    one = query.join(stats, fs.RECORD).select(
-        *fs.RECORD,
-        "clip_id",
-        "base_decision",
-        ((F.col("stage1_clip_score") >= theta) & passed).alias("adapted_decision"),
-        ((F.col("label") == 1) & F.col("stage1_candidate") & ~passed).alias("stage2_reject"),
-    )
-    two = evaluated(spark, sf_dir).where(F.col("recipe") == TWO)
-    return fs.recipe_counts(fs.combine_stages(one, two, [*fs.RECORD, "clip_id"]), ["target", "shot"])
+    """FS15: the chosen stage-1 and stage-2 recipes of each target combined."""
+    decisions, _, chosen = selected(spark, sf_dir)
+    cells = fs.recipe_counts(fs.combined_decisions(decisions, chosen), ["target", "shot", F.col("recipe").alias("stage2_recipe")])
+    names = chosen.where(F.col("method") == fs.STAGE1_METHOD).select("target", "shot", F.col("recipe").alias("stage1_recipe"))
+    return cells.join(names, ["target", "shot"])
 
 
 @plan(
