@@ -500,3 +500,39 @@ def test_bad_vectors_fail_their_prototype(spark):
     rows = [(1, [3.0, 4.0]), (1, [0.0, 0.0]), (2, [3.0, 4.0]), (2, [1.0, 0.0, 0.0]), (3, [3.0, 4.0]), (4, [float("nan"), 1.0]), (4, [1.0, 1.0])]
     got = {r.t: r.prototype for r in fewshot.prototypes(spark.createDataFrame(rows, "t int, embedding array<double>"), ["t"]).collect()}
     assert got[1] is None and got[2] is None and got[4] is None and got[3] == pytest.approx([0.6, 0.8])
+
+
+def test_onboarding_scores_of_clips(spark):
+    windows = [(c, w, "t", int(c < 6), "P1" if c < 6 else "P4_negative", s1, s2, v) for c, w, s1, s2, v in [
+        *[(c, 0, 0.9, 0.6, [1.0, 0.0]) for c in range(4)],
+        (4, 0, 0.9, 0.1, [0.0, 1.0]), (4, 1, 0.8, 0.4, [0.6, 0.8]), (4, 2, 0.7, 0.2, [1.0, 0.0]),
+        (5, 0, 0.1, 0.9, [1.0, 0.0]),
+        (6, 0, 0.4, 0.45, [0.0, 2.0]),
+    ]]
+    df = spark.createDataFrame(windows, "clip_id int, window_index int, target string, label int, prompt_group string, stage1_score double, stage2_score double, embedding array<double>")
+    clips = fewshot.onboarding_clips(df, 0.3, 0.5, 3, ["target", "label", "prompt_group"])
+    assert {r.clip_id: r.base_decision for r in clips.collect()} == {**dict.fromkeys(range(4), True), 4: False, 5: False, 6: False}
+    support = clips.where("clip_id < 3").withColumns({"shot": F.lit(3), "seed": F.lit(1)})
+    query = clips.where("clip_id >= 3").withColumns({"shot": F.lit(3), "seed": F.lit(1)})
+    got = {(r.clip_id, r.recipe): r.adapted_decision for r in fewshot.onboarding_decisions(query, support).collect()}
+    assert len(got) == 4 * len(fewshot.onboarding_grid())
+    assert not any(got[5, r] for _, r in got)  # its only window is no candidate
+    assert [got[4, f"prototype_only:{k}:0.0:0.95"] for k in (1, 3)] == [False, True]
+    assert [got[4, f"base_plus_prototype:{k}:1.0:0.95"] for k in (1, 3)] == [False, True]
+    assert got[6, "base_plus_prototype:1:2.0:0.5"] is False and got[3, "base_plus_prototype:1:0.5:1.1"] is True
+
+
+def test_real_recipe_choice_needs_a_gain(spark):
+    cells = [*fewshot.CELLS, *fewshot.COUNTERS]
+
+    def row(i, name, tp, fp, method="prototype_fusion"):
+        new = {"zero_tp": 5, "zero_tn": 100, "zero_fp": 0, "zero_fn": 5, "new_tp": tp, "new_tn": 100 - fp, "new_fp": fp, "new_fn": 10 - tp, "changed": abs(tp - 5) + fp}
+        return (method, name, i, *[new.get(c, 0) for c in cells])
+
+    kinds = "method string, recipe string, recipe_index int, " + ", ".join(f"{c} long" for c in cells)
+
+    def chosen(*rows):
+        return one(fewshot.choose_real_recipe(spark.createDataFrame(list(rows), kinds)))["recipe"]
+
+    assert chosen(row(0, "a", 7, 0), row(1, "b", 8, 1), row(2, "unsafe", 10, 9), row(3, "keyword", 10, 0, "keyword_or_two_stage")) == "b"
+    assert chosen(row(0, "a", 5, 0), row(1, "worse", 4, 0)) == fewshot.NO_RECIPE

@@ -571,3 +571,186 @@ def combined_decisions(decisions: DataFrame, chosen: DataFrame, one: str = STAGE
     first = rows.where(F.col("method") == one).withColumn("stage2_reject", rejected)
     out = combine_stages(first, rows.where(F.col("method") == two), [*RECORD, "clip_id"])
     return out.withColumn("method", F.lit(COMBINED))
+
+
+# --- studies: the other recipe grids -----------------------------------------------
+
+def literal_rows(kinds: dict[str, str], rows: Sequence[tuple]) -> Column:
+    """A constant array of structs, to be unfolded inside a row."""
+
+    def shown(value, kind):
+        quoted = "NULL" if value is None else f"'{value}'" if isinstance(value, str) else repr(value)
+        return f"CAST({quoted} AS {kind})"
+
+    structs = ["named_struct(" + ", ".join(f"'{n}', {shown(v, k)}" for (n, k), v in zip(kinds.items(), row)) + ")" for row in rows]
+    return F.expr(f"array({', '.join(structs)})")
+
+
+STUDY = ("study", "recipe_index", "recipe", "method", "quantile", "margin", "width", "alpha", "beta", "threshold")
+NO_RECIPE = "no_adaptation_zero_shot_fallback"
+
+
+def study_recipes(thresholds: Sequence[float] = ()) -> list[tuple]:
+    """The onboarding study's and the target-level study's grids in one shape, see ``STUDY``.
+
+    ``width`` is the largest threshold drop or bias, ``threshold`` a score or
+    similarity limit.
+    """
+    rows: list[tuple] = []
+    for i, (method, q, margin, width, alpha, beta, level) in enumerate(real_grid(thresholds)):
+        rows.append(("real", i, method, q, margin, width, alpha, beta, level))
+    for i, (method, drop, margin, bias, level) in enumerate(target_grid()):
+        rows.append(("target", i, method, None, margin, bias if drop is None else drop, None, None, level))
+
+    def name(method, *values):
+        return ":".join([method, *[str(v) for v in values if v is not None]])
+
+    return [(study, i, name(method, *rest), method, *rest) for study, i, method, *rest in rows]
+
+
+def study_facts(query: DataFrame, support: DataFrame) -> DataFrame:
+    """Query rows with score and logit quantiles, stage-1 median and similarity of their record."""
+    score = sigmoid(F.col("base_logit"))
+    stats = support_statistics(support, RECORD).select(*RECORD, "q_min", "q_q20", "q_median", "stage1_median")
+    levels = support.groupBy(*RECORD).agg(
+        F.min(score).alias("s_min"), F.percentile(score, 0.2).alias("s_q20"), F.percentile(score, 0.5).alias("s_median")
+    )
+    joined = query.join(stats.join(levels, RECORD).join(prototypes(support, RECORD), RECORD), RECORD)
+    similarity = dot(unit(F.col("embedding")), F.col("prototype"))
+    return joined.withColumns({"similarity": similarity, "base_score": score}).drop("prototype", "embedding")
+
+
+def study_decisions(facts: DataFrame, keyword: Column, theta2: float = 0.5, thresholds: Sequence[float] = ()) -> DataFrame:
+    """Every query row under every recipe of both studies, unfolded inside its row.
+
+    ``keyword`` says whether the recognised words hold the keyword.  Scores and
+    logits are compared at nine digits.
+    """
+    kinds = dict(zip(STUDY, ("string", "int", "string", "string", "string", *["double"] * 5)))
+    each = facts.withColumn("_keyword", keyword).select("*", F.inline(literal_rows(kinds, study_recipes(thresholds))))
+
+    def quantile(p):
+        return F.when(F.col("quantile") == "min", F.col(f"{p}_min")).when(F.col("quantile") == "q20", F.col(f"{p}_q20")).otherwise(F.col(f"{p}_median"))
+
+    def at_least(level, limit):
+        return F.round(level, 9) >= F.round(limit, 9)
+
+    theta, score, candidate, method = F.lit(theta2), F.col("base_score"), F.col("stage1_candidate"), F.col("method")
+    margin, width = F.col("margin"), F.col("width")
+    lowered = F.greatest(theta - width, quantile("s") - margin)
+    biased = F.col("base_logit") + bounded_bias(F.col("theta2_logit"), quantile("q"), width, margin)
+    fused = score + F.col("alpha") * (F.col("similarity") - F.col("beta"))
+    one = calibrated_threshold(F.col("theta1"), F.col("stage1_median"), margin, width)
+    decision = (
+        F.when(method == "no_adaptation", F.col("base_decision"))
+        .when(method == "support_threshold_calibration", candidate & at_least(score, F.least(theta, lowered)))
+        .when(method == "positive_bias_adaptation", candidate & at_least(biased, F.col("theta2_logit")))
+        .when(method == "prototype_fusion", candidate & at_least(fused, F.col("threshold")))
+        .when(method == "keyword_or_two_stage", F.col("base_decision") | F.col("_keyword"))
+        .when(method == "target_threshold_calibration", candidate & at_least(score, calibrated_threshold(theta, F.col("s_median"), margin, width)))
+        .when(method == "stage1_threshold_calibration", at_least(F.col("stage1_clip_score"), one) & at_least(score, theta))
+        .when(method == "positive_bias", candidate & at_least(sigmoid(logit(score) + width), theta))
+        .when(method == "target_prototype_fusion", candidate & (at_least(score, theta) | at_least(F.col("similarity"), F.col("threshold"))))
+    )
+    return each.withColumn("adapted_decision", decision)
+
+
+def choose_real_recipe(pooled: DataFrame) -> DataFrame:
+    """The safe recipe from support that gains most F1, else the named fallback.
+
+    ``pooled`` has one row of cells per recipe over shots and seeds.  Ties go
+    to higher recall, then to the lower false-positive rate and grid index.
+    """
+    rated = with_deltas(pooled)
+    both = F.col("zero_f1").isNotNull() & F.col("new_f1").isNotNull()
+    gain = F.round("delta_f1", 9)
+    ready = F.col("safe") & (F.col("changed") > 0) & (F.col("method") != "keyword_or_two_stage") & both & (gain > 0)
+    rank = lex(gain, F.round(F.coalesce("new_recall", F.lit(0.0)), 9), -F.round(F.coalesce("new_fpr", F.lit(0.0)), 9), -F.col("recipe_index"))
+    best = F.max_by(F.when(ready, F.col("recipe")), F.when(ready, rank))
+    return rated.agg(
+        F.coalesce(best, F.lit(NO_RECIPE)).alias("recipe"),
+        F.max(F.when(ready, gain)).alias("delta_f1"),
+        count_if(F.col("safe")).alias("safe_recipes"),
+        count_if(ready).alias("selectable"),
+    )
+
+
+def choose_target_recipe(per_target: DataFrame) -> DataFrame:
+    """Per held-out target and shot the recipe that is best on the other targets.
+
+    Totals minus the target's own cells; no adaptation where nothing safe gains.
+    """
+    recipe, sums = ["shot", "recipe", "recipe_index"], [*CELLS, *COUNTERS]
+    totals = per_target.groupBy(*recipe).agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    others = per_target.join(totals, recipe).select("target", *recipe, *[(F.col(f"_{c}") - F.col(c)).alias(c) for c in sums])
+    rated = with_deltas(others)
+    gain = F.round("delta_f1", 9)
+    rank = lex(F.col("safe").cast("int"), gain, F.round(F.coalesce("new_f1", F.lit(0.0)), 9), -F.round(F.coalesce("new_fpr", F.lit(0.0)), 9), -F.col("recipe_index"))
+    best = rated.groupBy("target", "shot").agg(F.max_by(F.struct("recipe", "safe", gain.alias("gain")), rank).alias("_b"))
+    kept = F.col("_b.safe") & (F.col("_b.gain") > 1e-12)
+    return best.select("target", "shot", F.when(kept, F.col("_b.recipe")).otherwise("no_adaptation").alias("recipe"), F.col("_b.safe").alias("safe"), F.col("_b.gain").alias("delta_f1"))
+
+
+# --- onboarding by windows ----------------------------------------------------------
+
+
+def onboarding_clips(windows: DataFrame, theta1: float, theta2: float, top_k: int, keep: Sequence[str]) -> DataFrame:
+    """One row per clip: its best windows by stage 1 as a bounded array.
+
+    ``embedding`` is the one of the best window, from which supports make their
+    prototype; ``pool`` holds at most ``top_k`` candidates in order.
+    """
+    order = [F.col("stage1_score").desc(), F.col("window_index").asc()]
+    best = first_rows(windows, ["clip_id"], order, top_k, "_rank")
+    candidate = F.col("stage1_score") >= theta1
+    member = F.struct(F.col("_rank").alias("rank"), "stage2_score", unit(F.col("embedding")).alias("u"))
+    out = best.groupBy("clip_id").agg(
+        F.first(F.struct(*keep), ignorenulls=True).alias("_m"),
+        F.max(candidate).alias("stage1_candidate"),
+        F.coalesce(F.max(candidate & (F.col("stage2_score") >= theta2)), F.lit(False)).alias("base_decision"),
+        F.min_by("embedding", "_rank").alias("_first"),
+        F.sort_array(F.collect_list(F.when(candidate, member))).alias("pool"),
+    )
+    return out.select("clip_id", "_m.*", "stage1_candidate", "base_decision", F.col("_first").alias("embedding"), "pool")
+
+
+def onboarding_decisions(query: DataFrame, support: DataFrame) -> DataFrame:
+    """Query clips under the onboarding grid: best fused score of their first windows.
+
+    Similarities are taken once a window, maxima once a (top k, alpha) pair;
+    thresholds are unfolded last.  A clip without a candidate stays silent.
+    """
+    joined = query.join(prototypes(support, RECORD), RECORD)
+    near = F.transform("pool", lambda w: F.struct(w["rank"].alias("rank"), w["stage2_score"].alias("s"), dot(w["u"], F.col("prototype")).alias("c")))
+    near = joined.withColumn("_near", near).drop("pool", "prototype", "embedding")
+
+    def best(k, alpha, only):
+        score = (lambda w: w["c"]) if only else (lambda w: w["s"] + alpha * w["c"])
+        return F.array_max(F.transform(F.filter("_near", lambda w: w["rank"] <= k), score))
+
+    grid = onboarding_grid()
+    pairs = list(dict.fromkeys((m, k, a) for m, k, a, _ in grid))
+    scores = F.array(*[best(k, a, m == "prototype_only") for m, k, a in pairs])
+    rows = [(i, f"{m}:{k}:{a}:{t}", m, pairs.index((m, k, a)), t) for i, (m, k, a, t) in enumerate(grid)]
+    kinds = {"recipe_index": "int", "recipe": "string", "method": "string", "_pair": "int", "_limit": "double"}
+    each = near.withColumn("_scores", scores).drop("_near").select("*", F.inline(literal_rows(kinds, rows)))
+    decision = F.coalesce(F.round(F.get("_scores", F.col("_pair")), 9) >= F.col("_limit"), F.lit(False))
+    return each.withColumn("adapted_decision", decision).drop("_scores", "_pair", "_limit")
+
+
+def choose_onboarding_recipe(per_target: DataFrame, limit: float = 0.02) -> DataFrame:
+    """The safe prototype recipe of best macro recall, macro F1 and lowest rate of false positives.
+
+    ``per_target`` has cells per (target, recipe) over shots and seeds.
+    """
+    rated = with_deltas(per_target)
+    pooled = rated.groupBy("recipe", "recipe_index").agg(
+        *[F.sum(c).alias(c) for c in [*CELLS, *COUNTERS]], F.avg("new_recall").alias("macro_recall"), F.avg("new_f1").alias("macro_f1")
+    )
+    gate = with_deltas(pooled).withColumn("passed", safety_gate(F.col("zero_fpr"), F.col("new_fpr"), limit))
+    worth = [F.round(F.coalesce(c, F.lit(0.0)), 9) for c in ("macro_recall", "macro_f1")]
+    rank = lex(*worth, -F.round(F.coalesce("new_fpr", F.lit(0.0)), 9), -F.col("recipe_index"))
+    best = F.max_by(F.when(F.col("passed"), F.col("recipe")), F.when(F.col("passed"), rank))
+    return gate.agg(
+        F.coalesce(best, F.lit(NO_RECIPE)).alias("recipe"), count_if(F.col("passed")).alias("safe_recipes"), F.count(F.lit(1)).alias("recipes")
+    )

@@ -9,7 +9,7 @@ from ..operators import fewshot as fs
 from ..operators import sampling as sm
 from ..operators import selection as sl
 from ..session import cut
-from .bindings import FEWSHOT_SQL, WINDOWS_SQL, fewshot_clips, table, windows, with_ctes
+from .bindings import FEWSHOT_SQL, VECTOR_WINDOWS_SQL, WINDOWS_SQL, fewshot_clips, table, vector_windows, windows, with_ctes
 from .registry import counts_sql, plan
 
 SEED_ROWS = ", ".join(f"({s})" for s in fs.SEEDS)
@@ -520,3 +520,105 @@ def _srt5(spark, sf_dir):
     gate = fs.with_deltas(pooled).withColumn("passed", fs.safety_gate(F.col("zero_fpr"), F.col("new_fpr"), 0.4, 0.02, 0.0))
     ready = gate.withColumn("latency", F.lit(None).cast("double"))
     return sl.choose_safe_recipe(ready, "recipe", "passed", "mr", "mf", "latency", "no_adaptation_zero_shot_fallback", ("shot",))
+
+
+def _value(v) -> str:
+    return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE" if isinstance(v, float) else str(v)
+
+
+STUDY_ROWS = ", ".join("(" + ", ".join(map(_value, row)) + ")" for row in fs.study_recipes())
+STUDY_SQL = f"""{SIM_SQL}, sl AS (SELECT target, shot, seed, min(1 / (1 + exp(-base_logit))) AS s_min, quantile_cont(1 / (1 + exp(-base_logit)), 0.2) AS s_q20, median(1 / (1 + exp(-base_logit))) AS s_median FROM sup GROUP BY ALL),
+sg({', '.join(fs.STUDY)}) AS (VALUES {STUDY_ROWS}),
+sf AS (SELECT fx.*, sl.s_min, sl.s_q20, sl.s_median, st.stage1_median, 1 / (1 + exp(-fx.base_logit)) AS score FROM fx JOIN sl USING (target, shot, seed) JOIN st USING (target, shot, seed)),
+sq AS (SELECT sf.*, sg.*, CASE quantile WHEN 'min' THEN s_min WHEN 'q20' THEN s_q20 ELSE s_median END AS sv, CASE quantile WHEN 'min' THEN q_min WHEN 'q20' THEN q_q20 ELSE q_median END AS qv FROM sf, sg),
+sd AS (SELECT *, CASE method WHEN 'no_adaptation' THEN base_decision
+  WHEN 'support_threshold_calibration' THEN stage1_candidate AND round(score, 9) >= round(least(0.5, greatest(0.5 - width, sv - margin)), 9)
+  WHEN 'positive_bias_adaptation' THEN stage1_candidate AND round(base_logit + least(width, greatest(0.0, 0.0 - qv + margin)), 9) >= 0
+  WHEN 'prototype_fusion' THEN stage1_candidate AND round(score + alpha * (similarity - beta), 9) >= round(threshold, 9)
+  WHEN 'keyword_or_two_stage' THEN base_decision OR stage1_clip_score >= 0.9
+  WHEN 'target_threshold_calibration' THEN stage1_candidate AND round(score, 9) >= round(greatest(0.5 - width, least(0.5, s_median - margin)), 9)
+  WHEN 'stage1_threshold_calibration' THEN round(stage1_clip_score, 9) >= round(greatest(0.2 - width, least(0.2, stage1_median - margin)), 9) AND round(score, 9) >= 0.5
+  WHEN 'positive_bias' THEN stage1_candidate AND round(1 / (1 + exp(-(ln(greatest(least(score, 1 - 1e-6), 1e-6) / (1 - greatest(least(score, 1 - 1e-6), 1e-6))) + width))), 9) >= 0.5
+  WHEN 'target_prototype_fusion' THEN stage1_candidate AND (round(score, 9) >= 0.5 OR round(similarity, 9) >= round(threshold, 9)) END AS adapted_decision FROM sq)"""
+
+
+def study(spark, sf_dir):
+    _, support, query = sets(spark, sf_dir)
+    return fs.study_decisions(fs.study_facts(query, support), F.col("stage1_clip_score") >= 0.9)
+
+
+@plan("fs10_study_metrics", FS.rstrip() + f", {STUDY_SQL} SELECT study, shot, method, recipe, {CELLS_SQL} FROM sd GROUP BY ALL")
+def _fs10_studies(spark, sf_dir):
+    """FS10: the onboarding study's and the target-level study's grids on every query row."""
+    return fs.recipe_counts(study(spark, sf_dir), ["study", "shot", "method", "recipe"])
+
+
+REAL_SQL = f"""rp0 AS (SELECT method, recipe, recipe_index, {CELLS_SQL} FROM sd WHERE study = 'real' GROUP BY ALL),
+rp1 AS (SELECT *, {_delta('f1')} AS delta_f1, coalesce({_rate('new', 'recall')}, 0) AS rec, coalesce({_rate('new', 'fpr')}, 0) AS fpr, {SAFE_SQL} AS safe,
+  changed > 0 AND method <> 'keyword_or_two_stage' AND {_rate('zero', 'f1')} IS NOT NULL AND {_rate('new', 'f1')} IS NOT NULL AND round({_delta('f1')}, 9) > 0 AS gains FROM rp0),
+rp2 AS (SELECT recipe, delta_f1 FROM rp1 WHERE safe AND gains ORDER BY round(delta_f1, 9) DESC, round(rec, 9) DESC, round(fpr, 9), recipe_index LIMIT 1)"""
+
+
+@plan(
+    "fs10_real_choice",
+    FS.rstrip()
+    + f""", {STUDY_SQL}, {REAL_SQL} SELECT coalesce((SELECT recipe FROM rp2), '{fs.NO_RECIPE}') AS recipe, round((SELECT delta_f1 FROM rp2), 6) AS delta_f1,
+  count(*) FILTER (WHERE safe) AS safe_recipes, count(*) FILTER (WHERE safe AND gains) AS selectable FROM rp1""",
+)
+def _fs10_real(spark, sf_dir):
+    """FS10, FS13: the recipe the onboarding study would take, over all shots and seeds."""
+    rows = study(spark, sf_dir).where(F.col("study") == "real")
+    return fs.choose_real_recipe(fs.recipe_counts(rows, ["method", "recipe", "recipe_index"]))
+
+
+@plan(
+    "fs10_target_choice",
+    FS.rstrip()
+    + f""", {STUDY_SQL}, tp AS (SELECT target, shot, recipe, recipe_index, {CELLS_SQL} FROM sd WHERE study = 'target' GROUP BY ALL),
+tt AS (SELECT shot, recipe, {ADD_CELLS} FROM tp GROUP BY ALL),
+dv AS (SELECT tp.target, tp.shot, tp.recipe, tp.recipe_index, {', '.join(f'tt.{c} - tp.{c} AS {c}' for c in ALL_CELLS)} FROM tp JOIN tt USING (shot, recipe)),
+dr AS (SELECT *, {SAFE_SQL} AS safe, {_delta('f1')} AS delta_f1, coalesce({_rate('new', 'f1')}, 0) AS nf, coalesce({_rate('new', 'fpr')}, 0) AS fpr FROM dv)
+SELECT target, shot, CASE WHEN safe AND round(delta_f1, 9) > 1e-12 THEN recipe ELSE 'no_adaptation' END AS recipe, safe, round(round(delta_f1, 9), 6) AS delta_f1 FROM dr
+QUALIFY row_number() OVER (PARTITION BY target, shot ORDER BY safe DESC, round(delta_f1, 9) DESC, round(nf, 9) DESC, round(fpr, 9), recipe_index) = 1""",
+)
+def _fs10_target(spark, sf_dir):
+    """FS10, FS13: the target-level study's recipe per held-out target and shot."""
+    rows = study(spark, sf_dir).where(F.col("study") == "target")
+    return fs.choose_target_recipe(cut(fs.recipe_counts(rows, ["target", "shot", "recipe", "recipe_index"])))
+
+
+ONBOARD_ROWS = ", ".join(f"({i}, '{m}:{k}:{a}:{t}', '{m}', {k}, {a}::DOUBLE, {t}::DOUBLE)" for i, (m, k, a, t) in enumerate(fs.onboarding_grid()))
+ONBOARD_FS = with_ctes(VECTOR_WINDOWS_SQL, SUPPORT_SQL)
+ONBOARD_SQL = f"""{PROTO_SQL}, og(recipe_index, recipe, method, k, alpha, threshold) AS (VALUES {ONBOARD_ROWS}),
+ow AS (SELECT q.target, q.shot, q.seed, q.clip_id, w.rank, w.s2, list_dot_product(w.v, pr.prototype) / sqrt(list_dot_product(w.v, w.v)) AS c FROM qry q JOIN vr w USING (clip_id)
+  JOIN pr ON pr.target = q.target AND pr.shot = q.shot AND pr.seed = q.seed WHERE w.rank <= 3 AND w.s1 >= 0.3),
+ob AS (SELECT target, shot, seed, clip_id, method, k, alpha, max(CASE WHEN method = 'prototype_only' THEN c ELSE s2 + alpha * c END) AS b FROM ow JOIN (SELECT DISTINCT method, k, alpha FROM og) g ON rank <= k GROUP BY ALL),
+ad AS (SELECT q.target, q.shot, q.seed, q.clip_id, q.lab, q.stage1_candidate, q.base_logit, q.base_decision, og.recipe_index, og.recipe, og.method, coalesce(round(b, 9) >= threshold, false) AS adapted_decision
+  FROM qry q CROSS JOIN og LEFT JOIN ob ON ob.target = q.target AND ob.shot = q.shot AND ob.seed = q.seed AND ob.clip_id = q.clip_id AND ob.method = og.method AND ob.k = og.k AND ob.alpha = og.alpha)"""
+
+
+def onboarded(spark, sf_dir):
+    clips = fs.onboarding_clips(vector_windows(spark, sf_dir), 0.3, 0.5, 3, ["target", "label", "prompt_group"])
+    clips = clips.withColumns({"base_logit": F.lit(0.0), "theta2_logit": F.lit(0.0)})
+    support = fs.supports(clips)
+    return fs.onboarding_decisions(fs.query_rows(clips, support), support)
+
+
+@plan("fs10_onboarding_metrics", ONBOARD_FS.rstrip() + f", {ONBOARD_SQL} SELECT shot, method, recipe, {CELLS_SQL} FROM ad GROUP BY ALL")
+def _fs10_onboarding(spark, sf_dir):
+    """FS10: the window-level onboarding grid on every query clip."""
+    return fs.recipe_counts(onboarded(spark, sf_dir), ["shot", "method", "recipe"])
+
+
+@plan(
+    "fs10_onboarding_choice",
+    ONBOARD_FS.rstrip()
+    + f""", {ONBOARD_SQL}, ot AS (SELECT target, recipe, recipe_index, {CELLS_SQL} FROM ad GROUP BY ALL),
+op AS (SELECT recipe, recipe_index, {ADD_CELLS}, avg({_rate('new', 'recall')}) AS mr, avg({_rate('new', 'f1')}) AS mf FROM ot GROUP BY recipe, recipe_index),
+og2 AS (SELECT *, {_delta('fpr')} <= 0.02 + 1e-12 AND coalesce({_rate('new', 'fpr')}, 0) <= 0.02 + 1e-12 AS passed, coalesce({_rate('new', 'fpr')}, 0) AS fpr FROM op)
+SELECT coalesce((SELECT recipe FROM og2 WHERE passed ORDER BY round(coalesce(mr, 0), 9) DESC, round(coalesce(mf, 0), 9) DESC, round(fpr, 9), recipe_index LIMIT 1), '{fs.NO_RECIPE}') AS recipe,
+  count(*) FILTER (WHERE passed) AS safe_recipes, count(*) AS recipes FROM og2""",
+)
+def _fs10_onboarding_choice(spark, sf_dir):
+    """FS10, FS13: the safe onboarding recipe by macro recall and F1."""
+    return fs.choose_onboarding_recipe(cut(fs.recipe_counts(onboarded(spark, sf_dir), ["target", "recipe", "recipe_index"])))

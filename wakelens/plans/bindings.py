@@ -419,6 +419,34 @@ fc AS (
 fcd AS (SELECT *, stage1_candidate AND base_logit >= 0 AS base_decision FROM fc)
 """
 
+# --- clips of four windows with vectors ---------------------------------------
+
+
+def vector_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows with vectors; four make a clip, clips go round five targets."""
+    clip = F.floor(F.col("vec_id") / 4)
+    positive = clip % 3 > 0
+    return table(spark, sf_dir, "embeddings").select(
+        clip.alias("clip_id"),
+        (F.col("vec_id") % 4).alias("window_index"),
+        (clip % 5).alias("target"),
+        positive.cast("int").alias("label"),
+        F.when(positive, F.concat(F.lit("P"), (clip % 3 + 1).cast("string"))).otherwise("P4_negative").alias("prompt_group"),
+        ((F.col("vec_id") * 7 % 23) / 23.0).alias("stage1_score"),
+        ((F.col("vec_id") * 11 % 29) / 58.0 + F.when(positive, 0.3).otherwise(0.0)).alias("stage2_score"),
+        "embedding",
+    )
+
+
+VECTOR_WINDOWS_SQL = """
+vw AS (SELECT *, CASE WHEN lab = 1 THEN 'P' || (clip_id % 3 + 1) ELSE 'P4_negative' END AS prompt_group, (vec_id * 7 % 23) / 23.0::DOUBLE AS s1,
+  (vec_id * 11 % 29) / 58.0::DOUBLE + CASE WHEN lab = 1 THEN 0.3::DOUBLE ELSE 0.0 END AS s2
+  FROM (SELECT vec_id, vec_id // 4 AS clip_id, vec_id % 4 AS window_index, (vec_id // 4) % 5 AS target, CASE WHEN (vec_id // 4) % 3 > 0 THEN 1 ELSE 0 END AS lab, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)),
+vr AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY s1 DESC, window_index) AS rank FROM vw),
+fcd AS (SELECT clip_id, any_value(target) AS target, any_value(lab) AS lab, any_value(prompt_group) AS prompt_group, bool_or(s1 >= 0.3) AS stage1_candidate,
+  bool_or(s1 >= 0.3 AND s2 >= 0.5) AS base_decision, 0.0::DOUBLE AS base_logit, any_value(v) FILTER (WHERE rank = 1) AS embedding FROM vr WHERE rank <= 3 GROUP BY clip_id)
+"""
+
 # --- energy frames -----------------------------------------------------------
 
 
