@@ -86,6 +86,74 @@ def _src3(spark, sf_dir):
     return rd.canonical_members(wanted, files).select("clip_id", "member", "member_rule")
 
 
+INVENTORY_SQL = """WITH f AS (SELECT 'audio_raw/s' || s_suppkey || '.webm' AS path FROM supplier WHERE s_suppkey % 3 <> 0 UNION SELECT 'audio_raw/s' || s_suppkey || '.wav' FROM supplier WHERE s_suppkey % 5 = 0
+UNION SELECT 'rec/n' || s_nationkey || '.webm' FROM supplier WHERE s_nationkey % 2 = 0 UNION SELECT 'old/s' || s_suppkey || '.m4a' FROM supplier WHERE s_suppkey % 7 = 0),
+a AS (SELECT regexp_extract(path, '^audio_raw/([^/.]+)', 1) AS clip_id, count(*) AS files, min(path) AS first_file, max(path) AS last_file FROM f WHERE path LIKE 'audio_raw/%' GROUP BY 1)
+"""
+
+
+def inventory(spark, sf_dir):
+    """A folder of recordings, one for each supplier and rule, and its listing."""
+    s = table(spark, sf_dir, "supplier")
+    key, nation = F.col("s_suppkey"), F.col("s_nationkey")
+
+    def named(where, folder, stem, number, suffix):
+        return F.when(where, F.struct(F.lit(folder).alias("dir"), F.concat(F.lit(stem), number.cast("string"), F.lit(suffix)).alias("name")))
+
+    files = F.array_compact(
+        F.array(
+            named(key % 3 != 0, "audio_raw", "s", key, ".webm"),
+            named(key % 5 == 0, "audio_raw", "s", key, ".wav"),
+            named(nation % 2 == 0, "rec", "n", nation, ".webm"),
+            named(key % 7 == 0, "old", "s", key, ".m4a"),
+        )
+    )
+    path = shared_folder(spark)
+    members = s.select(F.inline(files)).distinct().withColumn("value", F.lit("sound"))
+    members.repartition("dir", "name").write.partitionBy("dir", "name").text(path)
+    return rd.member_paths(rd.list_files(spark, path))
+
+
+@plan(
+    "src3_scanned_inventory",
+    INVENTORY_SQL
+    + """, s AS (SELECT regexp_extract(path, '/([^/]*)\\.(webm|m4a|wav)$', 1) AS clip_id, min(path) AS p FROM f GROUP BY 1),
+c AS (SELECT 's' || s_suppkey AS clip_id, 'rec/n' || s_nationkey || '.webm' AS raw_audio_path FROM supplier)
+SELECT c.clip_id, coalesce(CASE WHEN files = 1 THEN first_file END, r.path, s.p) AS member, CASE WHEN files = 1 THEN 'unique_prefix' WHEN r.path IS NOT NULL THEN 'recorded_path' WHEN s.p IS NOT NULL THEN 'suffix' END AS member_rule
+FROM c LEFT JOIN a USING (clip_id) LEFT JOIN f r ON r.path = c.raw_audio_path LEFT JOIN s ON s.clip_id = c.clip_id""",
+)
+def _src3_scan(spark, sf_dir):
+    """SRC3: the canonical files of a folder that is written and scanned."""
+    recorded = F.concat(F.lit("rec/n"), F.col("s_nationkey").cast("string"), F.lit(".webm"))
+    wanted = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("clip_id"), recorded.alias("raw_audio_path"))
+    return rd.canonical_members(wanted, inventory(spark, sf_dir)).select("clip_id", "member", "member_rule")
+
+
+@plan("src3_ambiguous_prefixes", INVENTORY_SQL + "SELECT * FROM a WHERE files > 1")
+def _src3_ambiguous(spark, sf_dir):
+    """SRC3: ids of the scanned folder with more than one file of their name."""
+    return rd.ambiguous_prefixes(inventory(spark, sf_dir))
+
+
+@plan(
+    "src4_duplicate_ids",
+    U
+    + """, l AS (SELECT id, reference FROM run_a WHERE status <> 'failed' UNION ALL SELECT id, reference FROM run_a WHERE status <> 'failed' AND length(reference) % 10 = 0
+UNION ALL SELECT id, reference || ' again' FROM run_a WHERE status <> 'failed' AND length(reference) % 15 = 0),
+t AS (SELECT id, trim(reference) AS r, count(*) AS n FROM l WHERE len(string_split(id, '-')) = 3 AND trim(reference) <> '' GROUP BY ALL)
+SELECT id, CAST(sum(n) AS BIGINT) AS occurrences, count(*) AS texts FROM t GROUP BY id HAVING sum(n) > 1""",
+)
+def _src4_duplicates(spark, sf_dir):
+    """SRC4: utterance ids that occur in several transcript lines."""
+    run = recognised(utterances(spark, sf_dir)).where(F.col("status") != "failed")
+    line = F.concat_ws(" ", "id", "reference")
+    size = F.length("reference")
+    lines = F.array_compact(F.array(line, F.when(size % 10 == 0, line), F.when(size % 15 == 0, F.concat(line, F.lit(" again")))))
+    path = shared_folder(spark)
+    run.select(F.explode(lines).alias("value")).write.text(path)
+    return rd.duplicate_transcripts(rd.read_transcripts(spark, path))
+
+
 @plan(
     "src4_transcript_lines",
     U

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import rollups as ru
+from ..functions import times
+from ..sources import export as ex
 from ..sources import writers as wr
 from ..session import shared_folder
 from .bindings import GROUPS, STAR_SQL, accounts, clips, participants, sessions, table, with_ctes
@@ -249,3 +251,57 @@ def _snk4_groups(spark, sf_dir):
     wr.write_partitioned(rows.select("prompt_group", "clip_id", "raw_audio_path", "label"), path, ["prompt_group"], "json")
     back = spark.read.schema("clip_id string, raw_audio_path string, label int, prompt_group string").json(path)
     return back.groupBy("prompt_group").agg(F.count(F.lit(1)).alias("clips"), F.count_distinct("clip_id").alias("ids"))
+
+
+EXPORT_FIELDS = {
+    "accounts": ("email", "verified"),
+    "participants": ("participant_id", "user_email", "device"),
+    "sessions": ("session_id", "participant_id", "status", "created_at"),
+    "clips": ("clip_id", "session_id", "prompt_id", "prompt_group", "label", "raw_audio_path", "processed_wav_path", "created_at"),
+    "quality": ("clip_id", "auto_qc_status", "duration_sec"),
+    "segments": ("segment_id", "parent_clip_id", "session_id", "participant_id", "segment_audio_path"),
+}
+EXPORT_ORDER = {"accounts": "email", "participants": "participant_id", "sessions": "session_id", "segments": "segment_id"}
+EXPORT_SOURCE = {"clips": "cp", "quality": "cp", "segments": "segs"}
+
+
+def _export_sql(name: str) -> str:
+    shown = ["strftime(created_at, '%Y-%m-%dT%H:%M:%SZ')" if f == "created_at" else f"CAST({f} AS VARCHAR)" for f in EXPORT_FIELDS[name]]
+    canonical = ", ".join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in shown)
+    rows = f"SELECT CAST('0x' || left(sha256(concat_ws(',', {canonical})), 15) AS BIGINT) AS h FROM {EXPORT_SOURCE.get(name, name)}"
+    return f"SELECT '{name}' AS name, {len(shown)} AS columns, count(*) AS rows, sha256(concat_ws('|', bit_xor(h), CAST(sum(h) AS HUGEINT), count(*), '{name}')) AS fingerprint, true AS intact FROM ({rows})"
+
+
+def export(spark, sf_dir):
+    """The metadata tables of the star, exported to a fresh folder."""
+    s = star(spark, sf_dir)
+    s["quality"] = s["clips"]
+    folder = shared_folder(spark)
+    ex.write_export({name: (s[name], fields, [EXPORT_ORDER.get(name, "clip_id")]) for name, fields in EXPORT_FIELDS.items()}, folder)
+    return folder
+
+
+@plan("snk4_metadata_tables", S + " UNION ALL ".join(_export_sql(n) for n in EXPORT_FIELDS))
+def _snk4_tables(spark, sf_dir):
+    """SNK4: the export's metadata tables, read back and held against their manifest."""
+    return ex.check_export(spark, export(spark, sf_dir))
+
+
+@plan("snk4_exported_clips", S + "SELECT clip_id, prompt_group, processed_wav_path, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at FROM cp")
+def _snk4_clips(spark, sf_dir):
+    """SNK4: the clip table as a reader of the export sees it."""
+    rows = ex.read_export(spark, export(spark, sf_dir))["clips"]
+    return rows.select("clip_id", "prompt_group", "processed_wav_path", "created_at")
+
+
+@plan(
+    "date1_utc_times",
+    """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END || 'Z' AS iso, strftime(ts - INTERVAL 330 MINUTE, '%Y-%m-%dT%H:%M:%SZ') AS from_kolkata
+FROM (SELECT event_id, CAST(ts AS TIMESTAMP) AS ts FROM events)""",
+)
+def _date1(spark, sf_dir):
+    """Section 2.11, date: ISO text in UTC, and local wall clocks turned into UTC."""
+    local = F.date_trunc("second", F.col("ts").cast("timestamp"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", times.iso_utc(F.col("ts").cast("timestamp")).alias("iso"), times.iso_utc(times.to_utc(local, "Asia/Kolkata")).alias("from_kolkata")
+    )

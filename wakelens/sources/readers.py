@@ -83,6 +83,28 @@ def canonical_members(clips: DataFrame, files: DataFrame, *, clip: str = "clip_i
     return joined.withColumns({"member": member, "member_rule": rule}).drop("_n", "_folder", "_recorded", "_suffix")
 
 
+def member_paths(files: DataFrame, path: str = "path") -> DataFrame:
+    """Member names of a listing in which ``dir=`` and ``name=`` folders stand for folder and file."""
+    part = r"/dir=([^/]+)/name=([^/]+)/"
+    member = F.concat_ws("/", F.regexp_extract(path, part, 1), F.regexp_extract(path, part, 2))
+    return files.where(F.col(path).rlike(part)).select(F.url_decode(F.replace(member, F.lit("+"), F.lit("%2B"))).alias("path"), "length").groupBy("path").agg(F.sum("length").alias("length"))
+
+
+def ambiguous_prefixes(files: DataFrame, path: str = "path", clip: str = "clip_id") -> DataFrame:
+    """Ids for which more than one file ``audio_raw/<id>.*`` exists, with their number."""
+    stem = F.regexp_extract(path, r"^audio_raw/([^/.]+)\.[^/]*$", 1)
+    counted = files.where(stem != "").groupBy(stem.alias(clip)).agg(F.count(F.lit(1)).alias("files"), F.min(path).alias("first_file"), F.max(path).alias("last_file"))
+    return counted.where(F.col("files") > 1)
+
+
+def duplicate_transcripts(parsed: DataFrame) -> DataFrame:
+    """Well-formed ids that occur more than once, with the number of different texts."""
+    sound = parsed.where(F.col("problem").isNull())
+    per_text = sound.groupBy("id", "reference").agg(F.count(F.lit(1)).alias("_n"))
+    counted = per_text.groupBy("id").agg(F.sum("_n").alias("occurrences"), F.count(F.lit(1)).alias("texts"))
+    return counted.where(F.col("occurrences") > 1)
+
+
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """Lines ``<speaker>-<chapter>-<number> <text>``; bad lines get a problem."""
     return parse_transcripts(spark.read.text(path))
