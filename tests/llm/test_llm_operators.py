@@ -246,6 +246,36 @@ def test_sharding(docs, empty):
     assert sharding.assign(empty, shards=4).count() == 0
 
 
+def test_sharding_keeps_groups_that_fit_and_balances(spark):
+    rng = random.Random(5)
+    rows = [(i, f"text {i} " + "x" * rng.randrange(50, 150), None, 0, "") for i in range(3000)]
+    for g, copies in enumerate((200, 90, 60, 40, 25, 12, 5, 2, 2)):
+        rows += [(10_000 + 1000 * g + k, f"copies {g} " + "y" * 100, None, 0, "") for k in range(copies)]
+    rows += [(50_000 + k, None, None, 0, "") for k in range(700)]
+    got = sharding.assign(spark.createDataFrame(rows, DOCS), shards=10, rows_per_range=100).collect()
+    assert len(got) == len(rows)
+    sizes, homes, slots = {}, {}, {}
+    for r in got:
+        sizes[r.shard] = sizes.get(r.shard, 0) + r.size
+        homes.setdefault(r.text_crc32, set()).add(r.shard)
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(len(found) == 1 for found in homes.values())
+    assert all(sorted(found) == list(range(len(found))) for found in slots.values())
+    assert max(sizes.values()) - min(sizes.values()) <= 1200
+
+
+def test_sharding_of_one_repeated_row(spark):
+    rows = [(7, None, None, 0, "")] * 4000 + [(None, "a", None, 0, "")] * 500 + [(i, f"t{i}", None, 0, "") for i in range(100)]
+    got = sharding.assign(spark.createDataFrame(rows, DOCS), shards=4).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max("slot").alias("last"), F.count_distinct("slot").alias("slots"), F.sum("size").alias("b")).collect()
+    assert sum(r.n for r in got) == 4600 and all(r.n == r.slots == r.last + 1 for r in got)
+    assert max(r.b for r in got) - min(r.b for r in got) < 1000
+
+
+def test_sharding_places_whole_groups_first(spark):
+    placed, loads = sharding.roomy_shards([(1, 60), (2, 60), (3, 60), (4, 40), (5, 30)], 2, 100)
+    assert placed == {1: 0, 2: 1, 4: 0} | ({5: 1} if loads[1] == 90 else {}) and sum(loads) == 190 and 3 not in placed
+
+
 def test_sharding_subdivides_a_hot_text(spark):
     rows = [(i, "same text" if i % 2 else words(3, i), None, 0, "") for i in range(3000)]
     got = sharding.assign(spark.createDataFrame(rows, DOCS), shards=10).groupBy("shard").agg(F.sum("size").alias("b")).collect()

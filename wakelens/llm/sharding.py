@@ -2,22 +2,28 @@
 
 Rows are ordered by the hash of their text, so copies are neighbours.  A sample
 of keys, drawn with a chance in proportion to the size, gives quantile splitters
-for many small ranges; a text whose copies overfill a range is subdivided by the
-hash of the identifier.  Sizes of the small cells are summed over all rows, and
-a row's place on the line of all bytes decides its shard, so that shards are
-equal in bytes up to a document or a small group of copies.
+for many small ranges; a text whose copies overfill a range, in bytes or in
+rows, is subdivided by the hash of the identifier.  Sizes of the small cells are
+summed over all rows, and a row's place on the line of all bytes decides its
+shard, so that shards are equal in bytes up to a document or a small group.
 
-Groups of equal texts stay in one shard while they hold at most ``group_share``
-of a shard; larger ones are cut, since they would unbalance it.
+Groups of equal texts stay in one shard as long as one has room for them: those
+that hold more than ``group_share`` of a shard, at most ``shards / group_share``
+of them, and those that overfill a range are placed first, the largest into the
+emptiest shard; the line of all others fills what room is left.  Only a group
+that fits into no shard is cut.
 
 Defined cases: a null text is an empty one (16 bytes, checksum 0); ties are
-ordered by identifier and checksum, rows equal in all of that get adjoining
-slots; with fewer rows than shards some shards are empty; an empty table gives
-an empty result.
+ordered by identifier and checksum; rows equal in all of that get adjoining
+slots, unless they overfill a range by themselves: then a written salt
+subdivides them; with fewer rows than shards some shards are empty; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+from heapq import heapify, heapreplace
+from itertools import accumulate
 from math import ceil, isqrt
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,6 +45,18 @@ def sized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     )
 
 
+def roomy_shards(groups: list[tuple[int, int]], shards: int, room: int) -> tuple[dict[int, int], list[int]]:
+    """Whole groups (key, bytes), largest first, into the emptiest shard that has room; loads by shard."""
+    loads, placed = [(0, s) for s in range(shards)], {}
+    heapify(loads)
+    for key, size in sorted(groups, key=lambda g: (-g[1], g[0])):
+        load, shard = loads[0]
+        if load + size <= room:
+            placed[key] = shard
+            heapreplace(loads, (load + size, shard))
+    return placed, [load for load, _ in sorted(loads, key=lambda x: x[1])]
+
+
 def splitters(rows: DataFrame, ranges: int, total: int, per_range: int = 64) -> list[int]:
     """Quantiles of a size-weighted sample of about ``ranges * per_range`` keys."""
     chance = F.col("size") * (ranges * per_range / max(1, total))
@@ -61,24 +79,34 @@ def range_of(key: Column, bounds: list[int]) -> Column:
 
 def assign(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", group_share: float = 0.02, rows_per_range: int = 500_000) -> DataFrame:
     """(id, size, text_crc32, shard, slot): every row's shard and its place there."""
-    rows = cut(sized(df, id_col, text_col))
+    rows = cut(sized(df, id_col, text_col).withColumn("salt", F.monotonically_increasing_id()))
     total, n = rows.agg(F.sum("size"), F.count(F.lit(1))).first()
     total = total or 0
     ranges = max(8 * shards, ceil(n / rows_per_range))
-    target = max(1, total // ranges)
-    # At most ``ranges`` texts can hold more than a range's share.
-    hot = rows.groupBy("key").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > target)
-    hot = hot.select(F.col("key"), F.ceil(F.col("bytes") / target).alias("pieces"))
-    piece = F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("id", F.lit("piece")), F.col("pieces"))).otherwise(F.lit(-1))
-    cells = rows.join(F.broadcast(hot), "key", "left").select(
-        "id", "key", "size", "text_crc32",
+    target, many, room = max(1, total // ranges), max(1, ceil(n / ranges)), ceil(total / shards)
+    # At most twice ``ranges`` texts can hold more than a range's share of bytes or rows.
+    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    full = (F.col("bytes") > target) | (F.col("n") > many)
+    pieces = F.greatest(F.ceil(F.col("bytes") / target), F.ceil(F.col("n") / many))
+    large = cut(groups.where(full | (F.col("bytes") > group_share * total / shards)).select("key", "bytes", F.when(full, pieces).alias("pieces")))
+    kept = large.where(F.col("bytes") <= room).select("key", "bytes").collect()
+    fixed, loads = roomy_shards([(r["key"], r["bytes"]) for r in kept], shards, room)
+    known = df.sparkSession.createDataFrame(list(fixed.items()), "key long, fixed int")
+    hot = large.join(F.broadcast(known), "key", "left").select("key", "pieces", "fixed")
+    # Identifiers that overfill a range by themselves: again at most ``ranges``.
+    same_id = rows.join(F.broadcast(hot.where(F.col("pieces").isNotNull())), "key", "left_semi").groupBy("key", "id").agg(F.count(F.lit(1)).alias("n"))
+    heavy = cut(same_id.where(F.col("n") > many).select(F.col("key").alias("_key"), F.col("id").alias("_id"), F.lit(True).alias("heavy")))
+    spread = F.xxhash64("id", F.lit("piece"), F.when(F.col("heavy"), F.col("salt")))
+    piece = F.when(F.col("pieces").isNotNull(), F.pmod(spread, F.col("pieces"))).otherwise(F.lit(-1))
+    cells = rows.join(F.broadcast(hot), "key", "left").join(F.broadcast(heavy), (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")), "left").select(
+        "id", "key", "size", "text_crc32", "fixed",
         range_of(F.col("key"), splitters(rows, ranges, total)).alias("range"),
         F.when(F.col("pieces").isNotNull(), F.col("key")).alias("hot"),
         piece.alias("piece"),
     )
     place = ["range", "hot", "piece"]
     # One row a cell: at most three times the number of ranges.
-    sums = cells.groupBy(*place).agg(F.sum("size").alias("bytes"))
+    sums = cells.groupBy(*place).agg(F.sum(F.when(F.col("fixed").isNull(), F.col("size")).otherwise(0)).alias("bytes"))
     line = Window.orderBy("range", F.col("hot").asc_nulls_first(), "piece")
     before = sums.select(*[F.col(c).alias(f"_{c}") for c in place], (F.sum("bytes").over(line.rowsBetween(Window.unboundedPreceding, -1))).alias("before"))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in place]
@@ -86,10 +114,13 @@ def assign(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: st
     cell = Window.partitionBy(*place)
     order = ["key", "id", "text_crc32"]
     copies = Window.partitionBy(*place, "key")
-    running = cells.withColumn("end", F.col("before") + F.sum("size").over(cell.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    loose = F.when(F.col("fixed").isNull(), F.col("size")).otherwise(0)
+    running = cells.withColumn("end", F.col("before") + F.sum(loose).over(cell.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     grouped = running.withColumn("first", F.min(F.col("end") - F.col("size")).over(copies)).withColumn("whole", F.sum("size").over(copies))
-    middle = F.when(F.col("hot").isNull() & (F.col("whole") <= group_share * total / shards), F.col("first") + F.col("whole") / 2).otherwise(F.col("end") - F.col("size") / 2)
-    shard = F.least(F.lit(shards - 1), F.floor(middle * shards / max(1, total))).cast("int")
+    small = F.col("hot").isNull() & (F.col("whole") <= group_share * total / shards)
+    middle = F.when(small, F.col("first") + F.col("whole") / 2).otherwise(F.col("end") - F.col("size") / 2)
+    left = list(accumulate(room - load for load in loads))
+    shard = F.coalesce("fixed", F.least(F.lit(shards - 1), range_of(F.floor(middle), left[:-1]))).cast("int")
     placed = cut(grouped.select(*order, "size", *place, shard.alias("shard")))
     counts = placed.groupBy("shard", *place).agg(F.count(F.lit(1)).alias("n"))
     in_shard = Window.partitionBy("shard").orderBy("range", F.col("hot").asc_nulls_first(), "piece").rowsBetween(Window.unboundedPreceding, -1)
