@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
+
 from wakelens.session import shared_folder
 from wakelens.streaming import intake, late
 
@@ -78,3 +80,42 @@ def test_rows_without_time_or_session_are_late(spark):
     assert got == [("a", 0, 10 * SECOND, 1, None, 0)]
     assert gone == [(None, 5 * SECOND, 0.5), ("a", None, 0.5)]
     assert run(spark, [[END]], lambda s: late.sessions(s, gap=SECOND, theta=0.5, delay="5 seconds")) == ([], [])
+
+
+class Held:
+    """A shard's state and timers, which counts how often each is used."""
+
+    def __init__(self):
+        self.value, self.timers, self.writes = None, [], 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value, self.writes = value, self.writes + 1
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.mark
+
+
+def test_a_batch_of_many_sessions_writes_one_state_and_one_timer():
+    rows = pd.DataFrame([(f"s{s}", k * 60 * SECOND, 0.5, "chunk") for s in range(200) for k in range(10)], columns=late.INPUT)
+    for processor in (late.Sliding(0.5, 20 * SECOND, 10 * SECOND), late.Gaps(0.5, 20 * SECOND)):
+        held = Held()
+        held.mark = 0
+        processor.init(held)
+        assert list(processor.handleInputRows((7,), iter([rows[:700], rows[700:]]), held)) == []
+        assert held.writes == 1 and held.timers == [held.timers[0]]
+        held.mark = 10**9
+        closed = pd.concat(processor.handleExpiredTimer((7,), held, None))
+        assert len(closed) == 2000 * (2 if isinstance(processor, late.Sliding) else 1) and set(closed["chunks"]) == {1}
+        assert held.value is None

@@ -1,11 +1,15 @@
 """Event-time windows that hand late rows on instead of losing them.
 
 Spark's own window aggregates drop what comes behind the watermark.  Here a
-session's open windows are map state, an event-time timer closes each, and rows
-that no open window takes leave with ``late`` set, in the same pass.  So every row
+session's open windows are state, an event-time timer closes them, and rows that
+no open window takes leave with ``late`` set, in the same pass.  So every row
 that comes in is counted in at least one window or goes out as a late row.  A row
 without a session or a time is a late row too.  Closed windows equal those of
 ``windows.sliding`` and ``windows.sessions``.
+
+Sessions are dealt over shards by hash.  The open windows of a shard's sessions
+are one table in its state and share one timer, so a batch reads and writes that
+table once a shard, and not an entry and a timer a window.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,64 +36,80 @@ OUTPUT = (
     "chunks long, max_score double, candidates long, late boolean"
 )
 COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
-WINDOW = "last long, chunks long, max_score double, candidates long"
-
-
-def _joined(a: tuple | None, b: tuple) -> tuple:
-    """Two parts of a window as one; a part is (last, chunks, max_score, candidates)."""
-    if a is None:
-        return b
-    scores = [s for s in (a[2], b[2]) if s is not None]
-    return max(a[0], b[0]), a[1] + b[1], max(scores, default=None), a[3] + b[3]
+HELD = {"session": pa.string(), "start": pa.int64(), "last": pa.int64(), "chunks": pa.int64(), "top": pa.float64(), "candidates": pa.int64()}
+JOINED = {"last": ("last", "max"), "chunks": ("chunks", "sum"), "top": ("top", "max"), "candidates": ("candidates", "sum")}
+# Fixed for the life of a checkpoint: a state belongs to its shard.
+SHARDS = 1024
 
 
 class _Windows(StatefulProcessor):
-    """Open windows of one session by their start, in microseconds."""
+    """Open windows of one shard's sessions; times are in microseconds."""
 
     def __init__(self, theta: float) -> None:
         self.theta = theta
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "start long", WINDOW)
+        self.open = handle.getValueState("open", "windows binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
+        # A window over at this watermark but not yet given out takes no more rows.
+        held, over = self._load(passed)
+        if len(over):
+            yield self._closed(over)
         for batch in rows:
             batch = batch[(batch["kind"] != END).fillna(True)]
             if not len(batch):
                 continue
-            timed = batch["t"].notna().to_numpy() & (key[0] is not None)
+            timed = (batch["t"].notna() & batch["session"].notna()).to_numpy()
             t = batch["t"].fillna(0).astype("int64").to_numpy()
             closed = (self._ends_last(t) // 1000 <= passed) & (passed > 0)
             late = batch[~timed | closed]
             if len(late):
                 out = pd.DataFrame({c: None for c in COLUMNS}, index=late.index)
                 out["t"], out["score"] = late["t"].astype("Int64"), late["score"]
-                out["session"], out["late"] = key[0], True
+                out["session"], out["late"] = late["session"], True
                 yield out
             live = timed & ~closed
-            self._take(t[live], batch["score"].to_numpy(dtype=float, na_value=np.nan)[live], passed)
+            scores = batch["score"].to_numpy(dtype=float, na_value=np.nan)[live]
+            ones = {"session": batch["session"].to_numpy()[live], "last": t[live], "chunks": 1, "top": scores, "candidates": (scores >= self.theta).astype("int64")}
+            held = self._taken(held, pd.DataFrame(ones), passed)
+        self._store(held)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        held = [(start, tuple(value)) for (start,), value in self.open.iterator()]
-        over = [(start, v) for start, v in held if self._end(start, v) // 1000 <= passed]
-        for start, _ in over:
-            self.open.removeKey((start,))
-        if over:
-            rows = [(key[0], None, None, start, self._end(start, v), *v[1:], False) for start, v in sorted(over)]
-            yield pd.DataFrame(rows, columns=COLUMNS)
-
-    def _store(self, start: int, value: tuple) -> None:
-        self.open.updateValue((start,), value)
-        self.handle.registerTimer(self._end(start, value) // 1000)
-
-    def _parts(self, starts: np.ndarray, t: np.ndarray, scores: np.ndarray) -> Iterator[tuple[int, tuple]]:
-        frame = pd.DataFrame({"start": starts, "t": t, "score": scores, "hit": scores >= self.theta})
-        sums = frame.groupby("start").agg(last=("t", "max"), n=("t", "size"), top=("score", "max"), hits=("hit", "sum"))
-        for start, last, n, top, hits in sums.itertuples():
-            yield int(start), (int(last), int(n), None if top != top else float(top), int(hits))
+        held, over = self._load(timerValues.getCurrentWatermarkInMs())
+        if len(over):
+            yield self._closed(over)
+        self._store(held)
+
+    def _load(self, passed: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """The shard's windows, those still open and those over at the watermark."""
+        value = self.open.get()
+        if value is None:
+            empty = pa.schema(list(HELD.items())).empty_table().to_pandas()
+            return empty, empty
+        windows = pa.ipc.open_stream(bytes(value[0])).read_pandas()
+        over = (self._ends(windows) // 1000 <= passed).to_numpy() & (passed > 0)
+        return windows[~over], windows[over]
+
+    def _store(self, held: pd.DataFrame) -> None:
+        if not len(held):
+            self.open.clear()
+            return
+        table = pa.Table.from_pandas(held, schema=pa.schema(list(HELD.items())), preserve_index=False)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        self.open.update((sink.getvalue().to_pybytes(),))
+        self.handle.registerTimer(int(self._ends(held).min()) // 1000)
+
+    def _closed(self, over: pd.DataFrame) -> pd.DataFrame:
+        over = over.sort_values(["session", "start"])
+        out = pd.DataFrame({c: None for c in COLUMNS}, index=over.index)
+        out["session"], out["window_start"], out["window_end"] = over["session"], over["start"], self._ends(over)
+        out["chunks"], out["max_score"], out["candidates"], out["late"] = over["chunks"], over["top"], over["candidates"], False
+        return out
 
     def close(self) -> None:
         pass
@@ -104,16 +125,17 @@ class Sliding(_Windows):
     def _ends_last(self, t: np.ndarray) -> np.ndarray:
         return t // self.slide * self.slide + self.size
 
-    def _end(self, start: int, value: tuple) -> int:
-        return start + self.size
+    def _ends(self, windows: pd.DataFrame) -> pd.Series:
+        return windows["start"] + self.size
 
-    def _take(self, t: np.ndarray, scores: np.ndarray, passed: int) -> None:
+    def _taken(self, held: pd.DataFrame, rows: pd.DataFrame, passed: int) -> pd.DataFrame:
+        parts = [held]
         for back in range(0, self.size, self.slide):
-            starts = t // self.slide * self.slide - back
-            inside = (t < starts + self.size) & (((starts + self.size) // 1000 > passed) | (passed <= 0))
-            for start, part in self._parts(starts[inside], t[inside], scores[inside]):
-                held = self.open.getValue((start,)) if self.open.containsKey((start,)) else None
-                self._store(start, _joined(None if held is None else tuple(held), part))
+            part = rows.assign(start=rows["last"] // self.slide * self.slide - back)
+            ends = part["start"] + self.size
+            parts.append(part[(part["last"] < ends) & ((ends // 1000 > passed) | (passed <= 0))])
+        every = pd.concat([p for p in parts if len(p)] or [held])
+        return every.groupby(["session", "start"], sort=False, as_index=False).agg(**JOINED)
 
 
 class Gaps(_Windows):
@@ -126,36 +148,24 @@ class Gaps(_Windows):
     def _ends_last(self, t: np.ndarray) -> np.ndarray:
         return t + self.gap
 
-    def _end(self, start: int, value: tuple) -> int:
-        return value[0] + self.gap
+    def _ends(self, windows: pd.DataFrame) -> pd.Series:
+        return windows["last"] + self.gap
 
-    def _take(self, t: np.ndarray, scores: np.ndarray, passed: int) -> None:
-        if not len(t):
-            return
-        order = np.argsort(t, kind="stable")
-        t, scores = t[order], scores[order]
-        fresh = np.append(True, np.diff(t) >= self.gap)
-        runs = [(start, part, False) for start, part in self._parts(t[fresh][np.cumsum(fresh) - 1], t, scores)]
-        # A run over at this watermark but not yet given out takes no more rows.
-        for (start,), value in list(self.open.iterator()):
-            if self._end(start, value) // 1000 > passed or passed <= 0:
-                runs.append((start, tuple(value), True))
-                self.open.removeKey((start,))
-        merged: list[list] = []
-        for start, part, _ in sorted(runs):
-            if merged and start < merged[-1][1][0] + self.gap:
-                merged[-1][1] = _joined(merged[-1][1], part)
-            else:
-                merged.append([start, part])
-        for start, part in merged:
-            self._store(start, part)
+    def _taken(self, held: pd.DataFrame, rows: pd.DataFrame, passed: int) -> pd.DataFrame:
+        every = pd.concat([p for p in (held, rows.assign(start=rows["last"])) if len(p)] or [held])
+        every = every.sort_values(["session", "start"], ignore_index=True)
+        reach = every.groupby("session", sort=False)["last"].cummax().shift() + self.gap
+        fresh = (every["session"] != every["session"].shift()) | (every["start"] >= reach)
+        runs = every.groupby(fresh.cumsum().to_numpy(), sort=False)
+        return runs.agg(session=("session", "first"), start=("start", "first"), **JOINED)
 
 
 def _windowed(rows: DataFrame, processor: _Windows, delay: str) -> DataFrame:
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     timed = rows.select(*INPUT, F.timestamp_micros("t").alias("_at")).withWatermark("_at", delay)
     # Without the time column the engine filters nothing: late rows reach the processor.
-    return timed.select(*INPUT).groupBy("session").transformWithStateInPandas(processor, OUTPUT, "Append", "EventTime")
+    dealt = timed.select(F.pmod(F.hash("session"), F.lit(SHARDS)).alias("_shard"), *INPUT)
+    return dealt.groupBy("_shard").transformWithStateInPandas(processor, OUTPUT, "Append", "EventTime")
 
 
 def sliding(rows: DataFrame, *, size: int, slide: int, theta: float, delay: str) -> DataFrame:
