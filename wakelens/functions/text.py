@@ -31,9 +31,6 @@ OBJECT_REPR_PATTERNS = (
     r"(?s)\blanguage\s*=.+\btext\s*=",
 )
 
-ASCII_ONLY = r"^[\x00-\x7f]*$"
-
-
 def any_of(*conditions: Column) -> Column:
     out = conditions[0]
     for condition in conditions[1:]:
@@ -67,20 +64,20 @@ def match_form(text: Column) -> Column:
 
 def nfkc(text: Column) -> Column:
     """NFKC; pure ASCII rows are passed through without leaving the JVM."""
-    ascii_only = text.rlike(ASCII_ONLY)
+    ascii_only = F.octet_length(text) == F.length(text)
     return F.when(ascii_only, text).otherwise(nfkc_udf(F.when(~ascii_only, text)))
 
 
 def _plain_apostrophes(text: Column) -> Column:
-    return F.translate(text, APOSTROPHES, "'" * len(APOSTROPHES))
+    return F.regexp_replace(text, f"[{APOSTROPHES}]", "'")
 
 
 def scoring_form(text: Column, *, normalise: bool = True) -> Column:
     """Word-error normaliser: only a-z, 0-9 and word-internal apostrophes."""
     base = _plain_apostrophes(nfkc(text) if normalise else text)
-    lowered = F.lower(F.replace(base, F.lit("-"), F.lit(" ")))
-    inner = F.regexp_replace(lowered, r"(?<![a-z0-9])'|'(?![a-z0-9])", " ")
-    return collapse(F.regexp_replace(inner, r"(?U)[^a-z0-9'\s]", " "))
+    inner = F.regexp_replace(F.lower(base), r"'(?:(?![a-z0-9])|(?<![a-z0-9]'))", " ")
+    # Every other character, white space included, becomes a space: one run, one space.
+    return F.trim(F.regexp_replace(F.coalesce(inner, F.lit("")), r"[^a-z0-9']+", " "))
 
 
 def raw_scoring_form(text: Column, *, normalise: bool = True) -> Column:

@@ -8,19 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.alignment import word_edits
+from ..functions.alignment import char_distance, word_edits
 from ..functions.numeric import ratio
 
 
 def aligned(rows: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
     """Add substitutions, deletions, insertions and reference words per row.
 
-    Everything stays in the JVM; equal pairs are not aligned.
+    Pairs are aligned by the batch; of equal pairs no text is sent.
     """
     same = F.col(reference) == F.col(hypothesis)
     counts = word_edits(F.when(~same, F.col(reference)), F.when(~same, F.col(hypothesis)))
-    # Behind an array, so that the alignment is not repeated for every field taken from it.
-    staged = rows.withColumn("_align", F.explode(F.array(counts)))
+    staged = rows.withColumn("_align", counts)
     return staged.withColumns(
         {
             **{c: F.col(f"_align.{c}") for c in ("substitutions", "deletions", "insertions")},
@@ -62,7 +61,7 @@ def exact_rates(rows: DataFrame, keys: Sequence[str], reference: str = "referenc
 
 def character_errors(rows: DataFrame, keys: Sequence[str], reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
     ref, hyp = tx.collapse(F.col(reference)), tx.collapse(F.col(hypothesis))
-    staged = rows.select(*keys, F.levenshtein(ref, hyp).alias("_e"), F.length(ref).alias("_c"))
+    staged = rows.select(*keys, char_distance(ref, hyp).alias("_e"), F.length(ref).alias("_c"))
     out = staged.rollup(*keys).agg(
         F.sum("_e").cast("long").alias("character_edits"), F.sum("_c").cast("long").alias("reference_characters")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import order_key
+from ..session import cut
 from .ranking import first_rows, numbered
 
 
@@ -96,8 +97,10 @@ def smoke_subset(rows: DataFrame, speaker: str, duration: str, key: str, *, coun
     """The median-duration row of each speaker, filled from interleaved bins.
 
     The middle row is found through per-bucket running counts; the fill takes
-    round-robin from three duration-interleaved bins in hash order.
+    round-robin from three duration-interleaved bins in hash order.  The rows
+    are read several times, so they are written once.
     """
+    rows = cut(rows)
     step = F.floor(F.col(duration) * 4)
     order = [F.col(duration).asc(), F.col(key).asc()]
     ranked = numbered(rows, [speaker], order, step, "_rank")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.alignment import char_distance
 from ..functions.transcripts import extract_transcript
 from ..operators import asr
 from ..operators import manifest as mf
@@ -266,7 +267,7 @@ SELECT count(*) FILTER (WHERE ia AND ib) AS common_successes, count(*) FILTER (W
 )
 def _jn7(spark, sf_dir):
     """JN7: two runs compared by character edits on shared ids."""
-    a, b = (r.withColumn("err", F.levenshtein("reference", "hypothesis")) for r in runs(spark, sf_dir))
+    a, b = (r.withColumn("err", char_distance(F.col("reference"), F.col("hypothesis"))) for r in runs(spark, sf_dir))
     return asr.comparison_summary(asr.paired_runs(a, b, ["err"]), "base_err", "cand_err")
 
 
@@ -352,7 +353,7 @@ def _set2(spark, sf_dir):
 )
 def _srt3(spark, sf_dir):
     """SRT3: the hundred worst utterances."""
-    run = asr.successes(one_run(spark, sf_dir)).withColumn("edits", F.levenshtein("reference", "hypothesis"))
+    run = asr.successes(one_run(spark, sf_dir)).withColumn("edits", char_distance(F.col("reference"), F.col("hypothesis")))
     return asr.worst(run.select("id", "speaker", "edits"), "edits", "id", 100)
 
 
