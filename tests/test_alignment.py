@@ -44,3 +44,12 @@ def test_smoke_subset_reads_its_rows_once(spark):
     rows = rows.mapInPandas(visit, rows.schema)
     assert len(sm.smoke_subset(rows, "speaker", "duration_sec", "id", count=20).collect()) == 20
     assert seen.value == 300
+
+
+def test_owned_clips_carry_only_what_is_asked_for(spark):
+    from wakelens.plans import bindings
+
+    plan = lambda *names: bindings.owned_clips(spark, "/root/testdata/sf0.001", *names)._jdf.queryExecution().executedPlan().toString()
+    counted = plan("label", "prompt_group")
+    assert not any(c in counted for c in ("l_shipdate", "l_extendedprice", "sha2", "concat_ws"))
+    assert "l_suppkey" in plan("phrase_id") and "l_quantity" not in plan("phrase_id")

@@ -51,7 +51,8 @@ def stratified_cap(clips: DataFrame, unit: str, prompt: str, phrase: str, clip:
     strata = [unit, prompt, phrase]
     counts = clips.groupBy(*strata).agg(F.count(F.lit(1)).alias("c"))
     quotas = stratum_allocation(counts, unit, prompt, phrase, cap)
-    key = order_key(seed, F.col(unit), F.col(prompt), F.col(phrase), F.col(clip))
+    # As bytes the hash sorts as in hex and takes half the room.
+    key = F.unhex(order_key(seed, F.col(unit), F.col(prompt), F.col(phrase), F.col(clip)))
     best = first_rows(clips.withColumn("_key", key), strata, [F.col("_key"), F.col(clip)], cap, "_rank")
     joined = best.join(quotas.select(*strata, "quota"), strata)
     return joined.where(F.col("_rank") <= F.col("quota")).drop("_key", "_rank", "quota")

@@ -11,7 +11,7 @@ from ..operators import metrics as mt
 from ..operators import sampling as sm
 from ..operators import splits as sp
 from ..session import cut
-from .bindings import CASCADE_SQL, GROUPS, STAR_SQL, WINDOWS_SQL, clips, participants, table, window_table, windows, with_ctes
+from .bindings import CASCADE_SQL, GROUPS, STAR_SQL, WINDOWS_SQL, clips, owned_clips, participants, table, window_table, windows, with_ctes
 from .registry import counts_sql, metric_sql, plan
 from .scoring import W, cascaded
 
@@ -42,15 +42,6 @@ ONE_ROW_SQL = """oc AS (SELECT * FROM clips QUALIFY row_number() OVER (PARTITION
 oo AS (SELECT oc.*, o_custkey AS alias FROM oc JOIN orders ON o_orderkey = session_id)"""
 
 
-def owned_clips(spark, sf_dir):
-    """First row of each clip id with its participant, written once."""
-    rows = clips(spark, sf_dir)
-    rest = [c for c in rows.columns if c not in ("clip_id", "ingest")]
-    firsts = rows.groupBy("clip_id").agg(F.min_by(F.struct(*rest), "ingest").alias("_c")).select("clip_id", "_c.*")
-    owners = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_custkey").alias("alias"))
-    return cut(firsts.join(owners, "session_id"))
-
-
 @plan(
     "agg11_participant_statistics",
     S
@@ -65,7 +56,8 @@ FROM oo JOIN hh USING (alias) GROUP BY alias""",
 )
 def _agg11(spark, sf_dir):
     """AGG11: participant statistics."""
-    return mf.participant_statistics(owned_clips(spark, sf_dir), "alias", content="content_hash", session="session_id", groups=GROUPS)
+    rows = cut(owned_clips(spark, sf_dir, "clip_id", "session_id", "label", "prompt_group", "content", "duration_sec"))
+    return mf.participant_statistics(rows, "alias", content="content", session="session_id", groups=GROUPS)
 
 
 @plan(
@@ -74,7 +66,7 @@ def _agg11(spark, sf_dir):
 )
 def _agg11_phrases(spark, sf_dir):
     """AGG11: hard-negative phrase counters in long form."""
-    return mf.phrase_counts(owned_clips(spark, sf_dir), "alias", "prompt_group", GROUPS["P4"], "phrase_id")
+    return mf.phrase_counts(owned_clips(spark, sf_dir, "prompt_group", "phrase_id"), "alias", "prompt_group", GROUPS["P4"], "phrase_id")
 
 
 @plan(
@@ -268,7 +260,8 @@ capped AS (SELECT rk.* FROM rk JOIN c5 USING ({unit}, prompt_group, phrase_id) W
 @plan("win8_stratified_cap", S + f", {ONE_ROW_SQL}, {cap_sql('oo', 'alias', 'clip_id')} SELECT alias, clip_id, prompt_group, phrase_id FROM capped")
 def _win8(spark, sf_dir):
     """WIN8: stratified cap per participant."""
-    out = sm.stratified_cap(owned_clips(spark, sf_dir), "alias", "prompt_group", "phrase_id", "clip_id", cap=CAP)
+    rows = cut(owned_clips(spark, sf_dir, "clip_id", "prompt_group", "phrase_id"))
+    out = sm.stratified_cap(rows, "alias", "prompt_group", "phrase_id", "clip_id", cap=CAP)
     return out.select("alias", "clip_id", "prompt_group", "phrase_id")
 
 
@@ -281,7 +274,7 @@ SELECT alias, a.n AS clips_before, b.n AS clips_after, b.p AS positive_after, b.
 )
 def _win8_report(spark, sf_dir):
     """WIN8: clips before and after the cap."""
-    rows = owned_clips(spark, sf_dir)
+    rows = cut(owned_clips(spark, sf_dir, "clip_id", "prompt_group", "phrase_id", "label"))
     after = sm.stratified_cap(rows, "alias", "prompt_group", "phrase_id", "clip_id", cap=CAP)
     return sm.cap_report(rows, after, "alias")
 
@@ -316,7 +309,7 @@ MEASURES = ", ".join(f"CAST(sum({m}) AS BIGINT) AS {m}" for m in cv.WEIGHTS)
 
 
 def vectors(spark, sf_dir):
-    return cv.participant_vectors(owned_clips(spark, sf_dir), "alias", GROUPS)
+    return cv.participant_vectors(owned_clips(spark, sf_dir, "label", "prompt_group"), "alias", GROUPS)
 
 
 @plan("cv1_participant_vectors", S + f", {ONE_ROW_SQL}, {VECTORS_SQL} SELECT * FROM pv")
@@ -335,14 +328,14 @@ SELECT round("""
 )
 def _cv2(spark, sf_dir):
     """CV2: imbalance of the serpentine folds."""
-    placed = cv.serpentine_folds(vectors(spark, sf_dir), "alias")
+    placed = cv.serpentine_folds(cut(vectors(spark, sf_dir)), "alias")
     return cv.fold_objective(cv.fold_statistics(placed), 5)
 
 
 @plan("cv3_serpentine_folds", S + f", {ONE_ROW_SQL}, {VECTORS_SQL}, {SNAKE_SQL} SELECT alias, clips, positive, fold FROM sf")
 def _cv3(spark, sf_dir):
     """CV3: fast fold assignment by size."""
-    return cv.serpentine_folds(vectors(spark, sf_dir), "alias").select("alias", "clips", "positive", "fold")
+    return cv.serpentine_folds(cut(vectors(spark, sf_dir)), "alias").select("alias", "clips", "positive", "fold")
 
 
 STARTS = 20
@@ -360,7 +353,7 @@ SELECT fold, {", ".join(cv.WEIGHTS)} FROM gs WHERE start = (SELECT start FROM os
 )
 def _cv3_multistart(spark, sf_dir):
     """CV3: best of 20 seeded snakes, summed per fold; the greedy placement is udf4_greedy_folds."""
-    return cv.fold_statistics(cv.multistart_folds(vectors(spark, sf_dir), "alias", starts=STARTS))
+    return cv.fold_statistics(cv.multistart_folds(cut(vectors(spark, sf_dir)), "alias", starts=STARTS))
 
 
 MN = list(cv.WEIGHTS)
@@ -405,8 +398,8 @@ SELECT 'content_hash', count(*), count(*) = 0 FROM (SELECT content_hash FROM cf
 )
 def _cv4(spark, sf_dir):
     """CV4: unique membership and contents that cross folds."""
-    rows = owned_clips(spark, sf_dir)
-    placed = cv.serpentine_folds(cv.participant_vectors(rows, "alias", GROUPS), "alias").select("alias", "fold")
+    rows = cut(owned_clips(spark, sf_dir, "label", "prompt_group", "content").withColumnRenamed("content", "content_hash"))
+    placed = cv.serpentine_folds(cut(cv.participant_vectors(rows, "alias", GROUPS)), "alias").select("alias", "fold")
     return mf.leakage_summary(rows.join(placed, "alias"), ["alias", "content_hash"], "fold")
 
 
