@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
+from wakelens.functions import text as tx
 from wakelens.functions.alignment import char_distance
 from wakelens.operators import sampling as sm
 
@@ -53,3 +55,16 @@ def test_owned_clips_carry_only_what_is_asked_for(spark):
     counted = plan("label", "prompt_group")
     assert not any(c in counted for c in ("l_shipdate", "l_extendedprice", "sha2", "concat_ws"))
     assert "l_suppkey" in plan("phrase_id") and "l_quantity" not in plan("phrase_id")
+
+
+def test_scoring_forms_search_no_negated_class(spark):
+    rng = random.Random(7)
+    letters = [chr(i) for i in range(128)] + list("aaabz09''  \u00e4\u00df\u00a0\u0085\u2003\u4e2d\U0001f600")
+    texts = ["".join(rng.choices(letters, k=rng.choice([0, 1, 2, 7, 200]))) for _ in range(300)] + ["", " ", "''", "a", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", tx.parity_form(F.col("t")).alias("p"), tx.scoring_form(F.col("t"), normalise=False).alias("s"))
+    assert "[^a-z0-9']" not in df._jdf.queryExecution().toString()
+    for k, parity, scoring in df.collect():
+        lowered = "".join(c.lower() if c.isascii() else c for c in texts[k] or "")
+        assert parity == re.sub("[^a-z0-9']+", " ", lowered).strip(" "), k
+        inner = re.sub("'(?:(?![a-z0-9])|(?<![a-z0-9]'))", " ", lowered.replace("`", "'"))
+        assert scoring == re.sub("[^a-z0-9']+", " ", inner).strip(" "), k

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 
@@ -13,6 +14,41 @@ from pyspark.sql import types as T
 # Ship these helpers inside the task closure, so executors need no install.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Apostrophe look-alikes that score as a plain apostrophe.
+APOSTROPHES = "‘’‛′ʼ`"
+
+_KEPT = b"abcdefghijklmnopqrstuvwxyz0123456789'"
+_SPACED = bytes(i if i in _KEPT else ord(" ") for i in range(256))
+_OUTER_APOSTROPHE = re.compile(rb"'(?:(?![a-z0-9])|(?<![a-z0-9]'))")
+
+
+def _spaced(text: str) -> bytes:
+    """Lower case; every character but a-z, 0-9 and the apostrophe is a space."""
+    return text.lower().encode("ascii", "replace").translate(_SPACED)
+
+
+def _squeezed(spaced: bytes) -> str:
+    return b" ".join(spaced.split()).decode("ascii")
+
+
+def _scored(text: str | None, normalise: bool) -> str:
+    text = unicodedata.normalize("NFKC", text or "") if normalise else text or ""
+    for mark in APOSTROPHES:
+        text = text.replace(mark, "'")
+    spaced = _spaced(text)
+    return _squeezed(_OUTER_APOSTROPHE.sub(b" ", spaced) if b"'" in spaced else spaced)
+
+
+@F.pandas_udf(T.StringType())
+def scoring_udf(text: pd.Series, normalise: pd.Series) -> pd.Series:
+    return pd.Series([_scored(*pair) for pair in zip(text, normalise)], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def parity_udf(text: pd.Series) -> pd.Series:
+    return pd.Series([_squeezed(_spaced(t or "")) for t in text], dtype=object)
+
+
 @F.pandas_udf(T.StringType())
 def nfkc_udf(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
@@ -26,7 +62,6 @@ TRANSCRIPT = T.StructType(
 def nested_transcript(fields: tuple, repr_patterns: tuple, max_depth: int):
     """Arrow function for results nested deeper than the column form reaches."""
     import json
-    import re
 
     bad = [re.compile(p) for p in repr_patterns]
 

@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrow import nfkc_udf
-
-# Apostrophe look-alikes that score as a plain apostrophe.
-APOSTROPHES = "‘’‛′ʼ`"
+from .arrow import APOSTROPHES, nfkc_udf, parity_udf, scoring_udf
 
 # Tokens that must not appear in recognition targets.
 LABEL_TOKENS = (
@@ -74,10 +71,7 @@ def _plain_apostrophes(text: Column) -> Column:
 
 def scoring_form(text: Column, *, normalise: bool = True) -> Column:
     """Word-error normaliser: only a-z, 0-9 and word-internal apostrophes."""
-    base = _plain_apostrophes(nfkc(text) if normalise else text)
-    inner = F.regexp_replace(F.lower(base), r"'(?:(?![a-z0-9])|(?<![a-z0-9]'))", " ")
-    # Every other character, white space included, becomes a space: one run, one space.
-    return F.trim(F.regexp_replace(F.coalesce(inner, F.lit("")), r"[^a-z0-9']+", " "))
+    return scoring_udf(text, F.lit(normalise))
 
 
 def raw_scoring_form(text: Column, *, normalise: bool = True) -> Column:
@@ -85,7 +79,7 @@ def raw_scoring_form(text: Column, *, normalise: bool = True) -> Column:
 
 
 def parity_form(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9']+", " "))
+    return parity_udf(text)
 
 
 def asr_target(text: Column, keyword: str, language: str = "English") -> Column:
