@@ -68,3 +68,33 @@ def test_scoring_forms_search_no_negated_class(spark):
         assert parity == re.sub("[^a-z0-9']+", " ", lowered).strip(" "), k
         inner = re.sub("'(?:(?![a-z0-9])|(?<![a-z0-9]'))", " ", lowered.replace("`", "'"))
         assert scoring == re.sub("[^a-z0-9']+", " ", inner).strip(" "), k
+
+
+def test_config_search_scores_clips_with_the_same_windows_once(spark):
+    from wakelens.operators import config_search as cf
+
+    clips = [("a", k % 2, k % 5, [(1, 0.9, 0.5, 0.3), (2, 0.4, 0.1, 0.9)][: k % 3] or None) for k in range(600)]
+    schema = "variant string, label int, fold int, tried array<struct<rank:int,stage2_score:double,l1:double,l2:double>>"
+    found = spark.createDataFrame(clips, schema)
+    seen = spark.sparkContext.accumulator(0)
+    coded, plain = cf.coded_scores, {}
+
+    def counting(candidates, grid, keep):
+        seen.add(candidates.count())
+        plain["rows"] = coded(candidates, grid, keep).groupBy("config", "label", "fold", "score").agg(F.sum("clips").alias("n")).collect()
+        return coded(candidates, grid, keep)
+
+    cf.coded_scores = counting
+    try:
+        roles = lambda df: df.withColumn("role", F.explode(F.array(F.lit("dev"), F.lit("test"))))
+        out = cf.search(found, cf.config_grid(), roles).collect()
+    finally:
+        cf.coded_scores = coded
+    assert len(out) == 52 and seen.value == 30
+    grid = cf.config_grid()
+    for code, (k, a, b, g) in enumerate(grid):
+        want = {}
+        for _, label, fold, tried in clips:
+            score = max(((a * t[3] + b * t[2]) if g else t[1] for t in (tried or [])[:k]), default=-1e9)
+            want[label, fold, score] = want.get((label, fold, score), 0) + 1
+        assert {(r.label, r.fold, r.score): r.n for r in plain["rows"] if r.config == code} == want

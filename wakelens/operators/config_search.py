@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import logit
 from ..session import cut
 from .cascade import NO_CANDIDATE, top_candidates
-from .metrics import COUNTS, score_histogram, with_rates
+from .metrics import COUNTS, with_rates
 from .thresholds import safe_f1, sweep_histogram
 
 # The searched depths and fusion weights.
@@ -61,15 +61,55 @@ def configured_scores(candidates: DataFrame, grid: list[tuple[int, float, float,
 CONFIG = ["variant", "top_k", "fusion_a", "fusion_b", "use_logit"]
 
 
-def search(scored: DataFrame, roles: Callable[[DataFrame], DataFrame], preferred: float = 0.01, allowed: float = 0.02) -> DataFrame:
+def coded_scores(candidates: DataFrame, grid: list[tuple[int, float, float, bool]], keep: list[str]) -> DataFrame:
+    """``configured_scores`` with the place in the grid as ``config``.
+
+    ``tried`` is in rank order.  Windows are fused once for all depths of a
+    weight pair; a depth takes the best of the first ones.
+    """
+    fusions: dict[tuple[float, float, bool], list[Column]] = {}
+    for code, (k, *fusion) in enumerate(grid):
+        depth = F.struct(F.lit(code).alias("config"), F.lit(k).alias("top_k"))
+        fusions.setdefault(tuple(fusion), []).append(depth)
+    names = ("fusion_a", "fusion_b", "use_logit")
+    items = [
+        F.struct(*[F.lit(v).alias(n) for n, v in zip(names, fusion)], F.array(*depths).alias("depths"))
+        for fusion, depths in fusions.items()
+    ]
+    each = candidates.select(*keep, "tried", F.inline(F.array(*items)))
+
+    def one(t):
+        fused = F.col("fusion_a") * t["l2"] + F.col("fusion_b") * t["l1"]
+        return F.when(F.col("use_logit"), fused).otherwise(t["stage2_score"])
+
+    def best(depth):
+        top = F.array_max(F.slice("fused", F.lit(1), depth["top_k"]))
+        return F.struct(depth["config"].alias("config"), F.coalesce(top, F.lit(NO_CANDIDATE)).alias("score"))
+
+    fused = each.select(*keep, F.transform("tried", one).alias("fused"), "depths")
+    return fused.select(*keep, F.inline(F.transform("depths", best)))
+
+
+def search(
+    candidates: DataFrame,
+    grid: list[tuple[int, float, float, bool]],
+    roles: Callable[[DataFrame], DataFrame],
+    preferred: float = 0.01,
+    allowed: float = 0.02,
+) -> DataFrame:
     """Threshold per (configuration, fold) on dev, pooled dev and test metrics.
 
-    ``scored`` has the configuration columns, fold, label and score; ``roles``
+    ``candidates`` has variant, fold, label and the tried windows; ``roles``
     maps rows with a fold to rows with (fold, role).  Everything after the
-    first aggregate works on the score histogram, not on clips.
+    first aggregate works on the score histogram, not on clips, and knows a
+    configuration by its place in the grid until the pooled counts.
     """
-    keys = [*CONFIG, "fold"]
-    histogram = cut(roles(score_histogram(scored, keys, "label", "score")))
+    keys = ["variant", "config", "fold"]
+    # Clips with the same windows, or with none, score alike: they are scored once.
+    kinds = candidates.groupBy("variant", "label", "fold", F.sort_array("tried").alias("tried")).agg(F.count(F.lit(1)).alias("clips"))
+    scored = coded_scores(kinds, grid, ["variant", "label", "fold", "clips"])
+    of = lambda label: F.sum(F.when(F.col("label") == label, F.col("clips")).otherwise(0))
+    histogram = roles(cut(scored.groupBy(*keys, "score").agg(of(1).alias("pos"), of(0).alias("neg"))))
     dev = histogram.where(F.col("role") == "dev").drop("role")
     curve = sweep_histogram(dev, keys, grid=401, span="data", bucket=F.floor("score"), floor=-1.0e8)
     chosen = safe_f1(curve, keys, preferred, allowed).select(*keys, "threshold")
@@ -82,7 +122,7 @@ def search(scored: DataFrame, roles: Callable[[DataFrame], DataFrame], preferred
     }
     pooled = (
         histogram.join(chosen, keys, "left")
-        .groupBy(*CONFIG)
+        .groupBy("variant", "config")
         .agg(
             *[
                 F.sum(F.when(F.col("role") == role, F.coalesce(cells[c], F.lit(0))).otherwise(0)).alias(f"{role}_{c}")
@@ -91,6 +131,8 @@ def search(scored: DataFrame, roles: Callable[[DataFrame], DataFrame], preferred
             ]
         )
     )
+    named = F.element_at(config_array(grid), F.col("config") + 1)
+    pooled = pooled.withColumn("_c", named).select("variant", "_c.*", *[c for c in pooled.columns if c not in ("variant", "config")])
     shown = ("recall", "false_positive_rate", "precision", "f1")
     rated = with_rates(with_rates(pooled, "dev_", shown), "test_", shown)
     fpr = F.col("dev_false_positive_rate")

@@ -222,9 +222,8 @@ def _win16(spark, sf_dir):
 
 
 def searched(spark, sf_dir):
-    grid = cf.config_grid()
     found = cf.clip_candidates(both_variants(spark, sf_dir), 0.4, 8, ["variant", "clip_id"], ["label", "fold"])
-    return cf.search(cf.configured_scores(found, grid, ["variant", "label", "fold"]), roles)
+    return cf.search(found, cf.config_grid(), roles)
 
 
 SEARCH_SQL = f"""{VARIANTS_SQL},
