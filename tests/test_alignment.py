@@ -98,3 +98,45 @@ def test_config_search_scores_clips_with_the_same_windows_once(spark):
             score = max(((a * t[3] + b * t[2]) if g else t[1] for t in (tried or [])[:k]), default=-1e9)
             want[label, fold, score] = want.get((label, fold, score), 0) + 1
         assert {(r.label, r.fold, r.score): r.n for r in plain["rows"] if r.config == code} == want
+
+
+def test_config_search_counts_exact_scores_in_few_bins_only(spark):
+    from pyspark.sql import DataFrame
+
+    from wakelens.operators import config_search as cf
+    from wakelens.operators.thresholds import safe_f1, sweep_histogram
+
+    rng = random.Random(5)
+    rows = []
+    for k in range(4000):
+        label, fold = rng.randrange(2), rng.randrange(4)
+        # Folds: separable, mixed, without negatives, and (in part) without windows.
+        lift = (3.0 * label, 0.3 * label, 0.0, 1.0 * label)[fold]
+        tried = [(r + 1, rng.random(), rng.gauss(0, 2), rng.gauss(lift, 1)) for r in range(rng.randrange(4))]
+        rows.append(("ab"[k % 2], 1 if fold == 2 else label, fold, tried if fold < 3 or k % 2 else []))
+    schema = "variant string, label int, fold int, tried array<struct<rank:int,stage2_score:double,l1:double,l2:double>>"
+    found = spark.createDataFrame(rows, schema)
+    grid = cf.config_grid()[:9]
+    roles = lambda df: df.withColumn("role", F.explode(F.array(F.lit("dev"), F.lit("test"))))
+    written, cut = [], cf.cut
+
+    def counting(df: DataFrame) -> DataFrame:
+        out = cut(df)
+        written.append((df.columns, out.count()))
+        return out
+
+    cf.cut = counting
+    try:
+        out = cf.search(found, grid, roles).collect()
+    finally:
+        cf.cut = cut
+    kinds = found.withColumn("clips", F.lit(1))
+    scores = cf.coded_scores(kinds, grid, ["variant", "label", "fold", "clips"]).withColumns({"pos": F.col("label").cast("long"), "neg": 1 - F.col("label").cast("long")})
+    histogram = cut(scores.groupBy("variant", "config", "fold", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    assert sum(n for columns, n in written if "score" in columns) < histogram.count() / 4
+    keys = ["variant", "config", "fold"]
+    best = safe_f1(sweep_histogram(histogram, keys, grid=401, span="data", bucket=F.floor("score"), floor=-1.0e8), keys)
+    hits = histogram.join(best.select(*keys, "threshold"), keys, "left").withColumn("hit", F.col("score") >= F.coalesce("threshold", F.lit(0.5)))
+    totals = hits.groupBy("variant", "config").agg(*[F.sum(F.when(F.col("hit"), F.col(c)).otherwise(0)).alias(c) for c in ("pos", "neg")], F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    want = {(r.variant, *grid[r.config]): (r.pos / r.p, r.neg / r.n) for r in totals.collect()}
+    assert {tuple(r[c] for c in cf.CONFIG): (r.dev_recall, r.test_false_positive_rate) for r in out} == want and len(want) == 18

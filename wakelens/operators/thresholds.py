@@ -35,6 +35,16 @@ def sweep(
     return sweep_histogram(histogram, keys, grid=grid, span=span, bucket=bucket, floor=floor)
 
 
+def grid_points(limits: DataFrame, keys: Sequence[str], low: str, high: str, grid: int, span: str) -> DataFrame:
+    """The ``grid`` evenly spread scores of every key, over [0, 1] or the key's own range."""
+    lo, hi, i = F.col(low), F.col(high), F.col("_i")
+    points = limits.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
+    at = i * F.lit(1.0 / (grid - 1)) if span == "unit" else lo + i * ((hi - lo) / F.lit(float(grid - 1)))
+    if span == "data":
+        at = F.when(i == grid - 1, hi).otherwise(at)
+    return points.select(*keys, at.alias("score"))
+
+
 def sweep_histogram(
     histogram: DataFrame,
     keys: Sequence[str],
@@ -48,17 +58,9 @@ def sweep_histogram(
     keys = list(keys)
     offers = histogram if floor is None else histogram.where(F.col("score") > floor)
     limits = offers.groupBy(*keys).agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
-    position = F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))
-    points = limits.withColumn("_i", position)
-    at = (
-        F.col("_i") * F.lit(1.0 / (grid - 1))
-        if span == "unit"
-        else F.col("_lo") + F.col("_i") * ((F.col("_hi") - F.col("_lo")) / F.lit(float(grid - 1)))
-    )
-    if span == "data":
-        at = F.when(F.col("_i") == grid - 1, F.col("_hi")).otherwise(at)
+    points = grid_points(limits, keys, "_lo", "_hi", grid, span)
     zero = F.lit(0).cast("long")
-    merged = histogram.unionByName(points.select(*keys, at.alias("score"), zero.alias("pos"), zero.alias("neg")))
+    merged = histogram.unionByName(points.select(*keys, "score", zero.alias("pos"), zero.alias("neg")))
     merged = merged.groupBy(*keys, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     curve = cumulative_counts(merged, keys, bucket)
     if floor is not None:

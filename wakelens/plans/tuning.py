@@ -9,6 +9,7 @@ from ..operators import config_search as cf
 from ..operators import metrics as mt
 from ..operators import selection as sl
 from ..operators import thresholds as th
+from ..session import cut
 from .bindings import CASCADE_SQL, GROUPS, WINDOWS_SQL, stage1, stage2, window_table, windows, with_ctes
 from .registry import counts_sql, metric_sql, plan
 from .scoring import C, W, cascaded
@@ -152,12 +153,13 @@ TARGETS = (0.85, 0.9, 0.95)
 
 def both_variants(spark, sf_dir):
     """Window scores of both stage-2 variants in long form."""
-    w = window_table(spark, sf_dir).where(F.col("event_type") != "error")
     options = F.array(
         F.struct(F.lit("a").alias("variant"), F.col("stage2_score").alias("s2")),
         F.struct(F.lit("b").alias("variant"), F.col("stage2_score_b").alias("s2")),
     )
     cols = ["clip_id", "window_index", "label", "fold", "prompt_group", "stage1_score"]
+    scored = windows(spark, sf_dir).where(F.col("event_type") != "error")
+    w = cut(scored.select(*cols, "stage2_score", "stage2_score_b"))
     return w.select(*cols, F.inline(options)).withColumnRenamed("s2", "stage2_score")
 
 
