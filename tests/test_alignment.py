@@ -140,3 +140,17 @@ def test_config_search_counts_exact_scores_in_few_bins_only(spark):
     totals = hits.groupBy("variant", "config").agg(*[F.sum(F.when(F.col("hit"), F.col(c)).otherwise(0)).alias(c) for c in ("pos", "neg")], F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     want = {(r.variant, *grid[r.config]): (r.pos / r.p, r.neg / r.n) for r in totals.collect()}
     assert {tuple(r[c] for c in cf.CONFIG): (r.dev_recall, r.test_false_positive_rate) for r in out} == want and len(want) == 18
+
+
+def test_fits_need_no_install_on_executors():
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from wakelens.operators import fewshot as fs
+
+    sent = cloudpickle.dumps(fs._fit(fs.finetune_grid()))
+    load = "import pickle, sys; pickle.load(sys.stdin.buffer)"
+    done = subprocess.run([sys.executable, "-I", "-c", load], input=sent, capture_output=True, cwd="/")
+    assert done.returncode == 0, done.stderr.decode()
