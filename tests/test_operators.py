@@ -280,6 +280,15 @@ def test_leakage_and_reconciliation(spark):
     assert settled == {"a": "test", "b": "test", "c": "val", "d": "train"}
 
 
+def test_leakage_summary_of_numbered_splits_keeps_no_sets(spark):
+    rows = [(1, "x", 0), (1, "y", 0), (2, "x", 4), (3, "", 1), (3, "", 2), (None, "z", 1), (4, "z", None), (5, "z", 1)]
+    df = spark.createDataFrame(rows, "u long, h string, fold int")
+    out = manifest.leakage_summary(df, ["u", "h"], "fold")
+    assert sorted((r.key, r.leaked_values, r.no_leakage) for r in out.collect()) == [("h", 1, False), ("u", 1, False)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in plan and "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+
+
 def test_duplicate_policy(spark):
     rows = [("a", "u1", "h1"), ("b", "u1", "h1"), ("c", "u1", "h2"), ("d", "u2", "h2"), ("e", "u2", None)]
     df = spark.createDataFrame(rows, "clip_id string, u string, h string")

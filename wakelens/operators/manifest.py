@@ -55,10 +55,17 @@ def leakage(rows: DataFrame, keys: Sequence[str], split: str = "split") -> DataF
 
 
 def leakage_summary(rows: DataFrame, keys: Sequence[str], split: str = "split") -> DataFrame:
-    """Leaked values per key; a clean key is listed with zero."""
-    counts = leakage(rows, keys, split).groupBy("key").agg(F.count(F.lit(1)).alias("leaked_values"))
-    names = rows.sparkSession.createDataFrame([(k,) for k in keys], "key string")
-    out = names.join(counts, "key", "left").withColumn("leaked_values", F.coalesce("leaked_values", F.lit(0).cast("long")))
+    """Leaked values per key; a clean key is listed with zero.
+
+    A value is leaked if its least and greatest split differ.  For numbered
+    splits that is a hash aggregate; sets of splits would be sorted and spilled.
+    """
+    pairs = F.array(*[F.struct(F.lit(i).alias("_key"), F.col(k).cast("string").alias("value")) for i, k in enumerate(keys)])
+    long = rows.select(F.inline(pairs), split).where(F.coalesce("value", F.lit("")) != "")
+    found = long.groupBy("_key", "value").agg(F.min(split).alias("_least"), F.max(split).alias("_most")).where("_least <> _most")
+    counts = found.groupBy("_key").agg(F.count(F.lit(1)).alias("leaked_values"))
+    names = rows.sparkSession.createDataFrame(list(enumerate(keys)), "_key int, key string")
+    out = names.join(counts, "_key", "left").withColumn("leaked_values", F.coalesce("leaked_values", F.lit(0).cast("long"))).drop("_key")
     return out.withColumn("no_leakage", F.col("leaked_values") == 0)
 
 
