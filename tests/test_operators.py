@@ -289,6 +289,26 @@ def test_leakage_summary_of_numbered_splits_keeps_no_sets(spark):
     assert "collect_set" not in plan and "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
 
 
+def test_participant_statistics_tell_contents_apart_without_measures(spark):
+    rng = random.Random(3)
+    rows = [(None if i == 9 else f"c{i}", rng.choice([1, 2, None]), rng.choice([0, 1, 2, None]), rng.choice(["P1", "P4", "", None]), rng.choice("xyz") if i % 5 else None, rng.choice([10, 11, None]), rng.choice([0.1, 2.5, None])) for i in range(90)]
+    df = spark.createDataFrame(rows, "clip_id string, u long, label int, prompt_group string, content string, s long, duration_sec double")
+    out = manifest.participant_statistics(df, "u", content="content", session="s", groups={"P1": "P1", "P4": "P4"})
+    got = {r.u: r.asDict() for r in out.collect()}
+    assert set(got) == {1, 2}
+    for u, r in got.items():
+        own = [x for x in rows if x[1] == u]
+        pos, neg = (sum(x[2] == y for x in own) for y in (1, 0))
+        assert (r["total_unique_clips"], r["total_windows"], r["positive_clips"], r["negative_clips"]) == (len(own), len(own), pos, neg)
+        assert (r["P1_clips"], r["P4_clips"]) == tuple(sum(x[3] == g for x in own) for g in ("P1", "P4"))
+        assert r["audio_duration_sec"] == pytest.approx(sum(x[6] or 0.0 for x in own))
+        assert r["duplicate_hash_count"] == len(own) - len({x[4] for x in own}) and r["sessions"] == len({x[5] for x in own} - {None})
+        assert r["invalid_metadata"] == sum(x[0] is None or x[2] not in (0, 1) or not x[3] for x in own)
+        assert (r["eligible_3_shot"], r["eligible_5_shot"], r["both_query_kinds"]) == (pos >= 4 and neg >= 1, pos >= 6 and neg >= 1, pos >= 1 and neg >= 1)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "clip_id" not in plan and not any("_content" in line and "sum(" in line for line in plan.splitlines())
+
+
 def test_duplicate_policy(spark):
     rows = [("a", "u1", "h1"), ("b", "u1", "h1"), ("c", "u1", "h2"), ("d", "u2", "h2"), ("e", "u2", None)]
     df = spark.createDataFrame(rows, "clip_id string, u string, h string")

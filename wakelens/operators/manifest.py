@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .ranking import numbered
 
 
@@ -131,37 +132,37 @@ def split_counters(windows: DataFrame, *, split: str, speaker: str, session: str
 
 
 def participant_statistics(clips: DataFrame, unit: str, *, content: str, session: str, groups: dict[str, str], windows: str | None = None) -> DataFrame:
-    """Per-participant measures from one pre-aggregate by (unit, content)."""
+    """Per-participant measures; only what they are made of is written once.
+
+    Measures add up per participant before the shuffle.  Contents and sessions
+    are told apart as bare (participant, value) pairs, which carry no measures,
+    so a participant with many clips still spreads over tasks.
+    """
     one = F.col(windows) if windows else F.lit(1)
     invalid = F.col("clip_id").isNull() | F.col(unit).isNull() | ~F.coalesce(F.col("label").isin(0, 1), F.lit(False))
     invalid = invalid | (F.coalesce("prompt_group", F.lit("")) == "")
-    sessions = clips.select(unit, session).distinct().groupBy(unit).agg(F.count(session).alias("sessions"))
-    hashed = clips.groupBy(unit, content).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum(one).alias("_w"),
-        F.count_if(F.col("label") == 1).alias("_pos"),
-        F.count_if(F.col("label") == 0).alias("_neg"),
-        *[F.count_if(F.col("prompt_group") == g).alias(f"_{n}") for n, g in groups.items()],
-        F.sum(F.coalesce("duration_sec", F.lit(0.0))).alias("_d"),
-        F.count_if(invalid).alias("_bad"),
-    )
-    out = hashed.groupBy(unit).agg(
-        F.sum("_n").alias("total_unique_clips"),
+    used = ["label", "prompt_group", F.coalesce("duration_sec", F.lit(0.0)).alias("_d"), one.alias("_w"), invalid.alias("_bad")]
+    rows = cut(clips.select(F.col(unit), F.col(content).alias("_content"), F.col(session).alias("_session"), *used))
+    out = rows.groupBy(unit).agg(
+        F.count(F.lit(1)).alias("total_unique_clips"),
         F.sum("_w").cast("long").alias("total_windows"),
-        F.sum("_pos").alias("positive_clips"),
-        F.sum("_neg").alias("negative_clips"),
-        *[F.sum(f"_{n}").alias(f"{n}_clips") for n in groups],
+        F.count_if(F.col("label") == 1).alias("positive_clips"),
+        F.count_if(F.col("label") == 0).alias("negative_clips"),
+        *[F.count_if(F.col("prompt_group") == g).alias(f"{n}_clips") for n, g in groups.items()],
         F.round(F.sum("_d"), 3).alias("audio_duration_sec"),
-        F.sum(F.col("_n") - 1).alias("duplicate_hash_count"),
-        F.sum("_bad").alias("invalid_metadata"),
+        F.count_if("_bad").alias("invalid_metadata"),
     )
+    contents = rows.select(unit, "_content").distinct().groupBy(unit).agg(F.count(F.lit(1)).alias("_contents"))
+    sessions = rows.select(unit, "_session").distinct().groupBy(unit).agg(F.count("_session").alias("sessions"))
     pos, neg = F.col("positive_clips"), F.col("negative_clips")
-    return out.join(sessions, unit).withColumns(
-        {
-            "eligible_3_shot": (pos >= 4) & (neg >= 1),
-            "eligible_5_shot": (pos >= 6) & (neg >= 1),
-            "both_query_kinds": (pos >= 1) & (neg >= 1),
-        }
+    return out.join(contents, unit).join(sessions, unit).select(
+        *out.columns[:-1],
+        (F.col("total_unique_clips") - F.col("_contents")).alias("duplicate_hash_count"),
+        "invalid_metadata",
+        "sessions",
+        ((pos >= 4) & (neg >= 1)).alias("eligible_3_shot"),
+        ((pos >= 6) & (neg >= 1)).alias("eligible_5_shot"),
+        ((pos >= 1) & (neg >= 1)).alias("both_query_kinds"),
     )
 
 

@@ -56,7 +56,7 @@ FROM oo JOIN hh USING (alias) GROUP BY alias""",
 )
 def _agg11(spark, sf_dir):
     """AGG11: participant statistics."""
-    rows = cut(owned_clips(spark, sf_dir, "clip_id", "session_id", "label", "prompt_group", "content", "duration_sec"))
+    rows = owned_clips(spark, sf_dir, "clip_id", "session_id", "label", "prompt_group", "content", "duration_sec")
     return mf.participant_statistics(rows, "alias", content="content", session="session_id", groups=GROUPS)
 
 
