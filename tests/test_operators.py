@@ -333,6 +333,26 @@ def test_multistart_folds_cover_everybody_once(spark):
     assert cost < 1.0 and cost <= one(crossval.fold_objective(crossval.fold_statistics(crossval.multistart_folds(df, "u", starts=1)), 5))["objective"]
 
 
+@pytest.mark.parametrize("together", [50_000, 10])
+def test_multistart_folds_multiply_behind_the_shuffle(spark, monkeypatch, together):
+    monkeypatch.setattr(crossval, "_TOGETHER", together)
+    rng = random.Random(11)
+    sizes = [(i, rng.choice([5, 6, 6, 9]), rng.choice([2, 3])) for i in range(130)]
+    df = spark.createDataFrame([(i, 1, c, p, c - p, 1, rng.choice([0, 7]), 1, 2) for i, c, p in sizes], VECTORS)
+    want = {}
+    for start in range(3):
+        ranked = sorted(sizes, key=lambda r: (-r[1], -r[2], hashlib.sha256(f"7:{start}:{r[0]}".encode()).hexdigest(), r[0]))
+        want |= {(start, r[0]): (k % 5 if k // 5 % 2 == 0 else 4 - k % 5) for k, r in enumerate(ranked)}
+    out = crossval._snakes(df, "u", range(3), 5, 7)
+    assert {(r.start, r.u): r.fold for r in out.collect()} == want
+    cost = {s: one(crossval.fold_objective(crossval.fold_statistics(out.where(F.col("start") == s)), 5))["objective"] for s in range(3)}
+    best = min(cost, key=lambda s: (round(cost[s], 9), s))
+    chosen = crossval.multistart_folds(df, "u", starts=3, seed=7)
+    assert {r.u: r.fold for r in chosen.collect()} == {u: f for (s, u), f in want.items() if s == best}
+    assert "hashpartitioning(start" not in chosen._jdf.queryExecution().executedPlan().toString()
+    assert crossval.multistart_folds(df.limit(0), "u", starts=3).count() == 0
+
+
 VECTORS = "u long, participants long, clips long, positive long, negative long, P1 long, P2 long, P3 long, P4 long"
 
 

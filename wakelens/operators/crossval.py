@@ -7,12 +7,12 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_bucket, order_key
 from ..session import cut
-from .ranking import numbered
+from .ranking import numbered, running
 
 # Ship the task functions inside the closure, so executors need no install.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -81,23 +81,51 @@ def serpentine_folds(vectors: DataFrame, unit: str, folds: int = 5, seed: int =
     return ranked.withColumn("fold", _snake(F.col("size_rank"), folds)).drop("size_rank")
 
 
+# Participants of one size that a task ranks together, and rows of all starts a task ranks.
+_TOGETHER = 50_000
+_TASK_ROWS = 500_000
+
+
+def _snakes(vectors: DataFrame, unit: str, starts: Sequence[int], folds: int, seed: int) -> DataFrame:
+    """Folds of every participant in every start.
+
+    Only the order within a size differs between starts, so participants are
+    dealt by size once and multiplied by the starts behind the shuffle.  A size
+    with too many participants for a task is dealt by start and hash bucket, and
+    what its earlier buckets hold comes from a table of counts.
+    """
+    size, everyone = ["clips", "positive"], F.array(*[F.lit(s) for s in starts])
+    counts = vectors.groupBy(*size).agg(F.count(F.lit(1)).alias("_n"))
+    order = [F.col("clips").desc(), F.col("positive").desc()]
+    counts = running(counts, [], order, F.col("clips"), {"_before": ("sum", F.col("_n"))}, descending=True, inclusive=False)
+    alone = F.transform(everyone, lambda s: F.struct(s.alias("_start"), hash_bucket(order_key(seed, s, F.col(unit))).alias("_part")))
+    together = F.array(F.struct(F.lit(None).cast("int").alias("_start"), F.lit(-1).alias("_part")))
+    split = F.col("_n") > _TOGETHER
+    sized = vectors.join(counts, size)
+    parts = sized.where(split).select(*size, F.inline(alone)).groupBy("_start", *size, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_start", *size).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("_start").alias("start"), *size, "_part", F.sum("_n").over(earlier).alias("_earlier"))
+    tasks = max(vectors.sparkSession.sparkContext.defaultParallelism, -(-vectors.count() * len(starts) // _TASK_ROWS))
+    dealt = sized.select(unit, *WEIGHTS, "_before", F.inline(F.when(split, alone).otherwise(together))).repartition(tasks, *size, "_part")
+    tries = dealt.withColumn("start", F.explode(F.when(F.col("_start").isNull(), everyone).otherwise(F.array("_start")))).drop("_start")
+    tries = tries.join(F.broadcast(parts), ["start", *size, "_part"], "left")
+    within = F.row_number().over(Window.partitionBy("start", *size, "_part").orderBy(order_key(seed, F.col("start"), F.col(unit)), unit))
+    rank = F.col("_before") + F.coalesce("_earlier", F.lit(0)) + within
+    return tries.select("start", unit, *WEIGHTS, _snake(rank, folds).alias("fold"))
+
+
 def multistart_folds(vectors: DataFrame, unit: str, *, folds: int = 5, starts: int = 20, seed: int = 20260620) -> DataFrame:
     """Best of several seeded snakes over all participants.
 
     Every participant takes part in every start; starts differ in the order of
-    participants of equal size.  Each start is a distributed ranking and is
-    scored from the sums of its folds; the least objective wins, then the first
-    start.
+    participants of equal size.  Each start is scored from the sums of its folds;
+    the least objective wins, then the first start, whose placements alone are
+    made again.  ``vectors`` is read several times.
     """
-    tries = vectors.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))))
-    keyed = tries.withColumn("_key", order_key(seed, F.col("start"), F.col(unit)))
-    order = [F.col("clips").desc(), F.col("positive").desc(), F.col("_key"), F.col(unit)]
-    bucket = F.struct(-F.col("clips"), -F.col("positive"), hash_bucket(F.col("_key"), 1))
-    ranked = numbered(keyed, ["start"], order, bucket, "size_rank")
-    placed = cut(ranked.select("start", unit, *WEIGHTS, _snake(F.col("size_rank"), folds).alias("fold")))
+    placed = _snakes(vectors, unit, range(starts), folds, seed)
     scored = fold_objective(fold_statistics(placed, ["start"]), folds, ["start"])
-    best = scored.agg(F.min_by("start", F.struct(F.round("objective", 9), "start")).alias("start"))
-    return placed.join(F.broadcast(best), "start").select(unit, *WEIGHTS, "fold")
+    best = scored.agg(F.min_by("start", F.struct(F.round("objective", 9), "start")).alias("start")).first()["start"]
+    return _snakes(vectors, unit, [best or 0], folds, seed).select(unit, *WEIGHTS, "fold")
 
 
 def _classes(vectors: DataFrame, folds: int) -> DataFrame:
