@@ -101,7 +101,7 @@ def _snakes(vectors: DataFrame, unit: str, starts: Sequence[int], folds: int, se
     alone = F.transform(everyone, lambda s: F.struct(s.alias("_start"), hash_bucket(order_key(seed, s, F.col(unit))).alias("_part")))
     together = F.array(F.struct(F.lit(None).cast("int").alias("_start"), F.lit(-1).alias("_part")))
     split = F.col("_n") > _TOGETHER
-    sized = vectors.join(counts, size)
+    sized = vectors.join(F.broadcast(counts), size)  # d sizes need some d ** 1.5 clips: far fewer than participants
     parts = sized.where(split).select(*size, F.inline(alone)).groupBy("_start", *size, "_part").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("_start", *size).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(F.col("_start").alias("start"), *size, "_part", F.sum("_n").over(earlier).alias("_earlier"))
