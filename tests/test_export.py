@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 from pyspark.sql import functions as F
 
@@ -46,6 +47,47 @@ def test_changed_tables_are_noticed(spark, tmp_path):
     assert {r.name: (r.rows, r.intact) for r in export.check_export(spark, folder).collect()} == {"notes": (3, False), "none": (0, True)}
 
 
+def shuffles(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+
+def test_shuffles_do_not_outlive_their_table(spark, tmp_path):
+    keys = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before, set_before = shuffles(spark), [spark.conf.get(k, None) for k in keys]
+    one = spark.range(0, 3000, 1, 4).select("id", F.lit("x").alias("note"))
+    export.write_export({"a": (one, ("id", "note"), ["id"]), "b": (one.join(one.select("id").hint("merge"), "id"), ("id",), ["id"])}, str(tmp_path))
+    until = time.time() + 10
+    while (left := shuffles(spark) - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    assert [spark.conf.get(k, None) for k in keys] == set_before
+    assert {r.name: (r.rows, r.intact) for r in export.check_export(spark, str(tmp_path)).collect()} == {"a": (3000, True), "b": (3000, True)}
+
+
+def test_tables_are_compressed(spark, tmp_path):
+    df = spark.range(0, 5000, 1, 4).select("id", F.concat(F.lit("raw/"), F.col("id").cast("string"), F.lit(".webm")).alias("path"))
+    export.write_export({"paths": (df, ("id", "path"), ["id"])}, str(tmp_path), "1")
+    plain = sum(len(f'"{i}","raw/{i}.webm"\n') for i in range(5000))
+    assert sum(f.stat().st_size for f in (tmp_path / "run=1" / "paths").glob("part-*")) < plain / 2
+    back = export.read_export(spark, str(tmp_path))["paths"]
+    assert sorted(map(tuple, back.collect())) == sorted((str(i), f"raw/{i}.webm") for i in range(5000))
+
+
+def test_columns_made_behind_the_shuffle(spark, tmp_path):
+    seen = dt.datetime(2024, 5, 6, 7, 8, 9, tzinfo=dt.timezone.utc)
+    df = rows(spark, *[(i, None if i % 7 == 0 else f"n{i}", seen, "x") for i in range(300)], (None, "none", None, "x"), (5, "again", None, "x"))
+    made = {"key": F.concat_ws("-", F.col("id").cast("string"), "hidden"), "note": F.upper("note"), "seen": F.col("seen")}
+    export.write_export({"late": (df, made, [made["key"]]), "early": (df.select(*[c.alias(n) for n, c in made.items()]), tuple(made), ["key"])}, str(tmp_path), "1")
+    back = export.read_export(spark, str(tmp_path))
+    assert back["late"].columns == ["key", "note", "seen"]
+    late, early = (sorted(map(str, back[n].collect())) for n in ("late", "early"))
+    assert late == early and len(late) == 302 and "Row(key='5-x', note='AGAIN', seen=None)" in late
+    for part in sorted((tmp_path / "run=1" / "late").glob("part-*")):
+        keys = [r.key for r in spark.read.options(**export.CSV).csv(str(part)).collect()]
+        assert keys == sorted(keys)
+
+
 def test_iso_text_is_utc_in_every_session_zone(spark):
     df = spark.sql("SELECT timestamp'2024-01-31 23:30:00Z' AS t")
     zone = spark.conf.get("spark.sql.session.timeZone")

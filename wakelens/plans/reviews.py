@@ -9,7 +9,7 @@ from ..functions import times
 from ..sources import export as ex
 from ..sources import writers as wr
 from ..session import shared_folder
-from .bindings import GROUPS, STAR_SQL, accounts, clips, participants, sessions, table, with_ctes
+from .bindings import GROUPS, STAR_SQL, accounts, clip_columns, clips, participants, sessions, table, with_ctes
 from .registry import plan
 
 SEGMENTS_SQL = """cp AS (SELECT c.*, o_custkey AS participant_id, 'raw/' || clip_id || '-' || prompt_id || '.webm' AS raw_audio_path,
@@ -18,22 +18,33 @@ segs AS (SELECT clip_id || '/' || prompt_id AS segment_id, clip_id AS parent_cli
 S = with_ctes(STAR_SQL, SEGMENTS_SQL)
 
 
+def recorded(clip: dict[str, F.Column]) -> dict[str, F.Column]:
+    """The recorded paths of a clip and the columns of its segment."""
+    number = clip["prompt_id"].cast("string")
+    stem = F.concat_ws("-", clip["clip_id"], number)
+    return {
+        "raw_audio_path": F.concat(F.lit("raw/"), stem, F.lit(".webm")),
+        "processed_wav_path": F.when(clip["label"] == 1, F.concat(F.lit("wav/"), stem, F.lit(".wav"))).otherwise(""),
+        "segment_id": F.concat_ws("/", clip["clip_id"], number),
+        "parent_clip_id": clip["clip_id"],
+        "segment_audio_path": F.concat(F.lit("seg/"), stem, F.lit(".wav")),
+    }
+
+
+def owners(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_custkey").alias("participant_id"))
+
+
 def star(spark, sf_dir):
-    owners = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_custkey").alias("participant_id"))
-    stem = F.concat_ws("-", "clip_id", F.col("prompt_id").cast("string"))
-    rows = clips(spark, sf_dir).drop("ingest").join(owners, "session_id")
-    rows = rows.withColumns(
-        {
-            "raw_audio_path": F.concat(F.lit("raw/"), stem, F.lit(".webm")),
-            "processed_wav_path": F.when(F.col("label") == 1, F.concat(F.lit("wav/"), stem, F.lit(".wav"))).otherwise(""),
-        }
-    )
+    rows = clips(spark, sf_dir).drop("ingest").join(owners(spark, sf_dir), "session_id")
+    made = recorded({c: F.col(c) for c in ("clip_id", "prompt_id", "label")})
+    rows = rows.withColumns({c: made[c] for c in ("raw_audio_path", "processed_wav_path")})
     segs = rows.where(F.col("duration_sec") > 3).select(
-        F.concat_ws("/", "clip_id", F.col("prompt_id").cast("string")).alias("segment_id"),
-        F.col("clip_id").alias("parent_clip_id"),
+        made["segment_id"].alias("segment_id"),
+        made["parent_clip_id"].alias("parent_clip_id"),
         "session_id",
         "participant_id",
-        F.concat(F.lit("seg/"), stem, F.lit(".wav")).alias("segment_audio_path"),
+        made["segment_audio_path"].alias("segment_audio_path"),
     )
     return {
         "accounts": accounts(spark, sf_dir),
@@ -273,11 +284,20 @@ def _export_sql(name: str) -> str:
 
 
 def export(spark, sf_dir):
-    """The metadata tables of the star, exported to a fresh folder."""
+    """The metadata tables of the star, exported to a fresh folder.
+
+    Clips, quality and segments are made of the lines behind the shuffles.  The
+    largest tables come first, while little else is written yet.
+    """
     s = star(spark, sf_dir)
-    s["quality"] = s["clips"]
+    made = clip_columns()
+    made |= recorded(made) | {"participant_id": F.col("participant_id")}
+    lines = table(spark, sf_dir, "lineitem").join(owners(spark, sf_dir), F.col("l_orderkey") == F.col("session_id"))
+    rows = {"clips": lines, "quality": lines, "segments": lines.where(made["duration_sec"] > 3)}
+    tables = {name: (found, {f: made[f] for f in EXPORT_FIELDS[name]}, [made[EXPORT_ORDER.get(name, "clip_id")]]) for name, found in rows.items()}
+    tables |= {name: (s[name], EXPORT_FIELDS[name], [EXPORT_ORDER[name]]) for name in ("sessions", "participants", "accounts")}
     folder = shared_folder(spark)
-    ex.write_export({name: (s[name], fields, [EXPORT_ORDER.get(name, "clip_id")]) for name, fields in EXPORT_FIELDS.items()}, folder)
+    ex.write_export(tables, folder)
     return folder
 
 
